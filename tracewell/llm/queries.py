@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import replies, sources
+from tracewell.llm import handwritten, replies, sources
 from tracewell.session import table
 
 
@@ -20,5 +21,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return replies.defective_pairs(table(spark, d, "llm_replies"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found)}
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged_files(table(spark, d, "code_files"), table(spark, d, "repo_specs"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("size(reasons) > 0").select("file_id")
+
+
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every source file with the kind of its class and what speaks against its being hand-written."""
+    return _judged(spark, d).select("file_id", "repo", "n_files", "kind", F.array_join("reasons", ",").alias("reasons"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p7_found, p7_files)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import handwritten, replies, sources
+from tracewell.llm import handwritten, pieces, replies, sources, tokens
 from tracewell.session import table
 
 
@@ -34,5 +34,17 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("file_id", "repo", "n_files", "kind", F.array_join("reasons", ",").alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p7_found, p7_files)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized(table(spark, d, "documents"))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p7_found, p7_files, p8_ids, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}

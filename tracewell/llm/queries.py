@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import handwritten, pieces, replies, sources, tokens
+from tracewell.llm import handwritten, leaks, pieces, replies, sources, tokens
 from tracewell.session import table
 
 
@@ -38,6 +38,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(table(spark, d, "documents"))
 
@@ -46,5 +50,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p7_found, p7_files, p8_ids, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p5_found, p7_found, p7_files, p8_ids, p9_found, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}

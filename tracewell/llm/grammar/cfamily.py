@@ -232,7 +232,7 @@ class CFamily(Parser):
 
     def specifiers(self, outer: bool = False) -> bool:
         """Type specifiers; True where a struct, union, class or enum is meant, which needs no declarator."""
-        typed = defined = False
+        typed = defined = macro = False
         start = self.i
         while self.kind[self.i] == "n" or self.cpp and (self.at_p("[") and self.peek(1, "[") or self.at_p("::")):
             self.attributes()
@@ -267,8 +267,9 @@ class CFamily(Parser):
             elif (self.at_ident() or v == "::") and not typed:
                 if self.cpp and outer and self._constructor():
                     return defined
-                if _MACRO.match(v) and self.kind[self.i + 1] == "n" and self.value[self.i + 1] not in ("operator",) and not self.peek(2, ";", "=", "[", ",", ")", "("):
+                if not macro and _MACRO.match(v) and self.kind[self.i + 1] == "n" and self.value[self.i + 1] not in ("operator",) and not self.peek(2, ";", "=", "[", ",", ")", "("):
                     self.i += 1
+                    macro = True
                     continue
                 self.qualified()
                 typed = "name"

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import strip
+from tracewell.session import Scratch
 
 #: Candidates by name; the order only fixes the order of the report.
 CANDIDATES = {"comma": ",", "semicolon": ";", "bar": "|", "tab": "\t", "line": "\n", "space": " "}
@@ -78,6 +79,7 @@ def score_delimiters(values: DataFrame) -> DataFrame:
         .groupBy("writer", "field", "name", "kind")
         .agg(F.count("*").alias("n"))
     )
+    counts = Scratch(values.sparkSession).write(counts, "counts")  # a few rows a source, read twice
     typed = counts.where("kind not in ('empty', 'quoted', 'other')").groupBy("writer", "field", "kind").agg(F.sum("n").alias("n"))
     main = typed.groupBy("writer", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("main"))
     scored = (

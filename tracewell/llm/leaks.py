@@ -1,8 +1,10 @@
 """Evaluation texts in training text, by a positional inverted index.
 
-Of every window of an item its rarest words are anchors; rarity is counted over the whole corpus. The postings of
-all anchor words are stored, joined with the anchors, and their offsets intersected: where enough anchors of an
-item lie at nearly one offset of a document, the pair is a candidate. Candidates are verified word by word.
+The index holds the positions in the corpus of every pair of neighbouring words that an item has. Of every window
+of an item its rarest pairs are anchors, by what they would cost: their postings in the whole corpus times their
+places in the items. The postings of the anchors are joined with them and their offsets intersected: where enough
+anchors of an item lie at nearly one offset of a document, the two are a candidate. Candidates are verified word
+by word.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from tracewell.session import Scratch
 
 #: A passage has so many consecutive words of an item, of which one in ten may be replaced.
 PASSAGE, REPLACED = 20, 2
-#: The rarest words of every window that are anchors, and how many must meet at one offset.
-ANCHORS, MEET = 8, 5
+#: The rarest pairs of every window that are anchors, and how many must meet at one offset. A window has 19 pairs,
+#: of which two replaced words break four: six of ten anchors remain, and two if four line numbers come between.
+ANCHORS, MEET = 10, 2
 #: Offsets within half of this count as one: what stands between words in a document shifts them.
 BAND = 32
-#: Item words up to which their table is small enough to be sent to all executors; beyond, the join shuffles.
+#: Item pairs up to which their table is small enough to be sent to all executors; beyond, the join shuffles.
 SMALL = 1_000_000
 
 _ESCAPES = r"\\+[nrtbf\"'/]|\\+"
@@ -40,6 +43,12 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def pairs(text: Column) -> Column:
+    """Hashes of the pairs of neighbouring words of a text, by position."""
+    w = word_array(text)
+    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+
+
 _WORD = re.compile(r"[^\W_]+")
 _CF = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 
@@ -84,9 +93,9 @@ def holds_passage(document: list[str], item: list[str], insert: int = 3) -> bool
 def _pick(pdf: pd.DataFrame) -> pd.DataFrame:
     """The ANCHORS rarest positions of every window of one item."""
     pdf = pdf.sort_values("i")
-    rare, chosen = pdf["n"].tolist(), set()
-    for s in range(len(rare) - PASSAGE + 1):
-        chosen.update(sorted(range(s, s + PASSAGE), key=lambda k: (rare[k], k))[:ANCHORS])
+    rare, chosen = pdf["cost"].tolist(), set()
+    for s in range(len(rare) - PASSAGE + 2):
+        chosen.update(sorted(range(s, s + PASSAGE - 1), key=lambda k: (rare[k], k))[:ANCHORS])
     return pdf[pdf["i"].isin(chosen)][["item_id", "i", "term"]]
 
 
@@ -103,19 +112,17 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).distinct()
     held = held.withColumn("key", F.xxhash64("item_id", "item"))
-    item_words = held.select("key", F.posexplode(word_array(F.col("item"))).alias("i", "term"))
-    item_words = scratch.write(item_words.select(F.col("key").alias("item_id"), "i", "term"), "item_words")
-    small = item_words.limit(SMALL + 1).count() <= SMALL
+    terms = held.select(F.col("key").alias("item_id"), F.posexplode(pairs(F.col("item"))).alias("i", "term")).where("term is not null")
+    terms = scratch.write(terms, "terms")
+    small = terms.limit(SMALL + 1).count() <= SMALL
     hint = F.broadcast if small else (lambda df: df)
+    places = terms.groupBy("term").agg(F.count("*").alias("places"))
 
-    terms = docs.select(F.explode(word_array(F.col("text"))).alias("term"))
-    freq = terms.join(hint(item_words.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    weighted = item_words.join(freq, "term", "left").select("item_id", "i", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    anchors = scratch.write(weighted.groupBy("item_id").applyInPandas(_pick, "item_id long, i int, term string"), "anchors")
-
-    postings = docs.select("doc_id", F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
-    postings = postings.join(hint(anchors.select("term").distinct()), "term", "left_semi").select("term", "doc_id", "pos")
-    postings = scratch.write(postings, "postings")
+    found = docs.select("doc_id", F.posexplode(pairs(F.col("text"))).alias("pos", "term"))
+    postings = scratch.write(found.join(hint(places.select("term")), "term", "left_semi").select("term", "doc_id", "pos"), "postings")
+    cost = postings.groupBy("term").agg(F.count("*").alias("n")).join(places, "term", "right").select("term", (F.coalesce("n", F.lit(0)) * F.col("places")).alias("cost"))
+    weighted = terms.join(cost, "term").select("item_id", "i", "term", "cost")
+    anchors = scratch.write(weighted.groupBy("item_id").applyInPandas(_pick, "item_id long, i int, term long"), "anchors")
     met = postings.join(hint(anchors), "term").select("doc_id", "item_id", "i", (F.col("pos") - F.col("i")).alias("offset"))
     shifts = F.array(F.struct(F.lit(0).alias("family"), F.floor(F.col("offset") / BAND).alias("band")), F.struct(F.lit(1).alias("family"), F.floor((F.col("offset") + BAND // 2) / BAND).alias("band")))
     meets = (

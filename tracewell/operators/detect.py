@@ -17,7 +17,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def path_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     """id, file: texts that hold a path, without letter case, between characters that no path has."""
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9_@.~\-]+(?:/[a-z0-9_@.()\[\]~\-]*[a-z0-9_)\]])+)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![a-z0-9_@.~\-])([a-z0-9_@.~\-]++(?:/[a-z0-9_@.()\[\]~\-]*[a-z0-9_)\]])+)"), F.lit(1))
     paths = texts.select("id", F.explode(F.array_distinct(found)).alias("p"))
     return paths.join(files.select("file", F.lower("file").alias("p")), "p").select("id", "file").distinct()
 

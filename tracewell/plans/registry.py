@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.plans import general
+from tracewell.plans import general, governance
 
-MODULES = (general,)
-FLAGSHIP = "p2_found"
+MODULES = (general, governance)
+FLAGSHIP = "g0_region_radius"
 
 
 def queries() -> dict:

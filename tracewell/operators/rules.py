@@ -60,7 +60,7 @@ def matches(requests: DataFrame, rules: DataFrame) -> DataFrame:
     wild = wild.withColumn("head", F.regexp_extract("pattern", r"^([^*?\[/]+)/", 1))
     exact = asked.join(literal, asked["p"] == literal["pattern"]).drop("p", "pattern")
     heads = asked.withColumn("h", F.explode(F.array(F.substring_index("p", "/", 1), F.lit(""))))
-    tried = heads.join(wild, heads["h"] == wild["head"]).where(F.col("p").rlike(F.col("regex"))).drop("h", "p", "pattern", "regex", "head")
+    tried = heads.join(wild, heads["h"] == wild["head"]).where(F.rlike("p", "regex")).drop("h", "p", "pattern", "regex", "head")
     both = exact.unionByName(tried).where("operation = op or operation = '*'")
     outcome = F.when((F.col("effect") == "allow") & (F.col("rank") >= F.col("min_role_rank")), "allow").when((F.col("effect") == "deny") & (F.col("rank") < F.col("min_role_rank")), "deny")
     return both.withColumn("outcome", outcome).where("outcome is not null").drop("op", "rank")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import general, governance
+from tracewell.plans import evaluation, general, governance, rules
 
-MODULES = (general, governance)
+MODULES = (general, governance, rules, evaluation)
 FLAGSHIP = "g0_region_radius"
 
 

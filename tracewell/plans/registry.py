@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import evaluation, general, governance, rules
+from tracewell.plans import changes, documents, evaluation, general, governance, rules
 
-MODULES = (general, governance, rules, evaluation)
+MODULES = (general, governance, rules, evaluation, changes, documents)
 FLAGSHIP = "g0_region_radius"
 
 

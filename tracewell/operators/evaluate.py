@@ -59,8 +59,8 @@ def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFra
 def spearman(pairs: DataFrame, by: list[str]) -> DataFrame:
     """by, rho of pairs (by, a, b); 0 where it is not defined."""
     ranked = average_rank(average_rank(pairs.where("a is not null and b is not null"), "a", by, "ra"), "b", by, "rb")
-    rho = F.corr("ra", "rb")
-    return ranked.groupBy(*by).agg(F.coalesce(F.when(F.isnan(rho), 0.0).otherwise(rho), F.lit(0.0)).alias("rho"))
+    spread = F.stddev_pop("ra") * F.stddev_pop("rb")
+    return ranked.groupBy(*by).agg(F.coalesce(F.try_divide(F.covar_pop("ra", "rb"), spread), F.lit(0.0)).alias("rho"))
 
 
 def wilcoxon(pairs: DataFrame, by: list[str]) -> DataFrame:

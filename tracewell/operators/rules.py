@@ -46,24 +46,41 @@ def last_by_id(rules: DataFrame, order: str) -> DataFrame:
     return rules.groupBy("rule_id").agg(F.max_by(F.struct(*names), F.col(order)).alias("r")).select("rule_id", "r.*")
 
 
+def matched_paths(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """p, pattern for every normalized path (p) and pattern that matches it; both are distinct.
+
+    A literal pattern is joined by equality. A pattern with wildcards is joined on the directories before its
+    first wildcard, which every path that it matches has, and only then tried.
+    """
+    literal = patterns.where(~has_wildcards(F.col("pattern")))
+    exact = paths.join(literal, paths["p"] == literal["pattern"]).select("p", "pattern")
+    fixed = F.regexp_replace(F.regexp_extract("pattern", r"^[^*?\[]*", 0), "[^/]*$", "")
+    wild = patterns.where(has_wildcards(F.col("pattern"))).select("pattern", glob_regex(F.col("pattern")).alias("regex"), fixed.alias("head"))
+    parts = F.split("p", "/")
+    heads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    tried = paths.select("p", F.explode(heads).alias("head")).join(wild, "head").where(F.rlike("p", "regex"))
+    return exact.unionByName(tried.select("p", "pattern"))
+
+
 def matches(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """request_id and rule for every rule that applies to a request, with its outcome.
 
-    requests: request_id, operation, path, role. A literal pattern is joined by equality, so only patterns with
-    wildcards are tried one by one; each of those is tried only on the paths that begin with its literal first
-    segment, where it has one. An allow rule applies from its rank up, a deny rule below it.
+    requests: request_id, operation, path, role. Distinct paths meet distinct patterns, whatever the number of
+    requests and rules that share them. An allow rule applies from its rank up, a deny rule below it.
     """
     asked = requests.select("request_id", F.lower(F.trim("operation")).alias("op"), match_path(F.col("path")).alias("p"), role_rank(F.col("role")).alias("rank")).where("rank is not null")
     held = rules.withColumn("pattern", match_path(F.col("path_pattern")))
-    literal = held.where(~has_wildcards(F.col("pattern")))
-    wild = held.where(has_wildcards(F.col("pattern"))).withColumn("regex", glob_regex(F.col("pattern")))
-    wild = wild.withColumn("head", F.regexp_extract("pattern", r"^([^*?\[/]+)/", 1))
-    exact = asked.join(literal, asked["p"] == literal["pattern"]).drop("p", "pattern")
-    heads = asked.withColumn("h", F.explode(F.array(F.substring_index("p", "/", 1), F.lit(""))))
-    tried = heads.join(wild, heads["h"] == wild["head"]).where(F.rlike("p", "regex")).drop("h", "p", "pattern", "regex", "head")
-    both = exact.unionByName(tried).where("operation = op or operation = '*'")
+    pairs = matched_paths(asked.select("p").distinct(), held.select("pattern").distinct())
+    both = asked.join(pairs, "p").join(held, "pattern").where("operation = op or operation = '*'")
     outcome = F.when((F.col("effect") == "allow") & (F.col("rank") >= F.col("min_role_rank")), "allow").when((F.col("effect") == "deny") & (F.col("rank") < F.col("min_role_rank")), "deny")
-    return both.withColumn("outcome", outcome).where("outcome is not null").drop("op", "rank")
+    return both.withColumn("outcome", outcome).where("outcome is not null").drop("op", "rank", "p", "pattern")
+
+
+def champions(rules: DataFrame) -> DataFrame:
+    """Of rules with the same pattern, operation, effect and role the one that comes first: no other can decide."""
+    names = ["path_pattern", "operation", "effect", "min_role", "min_role_rank"]
+    best = F.min_by(F.struct("rule_id", "source_priority", "policy_id"), F.struct((-F.col("source_priority")).alias("q"), "rule_id"))
+    return rules.groupBy(*names).agg(best.alias("r")).select(*names, "r.*")
 
 
 def decide(requests: DataFrame, rules: DataFrame, deny_default: bool = True) -> DataFrame:
@@ -73,7 +90,7 @@ def decide(requests: DataFrame, rules: DataFrame, deny_default: bool = True) ->
     role is denied. The winner is an aggregate, so a request with very many rules needs no sort of its group.
     """
     order = F.struct(F.when(F.col("outcome") == "deny", 0).otherwise(1).alias("o"), *[(-s).alias(f"s{i}") for i, s in enumerate(specificity(F.col("path_pattern")))], (-F.col("source_priority")).alias("q"), "rule_id")
-    best = matches(requests, rules).groupBy("request_id").agg(F.min_by(F.struct("rule_id", "policy_id", "outcome", "min_role"), order).alias("w"))
+    best = matches(requests, champions(rules)).groupBy("request_id").agg(F.min_by(F.struct("rule_id", "policy_id", "outcome", "min_role"), order).alias("w"))
     joined = requests.select("request_id", role_rank(F.col("role")).alias("rank")).join(best, "request_id", "left")
     told = F.when(F.col("w.outcome") == "allow", "Authorized").otherwise("Denied")
     by_rule = F.concat(told, F.lit(" by rule '"), F.col("w.rule_id"), F.lit("' (requires role>="), F.col("w.min_role"), F.lit(")."))

@@ -23,8 +23,8 @@ from tracewell.session import Scratch
 #: A passage has so many consecutive words of an item, of which one in ten may be replaced.
 PASSAGE, REPLACED = 20, 2
 #: The rarest pairs of every window that are anchors, and how many must meet at one offset. A window has 19 pairs,
-#: of which two replaced words break four: six of ten anchors remain, and two if four line numbers come between.
-ANCHORS, MEET = 10, 2
+#: of which two replaced words break four: six of ten anchors remain, and three if three line numbers come between.
+ANCHORS, MEET = 10, 3
 #: Offsets within half of this count as one: what stands between words in a document shifts them.
 BAND = 32
 #: Item pairs up to which their table is small enough to be sent to all executors; beyond, the join shuffles.

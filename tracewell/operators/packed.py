@@ -33,6 +33,11 @@ def _unwrapped(raw: Column) -> Column:
     return strip(F.regexp_replace(inner, r"(?m)^[ \t]*(?:[-*+•‣]|\d+[.)])[ \t]+", ""))
 
 
+def _listed() -> Column:
+    """The elements of a value that is a JSON list, else null."""
+    return F.when(F.ltrim("raw").startswith("["), F.from_json("raw", "array<string>"))
+
+
 def _kind(piece: Column) -> Column:
     """The type of a piece."""
     return (
@@ -58,13 +63,13 @@ def long_values(df: DataFrame, id_col: str, fields: list[str], source: list[str]
 def score_delimiters(values: DataFrame) -> DataFrame:
     """writer, field, delimiter, name, pieces, consistency, regularity of ``values`` (writer, field, raw).
 
-    One row per source and candidate that occurs. Pieces are those directly before the candidate, outside
+    One row per source and candidate that occurs; JSON lists have no delimiter to infer. Pieces are those directly before the candidate, outside
     quotes; a space only counts between two pieces, not beside another candidate. Quoted pieces are of any type.
     """
     bare = F.regexp_replace(_unwrapped(F.col("raw")), rf"(?:(?<=^|[{_HARD}\s])){_DOUBLE}(?=\s*(?:[{_HARD} ]|$))", "￼")
     bare = F.regexp_replace(bare, rf"(?:(?<=^|[{_HARD}\s])){_SINGLE}(?=\s*(?:[{_HARD} ]|$))", "￼")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[ \n]*([,;|\t])[ \n]*", "$1"), r" *(\n) *", "$1")
-    rows = values.select("writer", "field", bare.alias("bare"))
+    rows = values.where(_listed().isNull()).select("writer", "field", bare.alias("bare"))
     found = []
     for name, char in CANDIDATES.items():
         if char == " ":
@@ -124,8 +129,7 @@ def packed_values(df: DataFrame, id_col: str, fields: list[str], source: list[st
     rows = values.join(sets, ["writer", "field"], "left")
     d = F.when(F.coalesce("d", F.lit("")) == "", F.lit("\n")).otherwise(F.concat(F.col("d"), F.lit("\n")))
     token = F.concat(F.lit(rf"(?:{_DOUBLE}|{_SINGLE})(?=\s*(?:["), d, F.lit("]|$))|[^"), d, F.lit(r"\s][^"), d, F.lit("]*"))
-    from_json = F.when(F.ltrim("raw").startswith("["), F.from_json("raw", "array<string>"))
     split = F.transform(F.regexp_extract_all(_unwrapped(F.col("raw")), token, F.lit(0)), _clean)
-    listed = F.filter(F.transform(F.coalesce(from_json, split), strip), lambda v: v.isNotNull() & (v != ""))
+    listed = F.filter(F.transform(F.coalesce(_listed(), split), strip), lambda v: v.isNotNull() & (v != ""))
     out = rows.select("id", "field", F.posexplode(listed).alias("at", "value"))
     return out.select(F.col("id").alias(id_col), "field", (F.col("at") + 1).cast("int").alias("pos"), "value")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracewell.plans import changes, documents, evaluation, general, governance, rules
+from tracewell.plans import changes, documents, evaluation, general, governance, links, rules
 
-MODULES = (general, governance, rules, evaluation, changes, documents)
+MODULES = (general, governance, rules, evaluation, changes, documents, links)
 FLAGSHIP = "g0_region_radius"
 
 

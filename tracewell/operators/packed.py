@@ -8,6 +8,7 @@ values are split there outside quotes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,14 @@ _DOUBLE = r'"(?:[^"\\]|\\.|"")*"'
 _SINGLE = r"'(?:[^'\\]|\\.)*'"
 
 
+def _where(char: str, c: Column, f: Callable[[Column], Column]) -> Column:
+    """f where the text holds the character; elsewhere it would change nothing and only cost."""
+    return F.when(F.contains(c, F.lit(char)), f(c)).otherwise(c)
+
+
 def _unwrapped(raw: Column) -> Column:
     """The inside of the list marks, without bullets, carriage returns and outer delimiters."""
-    t = F.regexp_replace(strip(F.regexp_replace(raw, r"\r\n?", "\n")), r"[\s,;|]+$", "")
+    t = F.regexp_replace(strip(_where("\r", raw, lambda c: F.regexp_replace(c, r"\r\n?", "\n"))), r"[\s,;|]+$", "")
     inner = F.when(t.rlike(r"(?s)^(\[.*\]|\{.*\}|\(.*\))$"), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
     return strip(F.regexp_replace(inner, r"(?m)^[ \t]*(?:[-*+•‣]|\d+[.)])[ \t]+", ""))
 
@@ -66,16 +72,19 @@ def score_delimiters(values: DataFrame) -> DataFrame:
     One row per source and candidate that occurs; JSON lists have no delimiter to infer. Pieces are those directly before the candidate, outside
     quotes; a space only counts between two pieces, not beside another candidate. Quoted pieces are of any type.
     """
-    bare = F.regexp_replace(_unwrapped(F.col("raw")), rf"(?:(?<=^|[{_HARD}\s])){_DOUBLE}(?=\s*(?:[{_HARD} ]|$))", "￼")
-    bare = F.regexp_replace(bare, rf"(?:(?<=^|[{_HARD}\s])){_SINGLE}(?=\s*(?:[{_HARD} ]|$))", "￼")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[ \n]*([,;|\t])[ \n]*", "$1"), r" *(\n) *", "$1")
-    rows = values.where(_listed().isNull()).select("writer", "field", bare.alias("bare"))
+    rows = values.where(_listed().isNull()).select("writer", "field", _unwrapped(F.col("raw")).alias("bare"))
+    quoted = lambda q: lambda c: F.regexp_replace(c, rf"(?:(?<=^|[{_HARD}\s])){q}(?=\s*(?:[{_HARD} ]|$))", "￼")
+    bare = _where("'", _where('"', F.col("bare"), quoted(_DOUBLE)), quoted(_SINGLE))
+    rows = rows.select("writer", "field", bare.alias("bare"))
+    tight = _where("\n", F.regexp_replace("bare", r"[ \n]*([,;|\t])[ \n]*", "$1"), lambda c: F.regexp_replace(c, r" *(\n) *", "$1"))
+    rows = rows.select("writer", "field", F.when(F.col("bare").rlike(r"[,;|\t\n]"), tight).otherwise(F.col("bare")).alias("bare"))
     found = []
     for name, char in CANDIDATES.items():
         if char == " ":
             left = F.regexp_extract_all("bare", F.lit(rf"([^{_HARD} ]+) +(?=[^{_HARD} ])"), F.lit(1))
         else:
             left = F.regexp_extract_all("bare", F.lit(rf"([^{_HARD}]*)[{char}](?=[^{_HARD}])" if char != "|" else rf"([^{_HARD}]*)\|(?=[^{_HARD}])"), F.lit(1))
+        left = F.when(F.contains("bare", F.lit(char)), left).otherwise(F.array().cast("array<string>"))
         found.append(F.struct(F.lit(name).alias("name"), F.transform(left, _kind).alias("kinds")))
     whole = F.struct(F.lit("whole").alias("name"), F.array(_kind(F.col("bare"))).alias("kinds"))
     counts = (

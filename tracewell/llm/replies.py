@@ -110,7 +110,10 @@ WORDS = {
     "cs": "a v na z do ne je jsou byl byla bylo se že to ten ta které který která pro po před bez může musí nikdo nic každý každá jak ale nebo od za jen když".split(),
     "tr": "ve bir bu için ile de da ne değil olan olarak gibi daha çok her hiç kimse sonra önce veya ama kadar var yok ise".split(),
 }
-WORDS = {k: frozenset(v) for k, v in WORDS.items()}
+_LANGUAGES_OF: dict[str, set[str]] = {}
+for _language, _list in WORDS.items():
+    for _word in _list:
+        _LANGUAGES_OF.setdefault(_word, set()).add(_language)
 _SCRIPTS = [("ru", r"[Ѐ-ӿ]"), ("ja", r"[぀-ヿ]"), ("zh", r"[一-鿿]"), ("ko", r"[가-힯]"), ("ar", r"[؀-ۿ]"), ("el", r"[Ͱ-Ͽ]"), ("he", r"[֐-׿]"), ("hi", r"[ऀ-ॿ]"), ("th", r"[฀-๿]")]
 _SCRIPTS = [(k, re.compile(v)) for k, v in _SCRIPTS]
 
@@ -198,13 +201,19 @@ def language(text: str) -> tuple[str, int, dict[str, int]]:
     best = max(scores, key=scores.get)
     if scores[best] * 2 > letters:
         return best, scores[best], scores
-    tokens = re.findall(r"[^\W\d_]+['’]?", bare.casefold())
-    tokens = [t.replace("’", "'") for t in tokens]
-    counts = {k: sum(t in w or t.rstrip("'") in w for t in tokens) for k, w in WORDS.items()}
+    counts = dict.fromkeys(WORDS, 0)
+    for t in re.findall(r"[^\W\d_]+['’]?", bare.casefold()):
+        t = t.replace("’", "'")
+        known = _LANGUAGES_OF.get(t, _NONE)
+        if t[-1] == "'":
+            known = known | _LANGUAGES_OF.get(t[:-1], _NONE)
+        for k in known:
+            counts[k] += 1
     best = max(counts, key=lambda k: (counts[k], k))
     return best, counts[best], counts
 
 
+_NONE: frozenset[str] = frozenset()
 _TEMPLATES = [words(t) for ts in TEMPLATES.values() for t in ts]
 
 

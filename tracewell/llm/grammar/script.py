@@ -11,6 +11,8 @@ _NAME = re.compile(r"#?(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:
 _NUM = re.compile(r"(?:0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)(?![\w$])")
 _STR = re.compile(r"\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'")
 _PUNCT = re.compile(r"\.\.\.|=>|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|\*\*|\+\+|--|==|!=|<=|<<|&&|\|\||\?\?|\?\.(?!\d)|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[{}()\[\];,<>+\-*/%&|^!~?:=.@]")
+#: White space and comments, then a token that needs no look at what stands before it.
+_NEXT = re.compile(rf"(?P<w>{_SKIP.pattern})(?:(?P<n>{_NAME.pattern})|(?P<d>(?=\.?\d){_NUM.pattern})|(?P<s>{_STR.pattern})|(?P<p>{_PUNCT.pattern.replace('|/=|', '|').replace('<<=|', '').replace('<=|<<|', '').replace('<>', '>').replace('*/%', '*%')}))?", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-zA-Z]*")
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _BEFORE_OPERAND = frozenset("return typeof instanceof in of new delete void throw case do else await yield default extends".split())
@@ -30,9 +32,28 @@ class _Lexer:
         """Tokens from i to the end, or with ``inner`` to the brace that closes an embedded expression."""
         s, n, kind, value, nl, depth = self.s, len(self.s), [], [], [], 0
         while True:
-            m = _SKIP.match(s, i)
-            line = not kind or "\n" in m.group() or "\r" in m.group()
-            i = m.end()
+            m = _NEXT.match(s, i)
+            i, k = m.end("w"), m.lastgroup
+            w = m.group("w")
+            line = not kind or "\n" in w or "\r" in w
+            if k != "w":
+                if k == "n":
+                    v = m.group(k)
+                elif k == "p":
+                    v = m.group(k)
+                    if v == "{":
+                        depth += 1
+                    elif v == "}":
+                        if inner and depth == 0:
+                            return Tokens(kind, value, nl), i + 1
+                        depth -= 1
+                else:
+                    v = ""
+                i = m.end()
+                kind.append(k)
+                value.append(v)
+                nl.append(line)
+                continue
             if i >= n:
                 if inner:
                     raise Bad("open expression")
@@ -41,8 +62,6 @@ class _Lexer:
             operand = not kind or (
                 kind[-1] == "p" and value[-1] not in (")", "]", "}", "++", "--") or kind[-1] == "n" and value[-1] in _BEFORE_OPERAND and not (len(value) > 1 and value[-2] in (".", "?."))
             )
-            if inner and c == "}" and depth == 0:
-                return Tokens(kind, value, nl), i + 1
             if c == "/" and (operand or kind[-1] == "p" and value[-1] == "}" and line):
                 m = _REGEX.match(s, i)
                 if not m:
@@ -54,27 +73,14 @@ class _Lexer:
             elif c == "<" and self.jsx and operand and self._is_jsx(i):
                 v, i = self.element(i)
                 k = "j"
-            elif m := _NAME.match(s, i):
-                k, v, i = "n", m.group(), m.end()
-            elif c.isdigit() or c == "." and i + 1 < n and s[i + 1].isdigit():
-                m = _NUM.match(s, i)
-                if not m or re.match(r"0\d*[1-9]\d*$", m.group()) and False:
-                    raise Bad("number")
-                k, v, i = "d", "", m.end()
-            elif c in "\"'":
-                m = _STR.match(s, i)
-                if not m:
-                    raise Bad("string")
-                k, v, i = "s", "", m.end()
-            else:
+            elif c in "/<":
                 m = _PUNCT.match(s, i)
-                if not m:
-                    if i == 0 and s.startswith("#!"):
-                        i = s.find("\n") if "\n" in s else n
-                        continue
-                    raise Bad(f"character {c!r}")
                 k, v, i = "p", m.group(), m.end()
-                depth += (v == "{") - (v == "}")
+            elif i == 0 and s.startswith("#!"):
+                i = s.find("\n") if "\n" in s else n
+                continue
+            else:
+                raise Bad(f"character {c!r}")
             kind.append(k)
             value.append(v)
             nl.append(line)

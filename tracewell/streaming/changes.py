@@ -63,7 +63,7 @@ def _consume(state: tuple, row, files: list[str], used: list[str]) -> str:
     return "used" if row.p in used else ""
 
 
-def token_states(ttl: float = 900.0):
+def token_states(ttl: float = 900.0, timeouts: bool = True):
     """A stateful function for ``applyInPandasWithState``: issue and consume events of one token, in time order.
 
     Its state is one token's plan and what is used of it; it goes when all is used or the token has expired.
@@ -93,17 +93,23 @@ def token_states(ttl: float = 900.0):
                 state.remove()
         else:
             state.update(held)
-            state.setTimeoutDuration(int(life * 1000))
+            if timeouts:
+                state.setTimeoutDuration(int(life * 1000))
         yield pd.DataFrame(out, columns=["event_id", "token", "ok", "error"])
 
     return run
 
 
-def consume_tokens(events: DataFrame, ttl: float = 900.0) -> DataFrame:
-    """The stream of decisions on a stream of events (event_id, token, kind, operation, files, path, ts)."""
+def consume_tokens(events: DataFrame, ttl: float = 900.0, timeouts: bool = True) -> DataFrame:
+    """The stream of decisions on a stream of events (event_id, token, kind, operation, files, path, ts).
+
+    ``timeouts`` removes expired tokens by the clock; such a query runs until it is stopped. A query that ends when
+    its input does, over a log, has none: there an expired token is only refused.
+    """
     clean = events.withColumn("clean", F.transform(F.coalesce("files", F.array().cast("array<string>")), gate_path)).withColumn("p", F.coalesce(gate_path(F.col("path")), F.lit("")))
     clean = clean.select("event_id", "token", "kind", "operation", "clean", "p", "ts")
-    return clean.groupBy("token").applyInPandasWithState(token_states(ttl), TOKEN_OUT, TOKEN_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeouts else GroupStateTimeout.NoTimeout
+    return clean.groupBy("token").applyInPandasWithState(token_states(ttl, timeouts), TOKEN_OUT, TOKEN_STATE, "append", kind)
 
 
 class RuleCache:

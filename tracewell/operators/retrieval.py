@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import spread
+
 
 def tokens(name: Column, keep_underscore: bool = False) -> Column:
     """Distinct lower-case tokens of an entity name; of a path only the stem counts."""
@@ -27,7 +29,7 @@ def scores(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """
     asked = queries.select("query", F.explode(tokens(F.col("name"))).alias("token")).distinct()
     vocabulary = asked.select("token").distinct()
-    low = texts.select("id", F.lower("text").alias("text"))
+    low = spread(texts.select("id", F.lower("text").alias("text")))
     hits = low.join(vocabulary, F.contains(F.col("text"), F.col("token"))).select("id", "token", occurrences(F.col("text"), F.col("token")).alias("n"))
     return asked.join(hits, "token").groupBy("query", "id").agg(F.sum("n").alias("score"))
 

@@ -119,10 +119,10 @@ _SCRIPTS = [(k, re.compile(v)) for k, v in _SCRIPTS]
 
 _WORD = re.compile(r"\w+(?:['’]\w+)*")
 _FENCE = re.compile(r"(?m)^[ \t>]*(`{3,}|~{3,})[^\n`]*$")
-_PATH = re.compile(r"[\w.@~-]*(?:[/\\][\w.@~()\[\]*+-]+)+")
+_PATH = re.compile(r"(?<![\w.@~-])[\w.@~-]*(?:[/\\][\w.@~()\[\]*+-]+)+")
 _ID = re.compile(r"\b[A-Z]{1,4}-\d+\b")
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|‘[^’]*’|`[^`]*`|\\?\"[^\"\n]*\"")
-_CODE = re.compile(r"\w*[_.\d]\w+(?:\.\w+)*|\b[a-z]+[A-Z]\w*")
+_CODE = re.compile(r"(?<!\w)\w*[_.\d]\w+(?:\.\w+)*|\b[a-z]+[A-Z]\w*")
 _HOLLOW = re.compile(r"`{3,}[A-Za-z]*|~{3,}[A-Za-z]*")
 _HOLLOW_CHARS = frozenset("\"'`´“”„‟«»‹›‘’‚‛[](){}<>（）［］｛｝「」『』〈〉《》【】＂＇⠀ㅤᅟᅠ￼")
 
@@ -194,13 +194,13 @@ def _strings(value) -> Iterator[str]:
 def language(text: str) -> tuple[str, int, dict[str, int]]:
     """The likely language of the running text, its count of evidence, and the counts of all."""
     bare = _CODE.sub(" ", _ID.sub(" ", _PATH.sub(" ", _QUOTED.sub(" ", text))))
-    scores = {k: len(p.findall(bare)) for k, p in _SCRIPTS}
-    if scores["ja"]:
-        scores["ja"] += scores["zh"]
-    letters = len(re.findall(r"[^\W\d_]", bare))
-    best = max(scores, key=scores.get)
-    if scores[best] * 2 > letters:
-        return best, scores[best], scores
+    if not bare.isascii():
+        scores = {k: len(p.findall(bare)) for k, p in _SCRIPTS}
+        if scores["ja"]:
+            scores["ja"] += scores["zh"]
+        best = max(scores, key=scores.get)
+        if scores[best] and scores[best] * 2 > len(re.findall(r"[^\W\d_]", bare)):
+            return best, scores[best], scores
     counts = dict.fromkeys(WORDS, 0)
     for t in re.findall(r"[^\W\d_]+['’]?", bare.casefold()):
         t = t.replace("’", "'")

@@ -1,16 +1,5 @@
-"""Enough partitions for work that is heavier than its input."""
+"""Enough partitions for work that is heavier than its input: the core's."""
 
-from __future__ import annotations
+from tracewell.session import spread
 
-from pyspark.sql import DataFrame
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over at least as many partitions as there are cores.
-
-    A large input has more splits than that already and is not moved; a small one is, as a few files would
-    otherwise keep a few cores busy.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+__all__ = ["spread"]

@@ -25,6 +25,8 @@ HEADING, PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
 NAMES = {HEADING: "heading", PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", WORD: "word", INSIDE: "inside"}
 
 _HEADING = regex.compile(r"(?:#{1,6}\s|={3,}|\d+(?:\.\d+)*\.?\s+\p{Lu}|[\p{Lu}\d][\p{Lu}\d \-]{3,}(?:\n|$))")
+#: What a sentence may end with; other words need no pattern.
+_ENDS = frozenset(".!?…。！？\"'”’»)]*")
 _SENTENCE_END = regex.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s*$")
 
 
@@ -81,12 +83,15 @@ def boundaries(words: list[str], text: str, starts: np.ndarray) -> np.ndarray:
             solid = False
         else:
             newlines, solid = 0, True
-            sentence = bool(_SENTENCE_END.search(w)) or sentence and not any(c.isalnum() for c in w)
+            sentence = w[-1] in _ENDS and (bool(_SENTENCE_END.search(w)) or sentence and not any(c.isalnum() for c in w))
     return out
 
 
-def _units(text: str, encoder: Encoder, limit: int) -> tuple[list[str], np.ndarray]:
-    """The vocabulary's words with their numbers of tokens; a word over the limit is cut between characters."""
+def _units(text: str, encoder: Encoder, limit: int) -> tuple[list[str], np.ndarray, bool]:
+    """The vocabulary's words with their numbers of tokens; a word over the limit is cut between characters.
+
+    Last, whether the words are whole: then the tokens of a run of words are those of its text.
+    """
     words = encoder.pieces(text)
     counts = encoder.counts(words)
     if len(counts) and counts.max() > limit:
@@ -94,8 +99,8 @@ def _units(text: str, encoder: Encoder, limit: int) -> tuple[list[str], np.ndarr
         for w, n in zip(words, counts):
             step = max(1, limit // 4)  # a character has at most four bytes, so at most four tokens
             parts += [w] if n <= limit else [w[i : i + step] for i in range(0, len(w), step)]
-        words, counts = parts, encoder.counts(parts)
-    return words, counts
+        return parts, encoder.counts(parts), False
+    return words, counts, True
 
 
 def split_text(text: str, encoder: Encoder, sizes: Sizes = Sizes()) -> list[tuple[int, int, int, int, str]]:
@@ -108,16 +113,28 @@ def split_text(text: str, encoder: Encoder, sizes: Sizes = Sizes()) -> list[tupl
     if not text:
         return []
     core_max = sizes.limit - sizes.overlap
-    words, counts = _units(text, encoder, core_max)
+    words, counts, whole = _units(text, encoder, core_max)
     total = int(counts.sum())
-    if total <= sizes.limit:
-        whole = int(len(encoder.encode_batch([text])[0]))
-        if whole <= sizes.limit:
-            return [(0, len(text), 0, whole, "start")]
+    if total <= sizes.limit or not whole:
+        size = total if whole else len(encoder.encode_batch([text])[0])
+        if size <= sizes.limit:
+            return [(0, len(text), 0, size, "start")]
     starts = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
     tokens = np.r_[0, np.cumsum(counts)].astype(np.int64)
     kinds = boundaries(words, text, starts)
     marks = landmarks(np.array([crc32(w.strip().encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64), sizes.window, sizes.every)
+
+    def tokens_of(begin: int, end: int) -> int:
+        """Tokens of the text of words[begin:end]."""
+        if not whole:
+            return len(encoder.encode_batch([text[starts[begin] : starts[end]]])[0])
+        last = end
+        while last > begin and words[last - 1].isspace():
+            last -= 1
+        # white space at the end of a text is one word, in its middle it may have been two
+        tail = int(encoder.counts([text[starts[last] : starts[end]]])[0]) if end - last > 1 else int(tokens[end] - tokens[last])
+        return int(tokens[last] - tokens[begin]) + tail
+
     n, cuts, at = len(words), [0], 0
     while tokens[n] - tokens[at] > core_max:
         low = int(np.searchsorted(tokens, tokens[at] + sizes.least, "left"))
@@ -149,8 +166,7 @@ def split_text(text: str, encoder: Encoder, sizes: Sizes = Sizes()) -> list[tupl
                 best = kinds[first:cut].max()
                 begin = int(first + np.flatnonzero(kinds[first:cut] == best)[0])
         while True:
-            piece = text[starts[begin] : starts[end]]
-            size = len(encoder.encode_batch([piece])[0])
+            size = tokens_of(begin, end)
             if size <= sizes.limit or begin >= cut:
                 break
             begin = min(cut, begin + max(1, (cut - begin) // 2))

@@ -62,14 +62,16 @@ def _double(state: DataFrame, carried: dict[str, Column]) -> DataFrame:
 
     Many nodes may share an ancestor: they are on the left, where adaptive execution splits skewed partitions.
     """
-    a, b = state.alias("a"), state.alias("b")
+    rest = state.where("anc is null")  # arrived: nothing above is left to take over
+    a, b = state.where("anc is not null").alias("a"), state.alias("b")
     joined = a.join(b, F.col("a.anc") == F.col("b.node_id"), "left")
     moved = F.col("b.node_id").isNotNull()
-    return joined.select(
+    further = joined.select(
         F.col("a.node_id").alias("node_id"),
         F.col("b.anc").alias("anc"),
         *[F.when(moved, v).otherwise(F.col(f"a.{k}")).alias(k) for k, v in carried.items()],
     )
+    return further.unionByName(rest.select("node_id", "anc", *carried))
 
 
 def _upward(links: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFrame, DataFrame]:

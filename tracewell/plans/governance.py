@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.paths import LANGUAGES, is_backend, language
 from tracewell.functions.text import is_ignored, repo_path
-from tracewell.operators import detect, gate, governance, graph, privacy
-from tracewell.plans.general import _KEY, _NORM, _P2
+from tracewell.operators import detect, gate, governance, graph, privacy, risk
+from tracewell.operators.packed import packed_values
+from tracewell.plans.general import _KEY, _NORM, _P2, _PACKED
 from tracewell.session import table
 
 G = governance.build
@@ -157,7 +158,7 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_call_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Callers within three links of every hundredth part, against the direction of the edges."""
+    """For every part the number of parts that reach it within three links."""
     e = _parts(spark, d)
     seeds = table(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("node"))
     return graph.reachability(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, 3).groupBy("seed").agg(F.count("*").alias("n"))
@@ -194,8 +195,6 @@ def g0_region_radius(spark: SparkSession, d: str) -> DataFrame:
     reach = graph.reachability(edges, seeds, 25)
     kind = F.substring_index("node", ":", 1)
     one = lambda k: F.sum(F.when(kind == k, 1).otherwise(0))
-    from tracewell.operators import risk
-
     out = reach.groupBy("seed").agg(F.count("*").alias("reached"), one("order").alias("orders"), one("customer").alias("customers"), one("supplier").alias("suppliers"))
     points = risk.score(F.col("orders"), F.col("customers"), F.col("suppliers"), F.lit(0))
     return out.withColumn("risk_score", points).withColumn("risk_severity", risk.severity(F.col("risk_score")))
@@ -268,9 +267,6 @@ def q7_preflight(spark: SparkSession, d: str) -> DataFrame:
 
 def q16_propose(spark: SparkSession, d: str) -> DataFrame:
     """Plans of the scenario log gated against what its oracle says: missed and silent sets and the decision."""
-    from tracewell.plans.general import _PACKED
-    from tracewell.operators.packed import packed_values
-
     rows = table(spark, d, "scenario_predictions")
     items = packed_values(rows, "prediction_id", _PACKED, ["provider", "model"]).groupBy("prediction_id").pivot("field", sorted(_PACKED)).agg(F.collect_set("value"))
     ids = rows.select("prediction_id").distinct()
@@ -289,7 +285,7 @@ def q19_graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q20_change_report(spark: SparkSession, d: str) -> DataFrame:
-    """One changeset per repo: its files whose name begins with a vowel of a path segment, authorized by length."""
+    """One changeset per repo, its api and db files; repos with names of even length are authorized."""
     g = G(spark, d)
     sets = g.files.where("path like 'src/api/%' or path like 'src/db/%'").select(F.col("repo").alias("change_id"), "file")
     decisions = g.files.select(F.col("repo").alias("change_id")).distinct().withColumn("authorized", F.length("change_id") % 2 == 0)
@@ -359,12 +355,9 @@ def _sql(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([_GOV, *ctes]) + "\n" + body
 
 
-_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN {{{i}}}" for i, (p, *_) in enumerate(privacy.CATALOG)) + " ELSE {other} END"
-
-
 def _pick(k: int, other: str) -> str:
-    values = [f"'{','.join(x[k]) if isinstance(x[k], list) else x[k]}'" for x in privacy.CATALOG]
-    return _CLASS.replace("{other}", "\0").format(*values).replace("\0", f"'{other}'") if False else "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p[0]}') THEN {v}" for p, v in zip(privacy.CATALOG, values)) + f" ELSE '{other}' END"
+    values = [",".join(x[k]) if isinstance(x[k], list) else x[k] for x in privacy.CATALOG]
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p[0]}') THEN '{v}'" for p, v in zip(privacy.CATALOG, values)) + f" ELSE '{other}' END"
 
 
 _PII = f"""g_pii0 AS (SELECT tbl, name, {_pick(1, 'non_personal')} AS category, {_pick(2, 'none')} AS sensitivity, {_pick(3, '')} AS articles, {_pick(4, 'unknown')} AS subject FROM g_columns),

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.paths import has_wildcards, is_backend, is_relative_pattern, is_safe_symbol
 from tracewell.functions.text import key, repo_path
-from tracewell.operators import evaluate as ev
 from tracewell.operators import governance, graph, privacy, retrieval, rules
 from tracewell.operators.parsers import parse_schemas
-from tracewell.plans.governance import _BACK, _IMPACT, _PII, _pick, _sql
+from tracewell.plans.governance import _BACK, _IMPACT, _pick, _sql
 from tracewell.plans.rules import _RULES, _requests, _rules
 from tracewell.session import table
 from tracewell.streaming.changes import dispatch
@@ -201,7 +200,6 @@ def a13_rates(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("provider", "model").agg(F.count("*").alias("n"), F.round(F.avg(F.col("parse_error").isNotNull().cast("int")), 6).alias("rate"))
 
 
-_ = ev
 _NAMES = "f7_word_match f12_patterns f13_safe_symbols f15_gated_tables j4_requirement_policies j5_column_tables j6_table_functions j11_implemented_by j12_applies_to j19_rule_policies j20_filter_in_join j22_probe_grid j25_policies_hit g8_ablation a1_collect a5_functions_of_files t2k_requirements u5_missing_from_changeset e10_probes e12_scenarios e13_governance_oracle e14_tables_with_columns k10_classified_schema l1_naive r1_dispatch a13_rates"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -244,4 +242,3 @@ SQL = {
     "r1_dispatch": f"WITH e AS (SELECT {_NORM.format('file_path')} AS p FROM import_graph) SELECT CASE WHEN p = 'src/db' OR starts_with(p, 'src/db/') THEN 'schema' WHEN p IN ('src', 'app', 'packages') OR starts_with(p, 'src/') OR starts_with(p, 'app/') OR starts_with(p, 'packages/') THEN 'code' WHEN p = 'scripts' OR starts_with(p, 'scripts/') THEN 'script' ELSE 'other' END AS kind, count(*) AS n FROM e GROUP BY 1",
     "a13_rates": "SELECT provider, model, count(*) AS n, round(avg((parse_error IS NOT NULL)::INT), 6) AS rate FROM (SELECT DISTINCT reply_id, provider, model, parse_error FROM llm_replies) GROUP BY ALL",
 }
-_ = _PII

@@ -77,3 +77,17 @@ def test_classes_against_brute_force(spark):
             if len(a & b) >= 0.8 * len(a | b):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     assert got == {i: find(i) for i in range(90)}
+
+
+def test_classes_decide(spark):
+    header = "/*!\n * kit v1\n * Released under the MIT License.\n */\n"
+    lines = [f"export const read{k} = (row) => row.part{k} + limit{k};\n" for k in range(40)]
+    copy = [*lines[:20], "export const readOther = (row) => row.other + limitOther;\n", *lines[21:]]
+    own = [f"export const load{k} = (item) => item.side{k} + bound{k};\n" for k in range(40)]
+    blob, short = "[\n" + "  1,2,3,4,5,6,7,8,\n" * 30 + "]\n", "[\n  1,2,3,4,5,6,7,8,\n]\n"
+    texts = {1: header + "".join(lines), 2: "".join(copy), 3: "".join(own), 4: blob, 5: short, 6: "let a = 1\n"}
+    files = [(k, "a", f"src/x{k}.ts", t, 1, "k", 0) for k, t in texts.items()]
+    specs = spark.createDataFrame([("a", [])], "name string, ignore array<string>")
+    got = {r.file_id: r for r in handwritten.judged_files(spark.createDataFrame(files, SCHEMA), specs).collect()}
+    assert got[1]["class"] == got[2]["class"] == got[3]["class"]
+    assert {k: list(r.reasons) for k, r in got.items() if r.reasons} == {1: ["vendored"], 2: ["vendored"], 4: ["data"], 5: ["data"]}

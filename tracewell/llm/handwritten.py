@@ -5,14 +5,16 @@ same set are one shape; shapes are banded by MinHash, verified at a similarity o
 class that holds nothing but literals is data; one within a repository is a family, one across repositories a
 candidate for vendoring. As hand-written files of one house also share their masked shapes, a class alone is no
 proof but for data: within it each file is checked for marks of tools and upstream projects in its comments and
-path, for its layout, and for an unmasked body that equals that of a marked file.
+path, for its layout, and for unmasked shingles that are similar to those of a marked file of the class at 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from tracewell.session import Scratch
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 rows: a pair at 0.8 shares a band with probability 0.9998.
 BANDS, ROWS = 16, 4
+#: The same for unmasked shingles, most of which few files share: 48 bands of 8 rows, 0.9999 at 0.8 and 0.17 at 0.5.
+OWN_BANDS, OWN_ROWS = 48, 8
 #: Parts into which a bucket is split before the leaders of its parts are compared.
 SALTS = 16
 #: Share of literals among the names and literals of a file from which it is data.
@@ -35,7 +39,9 @@ LITERAL = 0.9
 LITERALS, LITERAL_CHARS = 40, 400
 #: A line of code is long from here on, and a file with more than half of its code in long lines is minified.
 LONG_LINE = 300
-#: Tokens from which equal bodies mean a copy.
+#: Marks that a copy of a file inherits.
+COPIED = ("generated", "vendored")
+#: Tokens from which similar bodies mean a copy.
 BODY = 40
 
 _TOKEN = re.compile(
@@ -116,6 +122,8 @@ def is_minified(text: str) -> bool:
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(1, 2**61 - 1, BANDS * ROWS, dtype=np.uint64) | np.uint64(1))[:, None]
 _B = _rng.integers(0, 2**61 - 1, BANDS * ROWS, dtype=np.uint64)[:, None]
+_OWN_A = (_rng.integers(1, 2**61 - 1, OWN_BANDS * OWN_ROWS, dtype=np.uint64) | np.uint64(1))[:, None]
+_OWN_B = _rng.integers(0, 2**61 - 1, OWN_BANDS * OWN_ROWS, dtype=np.uint64)[:, None]
 
 
 def shingles_of(codes: np.ndarray) -> np.ndarray:
@@ -130,16 +138,16 @@ def shingles_of(codes: np.ndarray) -> np.ndarray:
     return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
-def bands_of(shingles: np.ndarray) -> list[int]:
-    """A hash of each band of the MinHash signature."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def bands_of(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, size: int = ROWS) -> list[int]:
+    """A hash of each band of ``size`` rows of the MinHash signature."""
+    low = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), 20_000):  # so that memory does not grow with the text
         part = shingles[i : i + 20_000].astype(np.uint64)[None, :]
-        mixed = _A * part + _B
+        mixed = a * part + b
         low = np.minimum(low, (mixed ^ (mixed >> np.uint64(31))).min(axis=1))
-    rows = low.reshape(BANDS, ROWS)
-    h = np.zeros(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+    rows = low.reshape(-1, size)
+    h = np.zeros(len(rows), dtype=np.uint64)
+    for k in range(size):
         h = (h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]) ^ (h >> np.uint64(31))
     return h.view(np.int64).tolist()
 
@@ -148,12 +156,35 @@ def bands_of(shingles: np.ndarray) -> list[int]:
 _CODES = {w: k for k, w in enumerate(sorted(_KEYWORDS), 3)}
 
 
+@lru_cache(1 << 16)
+def _word_code(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
+
+
+def own_shingles(tokens: list[str]) -> np.ndarray:
+    """Unmasked 32-bit shingles of BODY tokens or more; one that comes again is another, so half of a text is not all."""
+    n = len(tokens) - SHINGLE + 1
+    codes = np.array([_word_code(x) for x in tokens], dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        h = (h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)) ^ (h >> np.uint64(29))
+    h.sort()
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), at, 0))
+    h += (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
 def features(path: str, text: str) -> tuple:
-    """marks, literal share of the file, fingerprints of its body and shape, shingles and bands of its shape."""
+    """marks, whether the file is a blob, its literals and names, fingerprints of its body and shape, shingles and bands
+    of its shape and, from BODY tokens on, of its unmasked body."""
     found = [t for t in _TOKEN.findall(text) if not t[0]]
     word = _CODES.get
     masked = [1 if s else 2 if d else word(n, 0) if n else 1_000 + ord(p) for _, s, d, n, p in found]
-    body = hashlib.blake2b("\0".join([s or d or n or p for _, s, d, n, p in found]).encode("utf-8", "surrogatepass"), digest_size=8)
+    plain = [s or d or n or p for _, s, d, n, p in found]
+    body = hashlib.blake2b("\0".join(plain).encode("utf-8", "surrogatepass"), digest_size=8)
     literals = sum(1 for k in masked if k == 1 or k == 2)
     names = sum(1 for k in masked if k == 0 or 3 <= k < 1_000)
     chars = sum(len(s) + len(d) for _, s, d, _, _ in found)
@@ -169,10 +200,16 @@ def features(path: str, text: str) -> tuple:
     if is_minified(text):
         marks.add("minified")
     shape = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-    return sorted(marks), bool(is_blob), int.from_bytes(body.digest(), "little", signed=True), len(found), shape, s.view(np.int32).tolist(), bands_of(s)
+    own, own_bands = np.zeros(0, np.uint32), []
+    if len(found) >= BODY:
+        own = own_shingles(plain)
+        own_bands = bands_of(own, _OWN_A, _OWN_B, OWN_ROWS)
+    body = int.from_bytes(body.digest(), "little", signed=True)
+    return sorted(marks), bool(is_blob), literals, names, body, len(found), shape, s.view(np.int32).tolist(), bands_of(s), own.view(np.int32).tolist(), own_bands
 
 
-_FEATURES = "file_id long, repo string, path string, ingested_at {}, marks array<string>, literal boolean, body long, size long, shape long, shingles array<int>, bands array<long>"
+_COLUMNS = ["marks", "literal", "literals", "names", "body", "size", "shape", "shingles", "bands", "own", "own_bands"]
+_FEATURES = "file_id long, repo string, path string, ingested_at {}, marks array<string>, literal boolean, literals long, names long, body long, size long, shape long, shingles array<int>, bands array<long>, own array<int>, own_bands array<long>"
 
 
 def file_features(files: DataFrame) -> DataFrame:
@@ -183,7 +220,7 @@ def file_features(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [features(p.replace("\\", "/"), t) for p, t in zip(b["path"], b["content"])]
-            out = pd.DataFrame(found, columns=["marks", "literal", "body", "size", "shape", "shingles", "bands"])
+            out = pd.DataFrame(found, columns=_COLUMNS)
             yield pd.concat([b[["file_id", "repo", "path", "ingested_at"]].reset_index(drop=True), out], axis=1)
 
     return rows.mapInPandas(run, _FEATURES.format(rows.schema["ingested_at"].dataType.simpleString()))
@@ -244,6 +281,28 @@ def shape_classes(feats: DataFrame, scratch: Scratch) -> DataFrame:
     return components(edges, scratch).select(F.col("node").alias("shape"), "class")
 
 
+def inherited(last: DataFrame, raw: DataFrame, scratch: Scratch) -> DataFrame:
+    """class, body, copied: the marks that a body or others of its class have to which its similarity is at least 0.8.
+
+    last: class, body, size, marks; raw: body, size, own, own_bands.
+    """
+    bodies = last.where(f"size >= {BODY}").select("class", "body", F.explode_outer("marks").alias("mark"))
+    bodies = scratch.write(bodies.groupBy("class", "body").agg(*[F.max(F.coalesce(F.col("mark") == m, F.lit(False))).alias(m) for m in COPIED]), "bodies")
+    sets = scratch.write(raw.where(f"size >= {BODY}").groupBy("body").agg(F.any_value("own").alias("own"), F.any_value("own_bands").alias("own_bands")), "sets")
+    given = bodies.select("class", "body", F.inline(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(m).alias("has")) for m in COPIED]))).where("has").drop("has")
+    banded = lambda df: df.join(sets, "body").select("class", "body", F.size("own").alias("n"), F.posexplode("own_bands").alias("band", "h"))
+    asked = banded(bodies.where(" or ".join(f"not {m}" for m in COPIED)).select("class", "body"))
+    theirs = banded(given.select("class", "body").distinct()).withColumnsRenamed({"body": "other", "n": "m"})
+    # a similar body has at least 0.8 of the other's shingles
+    pairs = asked.join(theirs, ["class", "band", "h"]).where(f"body <> other and least(n, m) >= {SIMILARITY} * greatest(n, m) - 1e-6").select("class", "body", "other").distinct()
+    marked = given.withColumnRenamed("body", "other")
+    pairs = scratch.write(pairs.join(marked, ["class", "other"]).join(given, ["class", "body", "mark"], "left_anti"), "pairs")
+    pairs = pairs.join(sets.select("body", "own"), "body").join(sets.select(F.col("body").alias("other"), F.col("own").alias("theirs")), "other")
+    common = F.size(F.array_intersect("own", "theirs"))
+    near = pairs.where(common >= SIMILARITY * (F.size("own") + F.size("theirs") - common))
+    return given.select("class", "body", "mark").union(near.select("class", "body", "mark")).groupBy("class", "body").agg(F.collect_set("mark").alias("copied"))  # at most two marks
+
+
 def judged_files(files: DataFrame, specs: DataFrame) -> DataFrame:
     """file_id, repo, class, n_files, n_repos, kind, reasons: every source file with its class and what it is.
 
@@ -257,24 +316,24 @@ def judged_files(files: DataFrame, specs: DataFrame) -> DataFrame:
     scratch = Scratch(files.sparkSession)
     order = F.struct("ingested_at", "path", "body")
     raw = scratch.write(file_features(files), "raw")
-    last = raw.groupBy("file_id").agg(F.max_by(F.struct("repo", "path", "marks", "literal", "body", "size", "shape"), order).alias("x")).select("file_id", "x.*")
+    last = raw.groupBy("file_id").agg(F.max_by(F.struct("repo", "path", "marks", "literal", "literals", "names", "body", "size", "shape"), order).alias("x")).select("file_id", "x.*")
     last = scratch.write(last, "files")
     classes = shape_classes(raw, scratch)
     classed = last.join(classes, "shape")
     stats = classed.groupBy("class").agg(
-        F.count("*").alias("n_files"), F.approx_count_distinct("repo").alias("n_repos"), (F.min("repo") < F.max("repo")).alias("across"), F.avg(F.col("literal").cast("int")).alias("share")
-    )
-    marked = last.where(f"size >= {BODY}").select("body", F.explode("marks").alias("mark")).where("mark <> 'minified'").distinct()
-    marked = marked.groupBy("body").agg(F.collect_set("mark").alias("copied"))  # at most two marks
+        F.count("*").alias("n_files"), F.approx_count_distinct("repo").alias("n_repos"), (F.min("repo") < F.max("repo")).alias("across"),
+        F.greatest(F.avg(F.col("literal").cast("int")) / 0.5, F.sum("literals") / F.greatest(F.sum("literals") + F.sum("names"), F.lit(1)) / LITERAL).alias("share"),
+    )
+    marked = inherited(classed, raw, scratch)
     tokens = specs.groupBy(F.col("name").alias("repo")).agg(F.max("ignore").alias("tokens"))
-    out = classed.join(stats, "class").join(marked, "body", "left").join(tokens, "repo", "left")
-    kind = F.when(F.col("share") >= 0.5, "literal").when(F.col("n_files") == 1, "single").when(F.coalesce("across", F.lit(False)), "across").otherwise("family")
+    out = classed.join(stats, "class").join(marked, ["class", "body"], "left").join(tokens, "repo", "left")
+    kind = F.when(F.col("share") >= 1, "literal").when(F.col("n_files") == 1, "single").when(F.coalesce("across", F.lit(False)), "across").otherwise("family")
     none = F.array().cast("array<string>")
     copied = F.when(F.col("size") >= BODY, F.coalesce("copied", none)).otherwise(none)
     reasons = F.array_distinct(
         F.concat(
             F.when(is_ignored(F.col("path"), F.col("tokens")), F.array(F.lit("ignored"))).otherwise(none),
-            F.when(F.col("literal"), F.array(F.lit("data"))).otherwise(none),
+            F.when(F.col("literal") | (kind == "literal"), F.array(F.lit("data"))).otherwise(none),
             F.col("marks"),
             copied,
         )

@@ -91,3 +91,13 @@ def test_classes_decide(spark):
     got = {r.file_id: r for r in handwritten.judged_files(spark.createDataFrame(files, SCHEMA), specs).collect()}
     assert got[1]["class"] == got[2]["class"] == got[3]["class"]
     assert {k: list(r.reasons) for k, r in got.items() if r.reasons} == {1: ["vendored"], 2: ["vendored"], 4: ["data"], 5: ["data"]}
+
+
+def test_links_between_members_of_leaders(spark, monkeypatch):
+    monkeypatch.setattr(handwritten, "CELL", 3, raising=False)
+    window = lambda i: list(range(i, i + 100))
+    # in order of shape: the leaders 10 and 20 with the members 30 and 40, of which only the members are similar
+    starts = {10: 0, 20: 25, 30: 8, 40: 17, 50: 1_000, 60: 1_009, 70: 5_000}
+    rows = [(k, window(i), [7]) for k, i in starts.items()]
+    df = handwritten.shape_classes(spark.createDataFrame(rows, "shape long, shingles array<int>, bands array<long>"), Scratch(spark))
+    assert {r.shape: r["class"] for r in df.collect()} == {10: 10, 20: 10, 30: 10, 40: 10, 50: 50, 60: 50, 70: 70}

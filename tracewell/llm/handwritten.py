@@ -31,8 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: The same for unmasked shingles, most of which few files share: 48 bands of 8 rows, 0.9999 at 0.8 and 0.17 at 0.5.
 OWN_BANDS, OWN_ROWS = 48, 8
-#: Parts into which a bucket is split before the leaders of its parts are compared.
-SALTS = 16
+#: Shapes of a bucket from which it is split into parts; each two parts are then a cell, in which all is compared.
+CELL = 1_000
 #: Share of literals among the names and literals of a file from which it is data.
 LITERAL = 0.9
 #: Literals that make a file a blob: so many, or so many characters in them.
@@ -226,29 +226,61 @@ def file_features(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, _FEATURES.format(rows.schema["ingested_at"].dataType.simpleString()))
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """shape, leader, shingles of rows (bucket, shape, shingles): a leader is none of whose earlier leaders is similar.
+def _links(rows: DataFrame) -> DataFrame:
+    """a, b of rows (cell, shape, shingles): links that join all shapes of a cell between which similar ones lead.
 
-    Rows stream by bucket in order; only the leaders of the current bucket are kept.
+    Rows stream by cell in order; the shapes of the current cell are kept, each below a leader to which it is similar.
+    As 1 - similarity is a metric, members of a leader further than twice the bound cannot be similar, nor those whose
+    distance to their leader is too small; all others of other components are compared.
     """
+    bound = 1 - SIMILARITY
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, leaders = None, []
+        cell, leaders, parent = None, [], {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         for b in batches:
             out = []
-            for key, shape, s in zip(b["bucket"], b["shape"], b["shingles"]):
-                if key != bucket:
-                    bucket, leaders = key, []
-                own = frozenset(s.tolist())
-                hit = [lead for lead, held in leaders if len(own & held) >= SIMILARITY * len(own | held)]
-                if not hit:
-                    leaders.append((shape, own))
-                    hit = [shape]
-                out += [(key, shape, lead, s if lead == shape else None) for lead in hit]
-            yield pd.DataFrame(out, columns=["bucket", "shape", "leader", "shingles"])
-
-    ordered = rows.select("bucket", "shape", "shingles").repartition("bucket").sortWithinPartitions("bucket", "shape")
-    return ordered.mapInPandas(run, "bucket string, shape long, leader long, shingles array<int>")
+            for key, shape, s in zip(b["cell"], b["shape"], b["shingles"]):
+                if key != cell:
+                    cell, leaders, parent = key, [], {}
+                if shape in parent:
+                    continue
+                own, home = frozenset(s.tolist()), None
+                parent[shape] = shape
+
+                def link(other: int) -> None:
+                    parent[root(other)] = root(shape)
+                    out.append((shape, other))
+
+                for lead, held, members in leaders:
+                    if root(lead) == root(shape):
+                        continue
+                    common = len(own & held)
+                    union = len(own) + len(held) - common
+                    far = 1 - common / union
+                    if common >= SIMILARITY * union:
+                        home = home or (far, members)
+                        link(lead)
+                    elif far <= 2 * bound + 1e-9:
+                        for near, member, theirs in members:
+                            if far - near <= bound + 1e-9:
+                                common = len(own & theirs)
+                                if common >= SIMILARITY * (len(own) + len(theirs) - common):
+                                    link(member)
+                                    break
+                if home:
+                    home[1].append((home[0], shape, own))
+                else:
+                    leaders.append((shape, own, []))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    ordered = rows.select("cell", "shape", "shingles").repartition("cell").sortWithinPartitions("cell", "shape")
+    return ordered.mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -271,13 +303,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def shape_classes(feats: DataFrame, scratch: Scratch) -> DataFrame:
     """shape, class for every shape of ``feats``: shapes joined by verified similarity of at least 0.8."""
     shapes = scratch.write(feats.groupBy("shape").agg(F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")), "shapes")
-    salt = F.pmod(F.xxhash64("shape"), F.lit(SALTS))
-    cells = shapes.select("shape", "shingles", F.posexplode("bands").alias("band", "h"))
-    cells = cells.withColumn("bucket", F.concat_ws(":", "band", "h", salt))
-    first = scratch.write(_leaders(cells), "leaders")
-    heads = first.where("shape = leader").withColumn("bucket", F.substring_index("bucket", ":", 2))
-    second = _leaders(heads)
-    edges = first.select(F.col("shape").alias("a"), F.col("leader").alias("b")).union(second.select("shape", "leader"))
+    cells = shapes.select("shape", F.posexplode("bands").alias("band", "h"))
+    parts = cells.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").select("band", "h", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    cells = cells.join(parts, ["band", "h"]).withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = cells.select("shape", "band", "h", "part", others.alias("other"))
+    cells = cells.select("shape", F.concat_ws(":", "band", "h", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    links = _links(cells.join(shapes.select("shape", "shingles"), "shape"))
+    edges = shapes.select(F.col("shape").alias("a"), F.col("shape").alias("b")).union(links)
     return components(edges, scratch).select(F.col("node").alias("shape"), "class")
 
 

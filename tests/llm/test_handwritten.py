@@ -101,3 +101,11 @@ def test_links_between_members_of_leaders(spark, monkeypatch):
     rows = [(k, window(i), [7]) for k, i in starts.items()]
     df = handwritten.shape_classes(spark.createDataFrame(rows, "shape long, shingles array<int>, bands array<long>"), Scratch(spark))
     assert {r.shape: r["class"] for r in df.collect()} == {10: 10, 20: 10, 30: 10, 40: 10, 50: 50, 60: 50, 70: 70}
+
+
+def test_marks_after_the_head():
+    m = handwritten.comment_marks
+    licence = "/*\n" + " * Terms of the house.\n" * 30 + " */\n"
+    assert m(licence + "// Code generated by tool v1. DO NOT EDIT.\nx = 1\n") == {"generated"}
+    assert m("let a = 1\n" * 200 + "/*!\n * a v1\n * Released under the MIT License.\n */\nlet b = 1\n") == {"vendored"}
+    assert m(licence + "const HEADER = `\n// Code generated by tool v1. DO NOT EDIT.\n`\n") == set()

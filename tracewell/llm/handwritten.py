@@ -84,14 +84,16 @@ VENDORED = re.compile(
 )
 GENERATED_PATH = re.compile(r"(?i)(?:^|/)__generated__/|\.generated\.\w+$|\.g(?:en)?\.\w+$|\.pb\.(?:go|cc|h)$|_pb2(?:_grpc)?\.py$|\.designer\.\w+$")
 VENDORED_PATH = re.compile(r"(?i)^(?:[\w.-]+/)*(?:third[_-]party|node_modules|bower_components)/|^vendor/[^/]+\.[a-z]+/|[-@_]v?\d+\.\d+\.\d+(?:[-.][\w.]*)?\.\w+$|[-@]v?\d+\.\d+\.\d+/")
-#: Only comments in so many first lines are read for marks.
-HEAD = 25
-
 
 def comment_marks(text: str) -> set[str]:
-    """generated or vendored, by the comment lines at the head of a text."""
+    """generated or vendored, by all comment lines of a text; lines of a string are none."""
+    found = _line_marks(text)
+    return found and _line_marks(_TOKEN.sub(lambda m: '""' if m.lastgroup == "s" and "\n" in m.group() else m.group(), text))
+
+
+def _line_marks(text: str) -> set[str]:
     found, inside = set(), False
-    for line in text.lstrip("﻿").split("\n", HEAD)[:HEAD]:
+    for line in text.lstrip("﻿").split("\n"):
         s = line.strip()
         begins = s.startswith(("//", "#", "/*", "*", "--", "<!--", ";;"))
         if not (begins or inside):

@@ -2,6 +2,7 @@ import math
 import random
 
 from tracewell.operators import detect, dml, evaluate as ev, graph, privacy, retrieval, risk
+from tracewell.plans import governance
 from pyspark.sql import functions as F
 
 
@@ -89,6 +90,25 @@ def test_detection(spark):
     assert {r.score for r in detect.candidates(df.where("id = 4"), tables, cols, files).collect()} == {8}
 
 
+def test_file_candidates(spark, small):
+    paths = ["src/api/pay-order.v2.ts", "src/Invoice.py", "src/db/7q4.sql", "a.c", "lib/.env", "src/modules/invoice.go", "x/page.ts"]
+    texts = ["the PAY-ORDER.V2 job", "reinvoiced", "7q4 alone", "see mysrc/db/7q4.sql", "in a.c here", "the env", "src/invoice.py", "homepages", "", None]
+    f = spark.createDataFrame([(p,) for p in paths], "file string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    none = spark.createDataFrame([], "tbl string, name string")
+    got = {(r.id, r.entity_name): r.score for r in detect.candidates(df, none.select("name"), none, f).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for p in paths:
+            stem = p.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower()
+            if t and p.lower() in t.lower():
+                want[i, p] = 8
+            elif t and len(stem) > 3 and stem in t.lower():
+                want[i, p] = 3
+    assert got == want and len(want) == 8
+    assert governance.q14_candidates(spark, small).where("entity_type = 'file'").count() > 0
+
+
 def test_retrieval(spark):
     q = spark.createDataFrame([("q", "src/user_list.ts"), ("r", "a.b")], "query string, name string")
     t = spark.createDataFrame([("1", "user user LIST"), ("2", "list"), ("3", "none"), ("4", "aab")], "id string, text string")

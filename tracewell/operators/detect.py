@@ -22,11 +22,28 @@ def path_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(files.select("file", F.lower("file").alias("p")), "p").select("id", "file").distinct()
 
 
+def file_hits(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """id, file, score: eight where a text holds the path of a file, else three where it holds the name without its
+    extension, of more than three letters; anywhere in the text and without letter case.
+
+    A text and a file meet at the four letters before the extension; only shorter paths are tried on every text.
+    """
+    t = texts.select("id", F.lower("text").alias("text")).where("text is not null")
+    path, name = F.lower("file"), F.lower(F.substring_index("file", "/", -1))
+    f = files.select("file").distinct().select("file", path.alias("path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_replace(path, r"\.[^./]*$", "").alias("bare"))
+    f = f.withColumn("gram", F.when(F.length("bare") > 3, F.right("bare", F.lit(4))).when(F.length("path") > 3, F.left("path", F.lit(4))))
+    at = F.sequence(F.lit(1), F.length("text") - 3)
+    grams = t.where("length(text) > 3").select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("text", i, F.lit(4))))).alias("gram"))
+    near = grams.join(f, "gram").join(t, "id").unionByName(f.where("gram is null").join(t, F.contains("text", "path")).select("gram", "id", "file", "path", "stem", "bare", "text"))
+    score = F.when(F.contains("text", "path"), 8).when((F.length("stem") > 3) & F.contains("text", "stem"), 3)
+    return near.select("id", "file", score.cast("long").alias("score")).where("score is not null")
+
+
 def candidates(texts: DataFrame, tables: DataFrame, columns: DataFrame, files: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """id, entity_type, entity_name, score, rank: candidates by score, type and name.
 
     A table scores ten a mention; a column of a mentioned table that plus twenty a mention, of another table
-    fifteen; a path eight, the name of a file of more than three letters three.
+    fifteen; a path eight, the name of a file of more than three letters three, also within words.
     """
     counts = word_counts(texts)
     hit = lambda names, c: counts.join(names.withColumn("word", F.lower(c)), "word")
@@ -37,11 +54,7 @@ def candidates(texts: DataFrame, tables: DataFrame, columns: DataFrame, files: D
     )
     found = cols.unionByName(t.select("id", F.lit("table").alias("entity_type"), F.col("tbl").alias("entity_name"), (10 * F.col("nt")).alias("score")))
     if files is not None:
-        exact = path_mentions(texts, files).select("id", "file", F.lit(8).cast("long").alias("score"))
-        stem = F.lower(F.regexp_replace(F.substring_index("file", "/", -1), r"\.[^.]*$", ""))
-        stems = files.select("file", stem.alias("word")).where(F.length("word") > 3)
-        loose = counts.join(stems, "word").select("id", "file", F.lit(3).cast("long").alias("score"))
-        held = exact.unionByName(loose).groupBy("id", "file").agg(F.max("score").alias("score"))
+        held = file_hits(texts, files)
         found = found.unionByName(held.select("id", F.lit("file").alias("entity_type"), F.col("file").alias("entity_name"), "score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "entity_type", "entity_name")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -245,7 +245,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def q14_candidates(spark: SparkSession, d: str) -> DataFrame:
     g = G(spark, d)
-    return detect.candidates(_texts(spark, d), g.tables, g.columns).select("id", "entity_type", "entity_name", "score", "rank")
+    return detect.candidates(_texts(spark, d), g.tables, g.columns, g.files.select(F.col("path").alias("file")).distinct()).select("id", "entity_type", "entity_name", "score", "rank")
 
 
 def q4_detect(spark: SparkSession, d: str) -> DataFrame:

@@ -32,8 +32,7 @@ def file_hits(texts: DataFrame, files: DataFrame) -> DataFrame:
     path, name = F.lower("file"), F.lower(F.substring_index("file", "/", -1))
     f = files.select("file").distinct().select("file", path.alias("path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_replace(path, r"\.[^./]*$", "").alias("bare"))
     f = f.withColumn("gram", F.when(F.length("bare") > 3, F.right("bare", F.lit(4))).when(F.length("path") > 3, F.left("path", F.lit(4))))
-    at = F.sequence(F.lit(1), F.length("text") - 3)
-    grams = t.where("length(text) > 3").select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("text", i, F.lit(4))))).alias("gram"))
+    grams = t.where("length(text) > 3").select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{4}))"), F.lit(1)))).alias("gram"))
     near = grams.join(f, "gram").join(t, "id").unionByName(f.where("gram is null").join(t, F.contains("text", "path")).select("gram", "id", "file", "path", "stem", "bare", "text"))
     score = F.when(F.contains("text", "path"), 8).when((F.length("stem") > 3) & F.contains("text", "stem"), 3)
     return near.select("id", "file", score.cast("long").alias("score")).where("score is not null")

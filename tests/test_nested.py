@@ -29,6 +29,10 @@ def test_shapes(spark):
             {"schema_version": 2, "result": {"rbac": {"reason": "in"}, "violations": [v | {"enforced_by": "P9"}]}},
             {"violations": [None, "text"]},
             {"violations": [{"requirement_id": None, "enforced_by": None}]},
+            {"violations": {"count": 3, "items": [v, None, v | {"enforced_by": {"items": ["P1", None, {"policy_id": "P2"}]}}]}},
+            {"violations": {"count": 0, "items": []}},
+            {"violations": json.dumps({"items": [v]})},
+            {"violations": {"items": None} | v},
         ],
     )
     assert got == {
@@ -39,6 +43,10 @@ def test_shapes(spark):
         (11, 0, 0, "R", "T", "P9", "in"),
         (12, -1, -1, "", "", "", ""),
         (13, 0, -1, "", "", "", ""),
+        (14, 0, -1, "R", "T", "", ""), (14, 2, 0, "R", "T", "P1", ""), (14, 2, 2, "R", "T", "P2", ""),
+        (15, -1, -1, "", "", "", ""),
+        (16, 0, -1, "R", "T", "", ""),
+        (17, 0, -1, "R", "T", "", ""),
     }
 
 

@@ -28,9 +28,11 @@ def _unpacked(v: Column) -> Column:
 
 
 def _items(v: Column) -> Column:
-    """The elements of a list; a single object or text is a list of one, null and nothing an empty one."""
+    """The elements of a list, also of one that an object with its count holds as ``items``; a single object or text is
+    a list of one, null and nothing an empty one."""
     scalar = F.try_variant_get(v, "$", "string").isNotNull()
-    return F.when(_as_array(v).isNotNull(), _as_array(v)).when(_is_object(v) | scalar, F.array(v)).otherwise(F.array().cast(_VARIANTS))
+    held = F.coalesce(_as_array(v), F.try_variant_get(v, "$.items", _VARIANTS))
+    return F.when(held.isNotNull(), held).when(_is_object(v) | scalar, F.array(v)).otherwise(F.array().cast(_VARIANTS))
 
 
 def parsed(records: DataFrame) -> DataFrame:
@@ -49,8 +51,8 @@ def parsed(records: DataFrame) -> DataFrame:
 def flattened(records: DataFrame) -> DataFrame:
     """One row per record with its scenario columns and nested lists that already carry all ancestor keys.
 
-    Shapes: a list may be written as a single object, as JSON within a string, be null or lack; policies may be
-    objects or bare ids; rbac may be an object or the bare reason. Null elements hold their place in the count
+    Shapes: a list may be written as a single object, as an object that holds it as ``items``, as JSON within a
+    string, be null or lack; policies may be objects or bare ids; rbac may be an object or the bare reason. Null elements hold their place in the count
     of positions. The whole may be wrapped in ``result``. Missing and null texts become ''. A payload that is
     null, empty or no complete JSON object gives no row; nothing else is dropped.
     """

@@ -124,7 +124,7 @@ j0 AS (SELECT record_id, CASE WHEN json_valid(p) THEN p::JSON END AS d FROM r),
 j AS (SELECT record_id, CASE WHEN json_type(d -> 'result') = 'OBJECT' AND (d ->> 'scenario_id') IS NULL THEN d -> 'result' ELSE d END AS d FROM j0 WHERE json_type(d) = 'OBJECT'),
 k AS (SELECT record_id, coalesce(CASE json_type(d -> 'rbac') WHEN 'OBJECT' THEN d ->> '$.rbac.reason' WHEN 'VARCHAR' THEN d ->> 'rbac' END, '') AS reason,
         CASE WHEN json_type(d -> 'violations') = 'VARCHAR' AND json_valid(d ->> 'violations') THEN (d ->> 'violations')::JSON ELSE d -> 'violations' END AS v FROM j),
-l AS (SELECT record_id, reason, CASE json_type(v) WHEN 'ARRAY' THEN v::JSON[] WHEN 'OBJECT' THEN [v] ELSE [] END AS vs FROM k),
+l AS (SELECT record_id, reason, CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v -> 'items') = 'ARRAY' THEN (v -> 'items')::JSON[] WHEN json_type(v) = 'OBJECT' THEN [v] ELSE [] END AS vs FROM k),
 m AS (SELECT record_id, reason, list_filter(list_transform(vs, lambda x, i: {'pos': i - 1, 'v': x}), lambda y: json_type(y.v) = 'OBJECT') AS vs FROM l),
 n AS (SELECT record_id, reason, unnest(vs) AS y FROM m),
 o AS (SELECT record_id, reason, y.pos AS violation_pos, coalesce(y.v ->> 'requirement_id', '') AS requirement_id, coalesce(y.v ->> 'trace_path', '') AS trace_path,

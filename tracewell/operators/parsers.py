@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import ship, spread
+
 # ---- schema texts
 
 _QUIET = re.compile(r"--[^\n]*|//[^\n]*|#[^\n]*|/\*.*?\*/|'(?:[^'\\\n]|\\.|'')*'|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`", re.S)
@@ -162,7 +164,7 @@ def parse_schemas(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame([(i, *r) for i, t in zip(b["id"], b["text"]) for r in schema_rows(t)], columns=["id", "dialect", "tbl", "col"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.where("text is not null").select("id", "text").mapInPandas(run, f"id {kind}, dialect string, tbl string, col string")
+    return spread(texts.where("text is not null").select("id", "text")).mapInPandas(run, f"id {kind}, dialect string, tbl string, col string")
 
 
 def merged_schema(parsed: DataFrame) -> DataFrame:
@@ -256,7 +258,7 @@ def parse_code(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "kind", "name", "within"])
 
     kind = files.schema["id"].dataType.simpleString()
-    return files.where("text is not null and language is not null").select("id", "language", "text").mapInPandas(run, f"id {kind}, kind string, name string, within string")
+    return spread(files.where("text is not null and language is not null").select("id", "language", "text")).mapInPandas(run, f"id {kind}, kind string, name string, within string")
 
 
 # ---- governance documents, as column expressions
@@ -320,6 +322,7 @@ def first_json(text: str | None) -> str | None:
 
 def decode_replies(replies: DataFrame) -> DataFrame:
     """id, parsed, requirements, files of replies (id, text): decoded JSON, and ids and paths named anywhere."""
+    ship(replies.sparkSession)
 
     @F.pandas_udf("string")
     def parse(s: pd.Series) -> pd.Series:

@@ -55,8 +55,9 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as there are cores, for work that is heavier than its input.
 
     A large input has more splits than that already and is not moved; a small one is, as a few files would
-    otherwise keep a few cores busy.
+    otherwise keep a few cores busy. As such work is often done in Python, the package is shipped as well.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
@@ -85,6 +86,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/tracewell-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.folder)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.paths import language
 from tracewell.functions.text import extension, is_ignored
+from tracewell.session import spread
 
 SCHEMA_EXTENSIONS = (".sql", ".ts", ".js", ".json", ".yaml", ".yml")
 DOCUMENT_EXTENSIONS = (".md", ".txt", ".pdf", ".docx", ".doc")
@@ -112,7 +113,7 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
             got = [document_text(p, bytes(c)) for p, c in zip(b["path"], b["content"])]
             yield pd.DataFrame({"path": b["path"], "text": [g[0] for g in got], "problem": [g[1] for g in got]})
 
-    return tree(spark, root, extensions=DOCUMENT_EXTENSIONS).select("path", "content").mapInPandas(run, "path string, text string, problem string")
+    return spread(tree(spark, root, extensions=DOCUMENT_EXTENSIONS).select("path", "content")).mapInPandas(run, "path string, text string, problem string")
 
 
 def clean_text(c):

@@ -60,6 +60,31 @@ def test_invalid(grammar):
         assert not sources.parses(text, grammar), text
 
 
+@pytest.mark.parametrize(("grammar", "text"), [("javascript", "x = {}\n"), ("typescript", "x = {}\n"), ("go", "package a\nvar x = {}\n"), ("java", "class A {{ int x = {}; }}\n"), ("c", "int x = {};\n"), ("cpp", "int x = {};\n")])
+def test_deep(grammar, text):
+    assert sources.parses(text.format("(" * 20_000 + "1" + ")" * 20_000), grammar)
+    assert not sources.parses(text.format("(" * 20_000 + "1" + ")" * 19_999), grammar)
+
+
+def test_deep_python():
+    sources.parses("x = " + "(" * 20_000 + "1" + ")" * 20_000 + "\n", "python")  # ends, whatever it says
+    assert sources.parses("x = " + "-" * 60_000 + "1\n", "python")
+    assert not sources.parses("x = (" + "-" * 60_000 + "1\n", "python")
+
+
+def test_branches():
+    text = "#if A\nint f(void) {{ {} }}\n#elif B\nint f(void) {{ {}\n#ifdef D\n{}\n#else\n{}\n#endif\n}}\n#else\nint f(void) {{ {} }}\n#endif\n#if 0\nsome prose, isn't it\n#endif\n"
+    good = ["return 1;"] * 5
+    for grammar in ("c", "cpp"):
+        assert sources.parses(text.format(*good), grammar)
+        for k in range(5):
+            bad = list(good)
+            bad[k] = "return 1 +;"
+            assert not sources.parses(text.format(*bad), grammar), k
+        assert sources.parses("#if A\nint f(void) {\n#else\nint f(int a) {\n#endif\n#if A\nreturn 1; }\n#else\nreturn a; }\n#endif\n", grammar)
+        assert not sources.parses("#else\nint a;\n#endif\n", grammar)
+
+
 def test_cuts_inside_brackets_never_parse():
     for grammar in ("typescript", "go", "java", "c", "cpp"):
         text = GOOD[grammar][0]
@@ -85,6 +110,7 @@ def test_operator(spark):
     got = {r.file_id: (r.ok, r.foreign) for r in df.collect()}
     assert {k for k, v in got.items() if not v[0]} == {1, 3, 4, 11}
     assert {k for k, v in got.items() if v[0]} == {2, 10}
+    assert "javascript" in got[2][1].split(",")
     assert got[3][1].split(",")[0] == "typescript" and got[4][1] == ""
     rates = {(r.repo, r.language): (r.n_files, r.n_broken, r.n_wrong_extension) for r in sources.broken_rates(df).collect()}
     assert rates["a", "python"] == (3, 2, 0) and rates["a", "javascript"] == (1, 1, 1)

@@ -1,11 +1,13 @@
 """C and C++: a recursive-descent recognizer after a light preprocessor.
 
-Conditional sections keep their first branch. Names in capitals may stand as attributes, as macros do.
+Conditional sections become variants of the text, so that each branch is in one of them at least; ``#if 0`` is in
+none. Names in capitals may stand as attributes, as macros do.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from tracewell.llm.grammar import curly
 from tracewell.llm.grammar.base import Bad, Parser
@@ -25,10 +27,33 @@ _ATTRIBUTES = ("__attribute__", "__declspec", "alignas", "_Alignas", "__asm__",
 _CASTS = ("static_cast", "dynamic_cast", "const_cast", "reinterpret_cast")
 
 
-def preprocess(text: str) -> str:
-    """Without directives and without all but the first branch of conditional sections."""
+class _Section:
+    """A conditional section: whether each branch was kept so far, and the sections inside each."""
+
+    def __init__(self, dead: bool):
+        self.kept, self.inside, self.dead, self.chosen = [False], [[]], dead, 0
+
+    def branch(self) -> None:
+        self.kept.append(False)
+        self.inside.append([])
+
+    def choose(self) -> None:
+        """The first branch that is still to be kept, else the first one."""
+        rank = [(self.kept[k] and not any(s.pending() for s in held), k) for k, held in enumerate(self.inside) if k or not self.dead]
+        self.chosen = min(rank)[1] if rank else -1
+        if rank:
+            self.kept[self.chosen] = True
+            for s in self.inside[self.chosen]:
+                s.choose()
+
+    def pending(self) -> bool:
+        return any(not (self.dead and k == 0) and (not self.kept[k] or any(s.pending() for s in held)) for k, held in enumerate(self.inside))
+
+
+def variants(text: str) -> Iterator[str]:
+    """The text without directives, once for each choice of branches until every branch was kept."""
     text = re.sub(r"\\\r?\n", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
-    out, stack, comment = [], [], False
+    lines, stack, top, comment = [], [], [], False  # lines: the text and the branches that hold it
     for line in text.split("\n"):
         if not comment and (m := _DIRECTIVE.match(line)):
             word, rest = m.group(1), m.group(2)
@@ -37,11 +62,15 @@ def preprocess(text: str) -> str:
             if word in ("if", "ifdef", "ifndef"):
                 if not rest.strip():
                     raise Bad("condition")
-                stack.append(True)
+                section = _Section(word == "if" and re.match(r"\s*0\s*(?://.*|/\*.*)?$", rest) is not None)
+                (stack[-1][0].inside[-1] if stack else top).append(section)
+                stack.append((section, 0))
             elif word in ("elif", "elifdef", "elifndef", "else"):
                 if not stack:
                     raise Bad(word)
-                stack[-1] = False
+                section, k = stack[-1]
+                section.branch()
+                stack[-1] = (section, k + 1)
             elif word == "endif":
                 if not stack:
                     raise Bad(word)
@@ -57,13 +86,18 @@ def preprocess(text: str) -> str:
                     raise Bad("undef")
             elif word not in ("", "pragma", "error", "warning", "line", "ident") or word == "" and rest.strip():
                 raise Bad(f"directive {word}")
-            out.append("")
+            lines.append(("", ()))
             continue
         comment = _in_comment(line, comment)
-        out.append(line if all(stack) else "")
+        lines.append((line, tuple(stack)))
     if stack:
         raise Bad("open section")
-    return "\n".join(out)
+    while True:
+        for section in top:
+            section.choose()
+        yield "\n".join(line if all(s.chosen == k for s, k in held) else "" for line, held in lines)
+        if not any(s.pending() for s in top):
+            return
 
 
 _PARTS = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*|/\*|\*/")
@@ -884,4 +918,5 @@ class CFamily(Parser):
 
 def parse(text: str, cpp: bool) -> None:
     """Raises Bad where the text is no translation unit."""
-    CFamily(curly.lex(preprocess(text), curly.C), cpp).program()
+    for variant in variants(text):
+        CFamily(curly.lex(variant, curly.C), cpp).program()

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import is_ignored
 from tracewell.llm.sources import _PATTERN
-from tracewell.llm.spread import spread
-from tracewell.session import Scratch
+from tracewell.session import Scratch, spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 rows: a pair at 0.8 shares a band with probability 0.9998.

@@ -1,10 +1,12 @@
-"""Source files that do not parse: each file against the grammar of its extension, failures against all others."""
+"""Source files that do not parse: every file against all grammars, in the order of its tokens' ranking."""
 
 from __future__ import annotations
 
 import ast
+import io
 import re
 import sys
+import tokenize
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -12,20 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.paths import LANGUAGES
 from tracewell.llm.grammar import cfamily, go, java, script
 from tracewell.llm.grammar.base import Bad
-from tracewell.llm.spread import spread
-
-#: Languages by extension.
-EXTENSIONS = {
-    ".py": "python",
-    ".ts": "typescript", ".tsx": "typescript",
-    ".js": "javascript", ".jsx": "javascript",
-    ".go": "go",
-    ".java": "java",
-    ".c": "c", ".h": "c",
-    ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp",
-}
+from tracewell.session import spread
 
 #: Words by which a text is ranked as a language before the grammars are tried; a word counts once.
 MARKS = {
@@ -37,6 +29,8 @@ MARKS = {
     "c": "include define struct static int char void return const sizeof typedef ifndef endif unsigned NULL",
     "cpp": "include namespace template class std public const auto explicit private virtual typename nullptr vector override",
 }
+#: Frames of a grammar's recursion.
+DEPTH = 50_000
 _MARKS = {k: frozenset(v.split()) for k, v in MARKS.items()}
 
 
@@ -47,8 +41,18 @@ def _python(text: str) -> None:
             ast.parse(text)
         except (SyntaxError, ValueError) as e:
             raise Bad(str(e)) from None
-        except (RecursionError, MemoryError):  # deeper than the parser's stack, which is no fault of the text
-            return
+        except (RecursionError, MemoryError):
+            _shallow(text)
+
+
+def _shallow(text: str) -> None:
+    """What is left to check of a Python text that is nested deeper than the parser's stack: its tokens, brackets and
+    indentation."""
+    try:
+        for _ in tokenize.generate_tokens(io.StringIO(text).readline):
+            pass
+    except (tokenize.TokenError, SyntaxError) as e:
+        raise Bad(str(e)) from None
 
 
 PARSERS: dict[str, Callable[[str], None]] = {
@@ -64,14 +68,20 @@ PARSERS: dict[str, Callable[[str], None]] = {
 
 
 def parses(text: str, grammar: str) -> bool:
-    """Whether the whole text is in the language. A byte order mark at its start does not count."""
+    """Whether the whole text is in the language. A byte order mark at its start does not count.
+
+    Tokens and brackets are checked without recursion; where the brackets match, but are nested deeper than DEPTH
+    frames of the grammar, that is all that is checked.
+    """
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 50_000))
+    sys.setrecursionlimit(max(limit, DEPTH))
     try:
-        PARSERS[grammar](text.removeprefix("﻿"))
+        PARSERS[grammar](text.removeprefix("\ufeff"))
         return True
     except Bad:
         return False
+    except RecursionError:
+        return True
     finally:
         sys.setrecursionlimit(limit)
 
@@ -83,14 +93,12 @@ def ranked(text: str) -> list[str]:
 
 
 def judge(path: str, text: str) -> tuple[str, bool, str]:
-    """The language of the extension, whether the text parses as that, else the languages as which it does."""
+    """The language of the extension, whether the text parses as that, and all other languages as which it does."""
     ext = re.search(r"(\.[^./\\]+)$", path.lower()).group(1)
-    language = EXTENSIONS[ext]
-    own = "tsx" if ext == ".tsx" else language
-    if parses(text, own):
-        return language, True, ""
-    foreign = [k for k in ranked(text) if k != language and parses(text, k)]
-    return language, False, ",".join(foreign)
+    language = LANGUAGES[ext]
+    as_ = {k: "tsx" if k == "typescript" and ext == ".tsx" else k for k in _MARKS}
+    found = [k for k in ranked(text) if parses(text, as_[k])]
+    return language, language in found, ",".join(k for k in found if k != language)
 
 
 _PATTERN = r"(?i)\.(py|tsx?|jsx?|go|java|c|h|cpp|hpp|cc|cxx)\s*$"
@@ -100,8 +108,9 @@ def parsed_sources(files: DataFrame) -> DataFrame:
     """file_id, repo, language, ok, foreign: one row per source file with content.
 
     files: file_id, repo, path, content, ingested_at. language is that of the extension in any letter case; the
-    column of that name is not read. foreign lists the other languages as which a failing file parses, likeliest
-    first: where it is not '' the extension is wrong, else the content is damaged. Files with other extensions,
+    column of that name is not read. Every file is tried as every language, the likeliest by its tokens first; foreign
+    lists the others as which it parses. Where a file is not ok, a foreign that is not '' means a wrong extension, else
+    the content is damaged. Files with other extensions,
     null paths, and null, empty or blank contents give no row. Whole contents are parsed. Of rows with the same
     id the last ingested counts. An empty table gives an empty result; other columns are ignored.
     """

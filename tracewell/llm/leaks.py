@@ -1,154 +1,264 @@
 """Evaluation texts in training text, by a positional inverted index.
 
-The index holds the positions in the corpus of every pair of neighbouring words that an item has. Of every window
-of an item its rarest pairs are anchors, by what they would cost: their postings in the whole corpus times their
-places in the items. The postings of the anchors are joined with them and their offsets intersected: where enough
-anchors of an item lie at nearly one offset of a document, the two are a candidate. Candidates are verified word
-by word.
+The index is partitioned by document, so it is built where the text is and never shuffled: of every document it
+stores the positions of all words that any item has. Its counts over the whole corpus say which words of each
+window of an item are the rarest; the postings of those are intersected by their offsets, and where enough of them
+meet near one offset of a document, all postings of the item's words there are aligned with the item, word by
+word. The text itself is read once, by the one function that also reads the items.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import Scratch
+from tracewell.session import Scratch, spread
 
 #: A passage has so many consecutive words of an item, of which one in ten may be replaced.
 PASSAGE, REPLACED = 20, 2
-#: The rarest pairs of every window that are anchors, and how many must meet at one offset. A window has 19 pairs,
-#: of which two replaced words break four: six of ten anchors remain, and three if three line numbers come between.
-ANCHORS, MEET = 10, 3
-#: Offsets within half of this count as one: what stands between words in a document shifts them.
-BAND = 32
-#: Item pairs up to which their table is small enough to be sent to all executors; beyond, the join shuffles.
-SMALL = 1_000_000
+#: Words that are not the item's, such as line numbers, of which so many may stand before each word.
+INSERT = 3
+#: The rarest words of every window that are anchors, one of what stands between two spaces at most. As REPLACED of
+#: those are replaced at most, all other anchors of a passage meet.
+ANCHORS = 10
+#: Offsets of one passage lie within (INSERT + 1) * PASSAGE of each other, which is less than half of this.
+BAND = 256
+#: Words of the items that go to the executors at once; more are worked off in blocks of about so many.
+BLOCK = 1_000_000
 
-_ESCAPES = r"\\+[nrtbf\"'/]|\\+"
-_TAGS = r"</?[a-zA-Z!][^<>]{0,300}>"
-_ENTITIES = r"&(?:[a-zA-Z]{2,8}|#[0-9]{1,6}|#x[0-9a-fA-F]{1,5});"
+_ESCAPES = re.compile(r"\\+[nrtbf\"'/]|\\+")
+_CODEPOINT = re.compile(r"\\+u([0-9a-fA-F]{4})")
+#: Markup is a name and attributes with values; anything else between angle brackets is text.
+_TAG = re.compile(r"</?[a-zA-Z][\w:.-]*(?:\s+[\w:@.-]+\s*=\s*(?:\\*\"[^\"<>]*\"|\\*'[^'<>]*'|[^\s\"'<>]+))*\s*/?>")
+_WORD = re.compile(r"[^\W_]+")
+_CF = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
-def word_array(text: Column) -> Column:
-    """Words, as runs of letters and digits in lower case, without markup and escapes."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _TAGS, " ")
-    t = F.regexp_replace(F.regexp_replace(t, _ENTITIES, " "), _ESCAPES, " ")
-    t = F.regexp_replace(F.lower(t), r"\p{Cf}+", "")
-    return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def words(text: str, unescape: bool) -> list[str]:
+    """The words of a text, compared without case and compatibility forms."""
+    return _WORD.findall(_plain(text, unescape))
 
 
-def pairs(text: Column) -> Column:
-    """Hashes of the pairs of neighbouring words of a text, by position."""
-    w = word_array(text)
-    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+def spaced(text: str) -> list[tuple[str, int]]:
+    """The words of an item with the number of what stands between two spaces, such as ``a.b_c``, which counts as one
+    where it is replaced."""
+    return [(w, k) for k, part in enumerate(_plain(text, False).split()) for w in _WORD.findall(part)]
 
 
-_WORD = re.compile(r"[^\W_]+")
-_CF = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+def _plain(text: str, unescape: bool) -> str:
+    t = _TAG.sub(" ", text) if "<" in text else text
+    t = html.unescape(t) if "&" in t else t
+    if unescape and "\\" in t:
+        t = _ESCAPES.sub(" ", _CODEPOINT.sub(lambda m: chr(int(m.group(1), 16)), t))
+    return t.casefold() if t.isascii() else unicodedata.normalize("NFKC", _CF.sub("", t)).casefold()
 
 
-def words(text: str, unescape: bool) -> list[str]:
-    """The words of a text, compared without case and compatibility forms."""
-    t = html.unescape(re.sub(_TAGS, " ", text))
-    if unescape:
-        t = re.sub(r"\\+u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), t)
-        t = re.sub(_ESCAPES, " ", t)
-    return _WORD.findall(unicodedata.normalize("NFKC", _CF.sub("", t)).casefold())
+def forms(text: str) -> list[list[str]]:
+    """The words of a text, with and without its escapes where it has any."""
+    return [words(text, True), words(text, False)] if "\\" in text else [words(text, False)]
+
+
+@lru_cache(1 << 20)
+def _term(word: str) -> int:
+    """A word as a number other than 0."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def holds_passage(document: list[str], item: list[str], insert: int = 3) -> bool:
-    """Whether the document has PASSAGE consecutive words of the item, of which REPLACED may be others.
+def _useful(mask: int) -> int:
+    """Matched positions, the last one as bit 0, without those that only windows with too many others reach."""
+    gaps = 0
+    for k in range(PASSAGE):
+        if not mask >> k & 1:
+            gaps += 1
+            if gaps > REPLACED:
+                return mask & (1 << k) - 1
+    return mask & (1 << PASSAGE) - 1
 
-    Up to ``insert`` words that are not the item's, such as line numbers, may stand before each word.
+
+def _steps(parts: list[int]) -> list[list[tuple[int, int]]]:
+    """For every position of an item, how far back the matched one before it may lie, with the positions between as
+    bits: of those in one part the first is another, the rest count as its own."""
+    out = []
+    for i in range(len(parts)):
+        steps, bits, gaps, back = [], 0, 0, 1
+        while back <= i:
+            steps.append((back, bits))
+            if back == 1 or parts[i - back] != parts[i - back + 1]:
+                gaps += 1
+            else:  # the one behind is no longer the first of its part
+                bits |= 1 << back - 1
+            if gaps > REPLACED or back >= PASSAGE:
+                break
+            back += 1
+        out.append(steps)
+    return out
+
+
+def aligned(places: list[tuple[int, int]], item: list[int], parts: list[int], insert: int = INSERT) -> bool:
+    """Whether places, as (position, term) in order, hold PASSAGE consecutive terms of the item, REPLACED of them others.
+
+    parts: the number of each term's part of the item; terms of one part that are replaced together count once.
+    Every alignment is followed: of those that end at the same place, what another one holds as well is dropped.
     """
-    if len(item) < PASSAGE:
+    n = len(item)
+    if n < PASSAGE:
         return False
-    at: dict[str, list[int]] = {}
+    at: dict[int, list[int]] = {}
     for i, w in enumerate(item):
         at.setdefault(w, []).append(i)
-    full, need = (1 << PASSAGE) - 1, PASSAGE - REPLACED
-    last: dict[int, list[tuple[int, int]]] = {}  # item position -> latest (document position, matched positions as bits)
-    for j, w in enumerate(document):
+    steps, last = _steps(parts), {}  # last: item position -> (position, its masks), those still in reach
+    for j, w in places:
+        found = []
         for i in at.get(w, ()):
-            best = 1
-            for back in range(1, REPLACED + 2):
-                for k, mask in last.get(i - back, ()):
+            masks = {1}
+            for back, bits in steps[i]:
+                for k, held in last.get(i - back, ()):
                     if 0 < j - k <= back + insert:
-                        new = (mask << back | 1) & full
-                        if new.bit_count() > best.bit_count():
-                            best = new
-            if best.bit_count() >= need and i >= PASSAGE - 1:
-                return True
-            held = [(k, m) for k, m in last.get(i, ()) if j - k <= REPLACED + 1 + insert]
-            last[i] = [*held[-3:], (j, best)]
+                        masks.update(_useful(m << back | bits | 1) for m in held)
+            for m in masks:
+                for e in range(REPLACED + 1):  # others at the end of the passage
+                    if PASSAGE - 1 <= i + e < n and (m & (1 << PASSAGE - e) - 1).bit_count() >= PASSAGE - REPLACED:
+                        return True
+            found.append((i, [m for m in masks if not any(m != o and m & o == m for o in masks)]))
+        for i, masks in found:
+            last[i] = [*(x for x in last.get(i, ()) if j - x[0] < PASSAGE + insert), (j, masks)]
     return False
 
 
-def _pick(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The ANCHORS rarest positions of every window of one item."""
-    pdf = pdf.sort_values("i")
-    rare, chosen = pdf["cost"].tolist(), set()
-    for s in range(len(rare) - PASSAGE + 2):
-        chosen.update(sorted(range(s, s + PASSAGE - 1), key=lambda k: (rare[k], k))[:ANCHORS])
-    return pdf[pdf["i"].isin(chosen)][["item_id", "i", "term"]]
+def holds_passage(document: list[str], item: str, insert: int = INSERT) -> bool:
+    """Whether the words of a document hold a passage of an item."""
+    own = spaced(item)
+    return aligned([(j, _term(w)) for j, w in enumerate(document)], [_term(w) for w, _ in own], [k for _, k in own], insert)
+
+
+def _anchors(items: list[tuple[list[int], list[int]]], count: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """term, item and position of the ANCHORS rarest positions of every window, by term; and of each item the number of
+    them that the windows with a passage have at least."""
+    rows, meet = [], []
+    for k, (item, parts) in enumerate(items):
+        chosen, least = set(), ANCHORS
+        for s in range(len(item) - PASSAGE + 1):
+            best: dict[int, int] = {}
+            for i in sorted(range(s, s + PASSAGE), key=lambda i: (count.get(item[i], 0), item[i], i)):
+                best.setdefault(parts[i], i)
+            chosen.update(list(best.values())[:ANCHORS])
+            least = min(least, len(best))
+        meet.append(max(1, least - REPLACED))
+        rows += [(item[i], k, i) for i in chosen]
+    a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
+    return a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), np.array(meet, dtype=np.int64)
+
+
+def _met(doc: np.ndarray, pos: np.ndarray, term: np.ndarray, anchors: tuple[np.ndarray, ...]) -> set[tuple[int, int]]:
+    """(doc, item) where so many anchors of one window of the item as it needs lie near one offset."""
+    terms, items, places, meet = anchors
+    low, high = np.searchsorted(terms, term, "left"), np.searchsorted(terms, term, "right")
+    n = high - low
+    total = int(n.sum())
+    if not total:
+        return set()
+    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+    i, item = places[at], items[at]
+    group = np.repeat(doc, n) * len(meet) + item
+    offset = np.repeat(pos, n) - i + (1 << 40)
+    found = set()
+    for shift in (0, BAND // 2):
+        band = (offset + shift) // BAND
+        order = np.lexsort((i, band, group))
+        g, b, p = group[order], band[order], i[order]
+        first = np.concatenate([[True], (g[1:] != g[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])])
+        g, b, p = g[first], b[first], p[first]
+        for m in np.unique(meet).tolist():
+            k = m - 1
+            if len(g) > k:
+                end = len(g) - k
+                near = (meet[g[:end] % len(meet)] == m) & (g[k:] == g[:end]) & (b[k:] == b[:end]) & (p[k:] - p[:end] < PASSAGE)
+                found.update(np.unique(g[:end][near]).tolist())
+    return {divmod(x, len(meet)) for x in found}
+
+
+def positions(documents: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
+    """doc_id, pos, term: the index, one row per document and form; with a vocabulary its words only."""
+    docs = spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = (lambda w: vocabulary.get(w, 0)) if vocabulary is not None else _term
+        for b in batches:
+            out = []
+            for d, text in zip(b["doc_id"], b["text"]):
+                for found in forms(text):
+                    terms = np.fromiter(map(of, found), np.int64, len(found))
+                    pos = np.flatnonzero(terms)
+                    if len(pos):
+                        out.append((d, pos.astype(np.int32), terms[pos]))
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "term"])
+
+    return docs.mapInPandas(run, "doc_id long, pos array<int>, term array<long>")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id: each document with each item of which it holds a passage.
 
     documents: doc_id, text; items: item_id, text. A passage is PASSAGE consecutive words of the item in their
-    order, REPLACED of them replaced at most. Case, punctuation, spacing, line breaks and prefixes, markup and
-    escapes do not matter. Whole texts are read. Null and empty texts and items shorter than a passage give no
-    row; an item_id or doc_id that comes again with another text counts with all its texts. Empty tables give an
-    empty result; other columns are ignored.
+    order, REPLACED of them replaced at most (or of what stands between two spaces), with up to INSERT foreign words
+    before each. Case, punctuation,
+    spacing, line breaks and prefixes, markup and escapes do not matter. Whole texts are read. Null and empty texts
+    and items shorter than a passage give no row; an item_id or doc_id that comes again with another text counts
+    with all its texts. Empty tables give an empty result; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession)
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).distinct()
-    held = held.withColumn("key", F.xxhash64("item_id", "item"))
-    terms = held.select(F.col("key").alias("item_id"), F.posexplode(pairs(F.col("item"))).alias("i", "term")).where("term is not null")
-    terms = scratch.write(terms, "terms")
-    small = terms.limit(SMALL + 1).count() <= SMALL
-    hint = F.broadcast if small else (lambda df: df)
-    places = terms.groupBy("term").agg(F.count("*").alias("places"))
-
-    found = docs.select("doc_id", F.posexplode(pairs(F.col("text"))).alias("pos", "term"))
-    postings = scratch.write(found.join(hint(places.select("term")), "term", "left_semi").select("term", "doc_id", "pos"), "postings")
-    cost = postings.groupBy("term").agg(F.count("*").alias("n")).join(places, "term", "right").select("term", (F.coalesce("n", F.lit(0)) * F.col("places")).alias("cost"))
-    weighted = terms.join(cost, "term").select("item_id", "i", "term", "cost")
-    anchors = scratch.write(weighted.groupBy("item_id").applyInPandas(_pick, "item_id long, i int, term long"), "anchors")
-    met = postings.join(hint(anchors), "term").select("doc_id", "item_id", "i", (F.col("pos") - F.col("i")).alias("offset"))
-    shifts = F.array(F.struct(F.lit(0).alias("family"), F.floor(F.col("offset") / BAND).alias("band")), F.struct(F.lit(1).alias("family"), F.floor((F.col("offset") + BAND // 2) / BAND).alias("band")))
-    meets = (
-        met.select("doc_id", "item_id", "i", F.inline(shifts))
-        .groupBy("doc_id", "item_id", "family", "band")
-        .agg(F.size(F.collect_set("i")).alias("n"))  # at most the words of an item
-        .where(F.col("n") >= MEET)
-        .select("doc_id", F.col("item_id").alias("key"))
-        .distinct()
-    )
-    asked = meets.join(held, "key").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item")).alias("asked"))  # at most the items
-    candidates = docs.join(scratch.write(asked, "asked"), "doc_id")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
+    held = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, text, pairs in zip(b["doc_id"], b["text"], b["asked"]):
-                forms = [words(text, True)]
-                if "\\" in text:
-                    forms.append(words(text, False))
-                for p in pairs:
-                    if p["item"] not in known:
-                        known[p["item"]] = words(p["item"], False)
-                    if any(holds_passage(f, known[p["item"]]) for f in forms):
-                        out.append((d, p["item_id"]))
+            own = [spaced(t) for t in b["text"]]
+            yield pd.DataFrame({"item_id": b["item_id"], "words": [[w for w, _ in x] for x in own], "parts": [[k for _, k in x] for x in own]})
+
+    asked = scratch.write(held.mapInPandas(read, "item_id long, words array<string>, parts array<int>").where(F.size("words") >= PASSAGE), "items")
+    spoken = asked.select(F.explode("words").alias("word"))
+    size, distinct = spoken.agg(F.count("*"), F.count_distinct("word")).first()
+    vocabulary = {r.word: _term(r.word) for r in spoken.distinct().collect()} if distinct <= BLOCK else None
+    index = scratch.write(positions(documents, vocabulary), "index")
+    counts = scratch.write(index.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "counts")
+    blocks = max(1, -(-size // BLOCK))
+    found = []
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()
+        ids, terms = [r.item_id for r in block], [([_term(w) for w in r.words], list(r.parts)) for r in block]
+        mine = {t for item, _ in terms for t in item}
+        known = index.sparkSession.createDataFrame([(t,) for t in mine], "term long")
+        anchors = _anchors(terms, {r.term: r.n for r in counts.join(known, "term", "left_semi").collect()})
+        found.append(_search(index, ids, terms, anchors))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def _search(index: DataFrame, ids: list[int], items: list[tuple[list[int], list[int]]], anchors: tuple[np.ndarray, ...]) -> DataFrame:
+    """doc_id, item_id of one block of items."""
+    own = [set(x) for x, _ in items]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, size = [], b["pos"].map(len).to_numpy(np.int64)
+            part = np.cumsum(size) // 500_000  # documents that are looked at together
+            for one in np.unique(part):
+                rows = np.flatnonzero(part == one)
+                pos, term = (np.concatenate([b[c].iloc[r] for r in rows]).astype(np.int64) for c in ("pos", "term"))
+                for r, k in sorted(_met(np.repeat(rows, size[rows]), pos, term, anchors)):
+                    places = [(p, t) for p, t in zip(b["pos"].iloc[r].tolist(), b["term"].iloc[r].tolist()) if t in own[k]]
+                    if aligned(places, *items[k]):
+                        out.append((b["doc_id"].iloc[r], ids[k]))
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
-    return candidates.mapInPandas(verify, "doc_id long, item_id long").distinct()
+    return index.mapInPandas(run, "doc_id long, item_id long")

@@ -1,10 +1,10 @@
 """Evaluation texts in training text, by a positional inverted index.
 
 The index is partitioned by document, so it is built where the text is and never shuffled: of every document it
-stores the positions of all words that any item has. Its counts over the whole corpus say which words of each
-window of an item are the rarest; the postings of those are intersected by their offsets, and where enough of them
-meet near one offset of a document, all postings of the item's words there are aligned with the item, word by
-word. The text itself is read once, by the one function that also reads the items.
+stores the positions of all words that any item has. Its counts over the whole corpus say which pairs of
+neighbouring words of each window of an item are the rarest. From those on the postings are intersected by their
+offsets, and where as many pairs of a window meet as a passage keeps at least, all postings of the item's words there are aligned with the
+item, word by word. The text itself is read once, by the one function that also reads the items.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from tracewell.session import Scratch, spread
 PASSAGE, REPLACED = 20, 2
 #: Words that are not the item's, such as line numbers, of which so many may stand before each word.
 INSERT = 3
-#: The rarest words of every window that are anchors, one of what stands between two spaces at most. As REPLACED of
-#: those are replaced at most, all other anchors of a passage meet.
-ANCHORS = 10
-#: Offsets of one passage lie within (INSERT + 1) * PASSAGE of each other, which is less than half of this.
-BAND = 256
+#: What stands between two spaces, such as ``a.b_c``, counts as one word where it is replaced, if it has so many at most.
+PART = 4
+#: Words of a document in which a passage lies.
+SPAN = PASSAGE * (INSERT + 1)
+#: Pairs of neighbouring words in a passage.
+PAIRS = PASSAGE - 1
 #: Words of the items that go to the executors at once; more are worked off in blocks of about so many.
 BLOCK = 1_000_000
 
@@ -89,13 +90,14 @@ def _steps(parts: list[int]) -> list[list[tuple[int, int]]]:
     bits: of those in one part the first is another, the rest count as its own."""
     out = []
     for i in range(len(parts)):
-        steps, bits, gaps, back = [], 0, 0, 1
+        steps, bits, gaps, size, back = [], 0, 0, 0, 1
         while back <= i:
             steps.append((back, bits))
-            if back == 1 or parts[i - back] != parts[i - back + 1]:
-                gaps += 1
-            else:  # the one behind is no longer the first of its part
+            size = 1 if back == 1 or parts[i - back] != parts[i - back + 1] else size + 1
+            if 1 < size <= PART:  # the one behind is no longer the first of its part
                 bits |= 1 << back - 1
+            else:
+                gaps += 1
             if gaps > REPLACED or back >= PASSAGE:
                 break
             back += 1
@@ -106,7 +108,7 @@ def _steps(parts: list[int]) -> list[list[tuple[int, int]]]:
 def aligned(places: list[tuple[int, int]], item: list[int], parts: list[int], insert: int = INSERT) -> bool:
     """Whether places, as (position, term) in order, hold PASSAGE consecutive terms of the item, REPLACED of them others.
 
-    parts: the number of each term's part of the item; terms of one part that are replaced together count once.
+    parts: the number of each term's part of the item; PART terms of one part that are replaced together count once.
     Every alignment is followed: of those that end at the same place, what another one holds as well is dropped.
     """
     n = len(item)
@@ -140,50 +142,95 @@ def holds_passage(document: list[str], item: str, insert: int = INSERT) -> bool:
     return aligned([(j, _term(w)) for j, w in enumerate(document)], [_term(w) for w, _ in own], [k for _, k in own], insert)
 
 
-def _anchors(items: list[tuple[list[int], list[int]]], count: dict[int, int]) -> tuple[np.ndarray, ...]:
-    """term, item and position of the ANCHORS rarest positions of every window, by term; and of each item the number of
-    them that the windows with a passage have at least."""
-    rows, meet = [], []
+def _broken(parts: list[int]) -> list[int]:
+    """For every window, how many of its pairs break at most where REPLACED parts are replaced."""
+    runs = [0] * len(parts)  # at the first term of a part, or of PART of its terms, how many they are
+    first = 0
+    for i in range(len(parts)):
+        if i == 0 or parts[i] != parts[i - 1] or i - first == PART:
+            first = i
+        runs[first] += 1
+    return [sum(sorted((min(n, PASSAGE) + 1 for n in runs[max(0, s - PART) : s + PASSAGE]), reverse=True)[:REPLACED]) for s in range(len(parts) - PASSAGE + 1)]
+
+
+def _pairs(items: list[tuple[list[int], list[int]]], count: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """The distinct terms in order; and code, item, position, need and rarity of all pairs of neighbouring words, by code.
+
+    The code is made of the places of both words among the terms. Of the rarest pairs of a window one holds wherever
+    there is a passage; need is how many pairs hold at least from the first of a passage on.
+    """
+    terms = np.unique(np.array([t for item, _ in items for t in item], dtype=np.int64))
+    place, rows = {t: k for k, t in enumerate(terms.tolist())}, []
     for k, (item, parts) in enumerate(items):
-        chosen, least = set(), ANCHORS
-        for s in range(len(item) - PASSAGE + 1):
-            best: dict[int, int] = {}
-            for i in sorted(range(s, s + PASSAGE), key=lambda i: (count.get(item[i], 0), item[i], i)):
-                best.setdefault(parts[i], i)
-            chosen.update(list(best.values())[:ANCHORS])
-            least = min(least, len(best))
-        meet.append(max(1, least - REPLACED))
-        rows += [(item[i], k, i) for i in chosen]
-    a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
-    return a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), np.array(meet, dtype=np.int64)
-
-
-def _met(doc: np.ndarray, pos: np.ndarray, term: np.ndarray, anchors: tuple[np.ndarray, ...]) -> set[tuple[int, int]]:
-    """(doc, item) where so many anchors of one window of the item as it needs lie near one offset."""
-    terms, items, places, meet = anchors
-    low, high = np.searchsorted(terms, term, "left"), np.searchsorted(terms, term, "right")
-    n = high - low
-    total = int(n.sum())
-    if not total:
-        return set()
-    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-    i, item = places[at], items[at]
-    group = np.repeat(doc, n) * len(meet) + item
-    offset = np.repeat(pos, n) - i + (1 << 40)
-    found = set()
-    for shift in (0, BAND // 2):
-        band = (offset + shift) // BAND
-        order = np.lexsort((i, band, group))
-        g, b, p = group[order], band[order], i[order]
+        n = [count.get(t, 0) for t in item]
+        rank = [(min(n[i], n[i + 1]), max(n[i], n[i + 1]), i) for i in range(len(item) - 1)]
+        broken, rare = _broken(parts), set()
+        for s, lost in enumerate(broken):
+            rare.update(sorted(range(s, s + PAIRS), key=rank.__getitem__)[: lost + 1])
+        for i in range(len(item) - 1):  # the first pair that holds may be so far behind the window's start
+            most = max(broken[max(0, min(i, len(broken) - 1) - REPLACED * (PART + 1)) : i + 1])
+            rows.append((place[item[i]] * len(terms) + place[item[i + 1]], k, i, PAIRS - most, i in rare))
+    a = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+    return terms, *(a[:, c].copy() for c in range(5))
+
+
+def _packed(*columns: np.ndarray) -> np.ndarray | None:
+    """The columns, none negative, in one number each; None where they do not fit."""
+    out, room = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for c in columns:
+        size = int(c.max()) + 1
+        room *= size
+        if room >= 1 << 63:
+            return None
+        out = out * size + c
+    return out
+
+
+def _met(doc: np.ndarray, pos: np.ndarray, term: np.ndarray, pairs: tuple[np.ndarray, ...], items: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(doc, item) with the spans of positions in which as many pairs of the item lie as a passage holds."""
+    terms, codes, of, places, need, rare = pairs
+    at = np.searchsorted(terms, term)
+    at[at == len(terms)] = 0
+    known = terms[at] == term
+    doc, pos, at = doc[known], pos[known], at[known]
+    distinct, begin, times = np.unique(codes, return_index=True, return_counts=True)
+    parts = []
+    for ahead in range(1, INSERT + 2):  # the neighbour in the item may stand so many postings further
+        if len(pos) <= ahead:
+            break
+        near = np.flatnonzero((doc[ahead:] == doc[:-ahead]) & (pos[ahead:] - pos[:-ahead] <= INSERT + 1))
+        code = at[near] * len(terms) + at[near + ahead]
+        slot = np.searchsorted(distinct, code)
+        slot[slot == len(distinct)] = 0
+        hit = distinct[slot] == code
+        near, slot = near[hit], slot[hit]
+        n = times[slot]
+        each = np.repeat(begin[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))
+        near = np.repeat(near, n)
+        parts.append((doc[near] * items + of[each], pos[near], each))
+    if not parts:
+        return {}
+    group, pos, each = (np.concatenate(x) for x in zip(*parts))
+    begun = np.isin(group, np.unique(group[rare[each] == 1]))
+    group, pos, each = group[begun], pos[begun], each[begun]
+    place, need = places[each], need[each]
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for shift in (0, SPAN):
+        band = (pos + shift) // (2 * SPAN)
+        if not len(group):
+            break
+        packed = _packed(group, band, place)
+        order = np.lexsort((place, band, group)) if packed is None else np.argsort(packed)
+        g, b, p = group[order], band[order], place[order]
         first = np.concatenate([[True], (g[1:] != g[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])])
-        g, b, p = g[first], b[first], p[first]
-        for m in np.unique(meet).tolist():
-            k = m - 1
-            if len(g) > k:
-                end = len(g) - k
-                near = (meet[g[:end] % len(meet)] == m) & (g[k:] == g[:end]) & (b[k:] == b[:end]) & (p[k:] - p[:end] < PASSAGE)
-                found.update(np.unique(g[:end][near]).tolist())
-    return {divmod(x, len(meet)) for x in found}
+        g, b, p, last = g[first], b[first], p[first], np.arange(int(first.sum())) + need[order][first] - 1
+        out = last >= len(g)
+        last[out] = 0
+        near = ~out & (g[last] == g) & (b[last] == b) & (p[last] - p < PAIRS)
+        for x, y in sorted(set(zip(g[near].tolist(), b[near].tolist()))):
+            start = y * 2 * SPAN - shift
+            found.setdefault(divmod(x, items), []).append((start - SPAN, start + 3 * SPAN))
+    return found
 
 
 def positions(documents: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
@@ -236,15 +283,15 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         ids, terms = [r.item_id for r in block], [([_term(w) for w in r.words], list(r.parts)) for r in block]
         mine = {t for item, _ in terms for t in item}
         known = index.sparkSession.createDataFrame([(t,) for t in mine], "term long")
-        anchors = _anchors(terms, {r.term: r.n for r in counts.join(known, "term", "left_semi").collect()})
-        found.append(_search(index, ids, terms, anchors))
+        pairs = _pairs(terms, {r.term: r.n for r in counts.join(known, "term", "left_semi").collect()})
+        found.append(_search(index, ids, terms, pairs))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out.distinct()
 
 
-def _search(index: DataFrame, ids: list[int], items: list[tuple[list[int], list[int]]], anchors: tuple[np.ndarray, ...]) -> DataFrame:
+def _search(index: DataFrame, ids: list[int], items: list[tuple[list[int], list[int]]], pairs: tuple[np.ndarray, ...]) -> DataFrame:
     """doc_id, item_id of one block of items."""
     own = [set(x) for x, _ in items]
 
@@ -255,10 +302,14 @@ def _search(index: DataFrame, ids: list[int], items: list[tuple[list[int], list[
             for one in np.unique(part):
                 rows = np.flatnonzero(part == one)
                 pos, term = (np.concatenate([b[c].iloc[r] for r in rows]).astype(np.int64) for c in ("pos", "term"))
-                for r, k in sorted(_met(np.repeat(rows, size[rows]), pos, term, anchors)):
-                    places = [(p, t) for p, t in zip(b["pos"].iloc[r].tolist(), b["term"].iloc[r].tolist()) if t in own[k]]
-                    if aligned(places, *items[k]):
-                        out.append((b["doc_id"].iloc[r], ids[k]))
+                for (r, k), spans in _met(np.repeat(rows, size[rows]), pos, term, pairs, len(items)).items():
+                    p, t = b["pos"].iloc[r], b["term"].iloc[r]
+                    for low, high in spans:
+                        x, y = np.searchsorted(p, [low, high])
+                        places = [(i, w) for i, w in zip(p[x:y].tolist(), t[x:y].tolist()) if w in own[k]]
+                        if aligned(places, *items[k]):
+                            out.append((b["doc_id"].iloc[r], ids[k]))
+                            break
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 
     return index.mapInPandas(run, "doc_id long, item_id long")

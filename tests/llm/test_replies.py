@@ -29,6 +29,15 @@ def test_pairs():
     assert replies.defect("Aufgabe: Ändere die Spalte und passe alle abhängigen Stellen an.", "Each row must keep its value for as long as the audit is open.") == "other_language"
 
 
+def test_refusal_in_a_long_sentence():
+    clause = "While the ledger and its queue were moved last night and each of the reviewers said that the plan is still the one which was agreed on before the audit had begun and that nobody has to wait, "
+    for said in ("I cannot answer this", "I must decline", "answering this is outside of what I'm allowed to do"):
+        assert replies.defect(TASK, clause + said + ".") == "refusal"
+        assert replies.defect(TASK, said + " " + clause + "as it was.") == "refusal"
+    spread_out = "I see that the plan cannot be read by all, so each editor has to answer for what he did in this"
+    assert replies.defect(TASK, spread_out + ".") is None
+
+
 def test_lcs_against_quadratic():
     import random
 

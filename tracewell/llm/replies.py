@@ -23,8 +23,8 @@ SHINGLE = 5
 COPY_SHINGLES = 0.7
 #: A copy has at least this share of its words in the common subsequence, which holds this share of the prompt.
 COPY_WORDS, COPY_PROMPT = 0.9, 0.6
-#: At least this share of a template's words, in order, in one sentence of the response is a refusal.
-REFUSED = 0.8
+#: At least this share of a template's words, in order, in so many words of a sentence for each of them, is a refusal.
+REFUSED, SPAN = 0.8, 3
 
 #: What declining sounds like; a sentence that holds a template's words in their order is aligned with it.
 TEMPLATES = {
@@ -219,11 +219,17 @@ _TEMPLATES = [words(t) for ts in TEMPLATES.values() for t in ts]
 
 
 def is_refusal(prose: str) -> bool:
+    """Whether a sentence, however long, holds a template somewhere."""
     for sentence in re.split(r"[.!?。\n;]+", prose.replace("’", "'")):
         w = words(sentence)
         held = set(w)
         for t in _TEMPLATES:
-            if sum(x in held for x in t) >= REFUSED * len(t) and lcs(t, w) >= max(3, REFUSED * len(t)) and len(w) <= 4 * len(t) + 12:
+            need = max(3, REFUSED * len(t))
+            if sum(x in held for x in t) < need:
+                continue
+            own, span = set(t), SPAN * len(t)
+            starts = [i for i, x in enumerate(w) if x in own] if len(w) > span else [0]
+            if any(lcs(t, w[i : i + span]) >= need for i in starts):
                 return True
     return False
 
@@ -268,9 +274,6 @@ def breaks_off(reply: str, broken_json: bool) -> bool:
     return not (end.endswith((".", "!", "?", "…", "。", "！", "？", "؟", "।")) or last.endswith(("}", "]", '"'))) or end.endswith(" -")
 
 
-_IDS = re.compile(r"\bRQ-\d{3,}\b")
-
-
 def defect(prompt: str | None, reply: str | None) -> str | None:
     """The defect of a pair, or None. A missing prompt can be copied by nothing and has no language."""
     if is_empty(reply):
@@ -279,9 +282,8 @@ def defect(prompt: str | None, reply: str | None) -> str | None:
     values, around, broken = _documents(reply)
     strings = [s for v in values for s in _strings(v)]
     prose = _HOLLOW.sub(" ", around) + "\n" + "\n".join(strings)
-    told = [v for v in values if isinstance(v, dict) and ("affected_files" in v or "violated_requirements" in v)]
-    named = any(v.get("affected_files") or v.get("violated_requirements") for v in told)
-    answers = named or bool(_PATH.search(reply)) or bool(_IDS.search(reply))
+    told = [x for v in values if isinstance(v, dict) for x in v.values() if isinstance(x, list)]
+    answers = any(told) or bool(_PATH.search(reply)) or bool(_ID.search(reply))
     if not answers and is_refusal(prose):
         return "refusal"
     w_prompt, w_reply = words(asked), words(re.sub(r"\\[ntr]", " ", reply))

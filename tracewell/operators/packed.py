@@ -1,8 +1,8 @@
 """Several values packed in one field: delimiters inferred per source, then one row per value with its position.
 
 A source is a field as one writer fills it. Each candidate delimiter of a source is scored over all its values:
-consistency is the share of pieces before the delimiter that are not empty, regularity the share that have the
-type which is most frequent in the source. What reaches the threshold is a delimiter of that source, and its
+consistency is the share of values whose piece count is that of their delimiters, as no piece is empty, regularity
+the share of pieces that have the type which is most frequent in the source. What reaches the threshold is a delimiter of that source, and its
 values are split there outside quotes.
 """
 
@@ -85,7 +85,9 @@ def score_delimiters(values: DataFrame) -> DataFrame:
         else:
             left = F.regexp_extract_all("bare", F.lit(rf"([^{_HARD}]*)[{char}](?=[^{_HARD}])" if char != "|" else rf"([^{_HARD}]*)\|(?=[^{_HARD}])"), F.lit(1))
         left = F.when(F.contains("bare", F.lit(char)), left).otherwise(F.array().cast("array<string>"))
-        found.append(F.struct(F.lit(name).alias("name"), F.transform(left, _kind).alias("kinds")))
+        kinds = F.transform(left, _kind)
+        even = F.when(F.array_contains(kinds, "empty"), F.array(F.lit("#value"))).otherwise(F.array(F.lit("#value"), F.lit("#even")))
+        found.append(F.struct(F.lit(name).alias("name"), F.when(F.size(kinds) > 0, F.concat(kinds, even)).otherwise(kinds).alias("kinds")))
     whole = F.struct(F.lit("whole").alias("name"), F.array(_kind(F.col("bare"))).alias("kinds"))
     counts = (
         rows.select("writer", "field", F.inline(F.array(*found, whole)))
@@ -94,16 +96,18 @@ def score_delimiters(values: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     counts = Scratch(values.sparkSession).write(counts, "counts")  # a few rows a source, read twice
-    typed = counts.where("kind not in ('empty', 'quoted', 'other')").groupBy("writer", "field", "kind").agg(F.sum("n").alias("n"))
+    typed = counts.where("kind not in ('empty', 'quoted', 'other', '#value', '#even')").groupBy("writer", "field", "kind").agg(F.sum("n").alias("n"))
     main = typed.groupBy("writer", "field").agg(F.max_by("kind", F.struct("n", "kind")).alias("main"))
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    kind, piece = F.col("kind"), ~F.col("kind").startswith("#")
     scored = (
         counts.where("name <> 'whole'")
         .join(main, ["writer", "field"], "left")
         .groupBy("writer", "field", "name")
         .agg(
-            F.sum("n").alias("pieces"),
-            (F.sum(F.when(F.col("kind") != "empty", F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"),
-            (F.sum(F.when((F.col("kind") == "quoted") | (F.col("kind") == F.col("main")), F.col("n")).otherwise(0)) / F.sum("n")).alias("regularity"),
+            n(piece).alias("pieces"),
+            (n(kind == "#even") / n(kind == "#value")).alias("consistency"),
+            (n((kind == "quoted") | (kind == F.col("main"))) / n(piece)).alias("regularity"),
         )
     )
     char = reduce(lambda c, kv: c.when(F.col("name") == kv[0], kv[1]), CANDIDATES.items(), F.when(F.lit(False), ""))

@@ -40,8 +40,6 @@ LITERALS, LITERAL_CHARS = 40, 400
 LONG_LINE = 300
 #: Marks that a copy of a file inherits.
 COPIED = ("generated", "vendored")
-#: Tokens from which similar bodies mean a copy.
-BODY = 40
 
 _TOKEN = re.compile(
     r"(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\s;{}()])\#(?!include\b|define\b|if|endif|else|elif|undef|pragma)[^\n]*)"
@@ -163,7 +161,7 @@ def _word_code(token: str) -> int:
 
 
 def own_shingles(tokens: list[str]) -> np.ndarray:
-    """Unmasked 32-bit shingles of BODY tokens or more; one that comes again is another, so half of a text is not all."""
+    """Unmasked 32-bit shingles of SHINGLE tokens or more; one that comes again is another, so half of a text is not all."""
     n = len(tokens) - SHINGLE + 1
     codes = np.array([_word_code(x) for x in tokens], dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     h = np.zeros(n, dtype=np.uint64)
@@ -180,7 +178,7 @@ def own_shingles(tokens: list[str]) -> np.ndarray:
 
 def features(path: str, text: str) -> tuple:
     """marks, whether the file is a blob, its literals and names, fingerprints of its body and shape, shingles and bands
-    of its shape and, from BODY tokens on, of its unmasked body."""
+    of its shape and, from SHINGLE tokens on, of its unmasked body."""
     found = [t for t in _TOKEN.findall(text) if not t[0]]
     word = _CODES.get
     masked = [1 if s else 2 if d else word(n, 0) if n else 1_000 + ord(p) for _, s, d, n, p in found]
@@ -202,7 +200,7 @@ def features(path: str, text: str) -> tuple:
         marks.add("minified")
     shape = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
     own, own_bands = np.zeros(0, np.uint32), []
-    if len(found) >= BODY:
+    if len(found) >= SHINGLE:
         own = own_shingles(plain)
         own_bands = bands_of(own, _OWN_A, _OWN_B, OWN_ROWS)
     body = int.from_bytes(body.digest(), "little", signed=True)
@@ -320,9 +318,9 @@ def inherited(last: DataFrame, raw: DataFrame, scratch: Scratch) -> DataFrame:
 
     last: class, body, size, marks; raw: body, size, own, own_bands.
     """
-    bodies = last.where(f"size >= {BODY}").select("class", "body", F.explode_outer("marks").alias("mark"))
+    bodies = last.where(f"size >= {SHINGLE}").select("class", "body", F.explode_outer("marks").alias("mark"))
     bodies = scratch.write(bodies.groupBy("class", "body").agg(*[F.max(F.coalesce(F.col("mark") == m, F.lit(False))).alias(m) for m in COPIED]), "bodies")
-    sets = scratch.write(raw.where(f"size >= {BODY}").groupBy("body").agg(F.any_value("own").alias("own"), F.any_value("own_bands").alias("own_bands")), "sets")
+    sets = scratch.write(raw.where(f"size >= {SHINGLE}").groupBy("body").agg(F.any_value("own").alias("own"), F.any_value("own_bands").alias("own_bands")), "sets")
     given = bodies.select("class", "body", F.inline(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(m).alias("has")) for m in COPIED]))).where("has").drop("has")
     banded = lambda df: df.join(sets, "body").select("class", "body", F.size("own").alias("n"), F.posexplode("own_bands").alias("band", "h"))
     asked = banded(bodies.where(" or ".join(f"not {m}" for m in COPIED)).select("class", "body"))
@@ -363,7 +361,7 @@ def judged_files(files: DataFrame, specs: DataFrame) -> DataFrame:
     out = classed.join(stats, "class").join(marked, ["class", "body"], "left").join(tokens, "repo", "left")
     kind = F.when(F.col("share") >= 1, "literal").when(F.col("n_files") == 1, "single").when(F.coalesce("across", F.lit(False)), "across").otherwise("family")
     none = F.array().cast("array<string>")
-    copied = F.when(F.col("size") >= BODY, F.coalesce("copied", none)).otherwise(none)
+    copied = F.when(F.col("size") >= SHINGLE, F.coalesce("copied", none)).otherwise(none)
     reasons = F.array_distinct(
         F.concat(
             F.when(is_ignored(F.col("path"), F.col("tokens")), F.array(F.lit("ignored"))).otherwise(none),

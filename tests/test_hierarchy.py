@@ -59,6 +59,23 @@ def test_chain_star_and_paths(spark):
     assert {r.ancestor_id for r in ancestors(df, of).where("node_id = 190").collect()} == set(range(190))
 
 
+def test_all_descendants_of_star_chain_and_random_trees(spark):
+    rng = random.Random(3)
+    parent = {i: i - 1 if i else None for i in range(90)} | {1000 + i: 1000 if i else None for i in range(130)}
+    parent |= {2000 + i: 2000 + rng.randrange(i) if i else None for i in range(150)} | {9000: 9001, 9001: 9000, 9002: 9001, 9003: 9002, 9004: 9004}
+    df = nested_sets(spark.createDataFrame([(v, p, 0, 0) for v, p in parent.items()], LINKS))
+    want, loops = set(), {9000, 9001, 9004}
+    for v in parent:
+        u = v
+        while u not in loops and parent[u] is not None:
+            u = parent[u]
+            want.add((u, v))
+    rows = [tuple(r) for r in descendants(df).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {(b, a) for a, b in map(tuple, ancestors(df).collect())} == want
+    assert descendants(df.limit(0)).collect() == []
+
+
 def test_empty_and_unknown_parents(spark):
     assert nested_sets(spark.createDataFrame([], LINKS)).collect() == []
     rows = nested_sets(spark.createDataFrame([(1, 99, 0, 0), (2, None, 0, 0)], LINKS)).collect()

@@ -196,13 +196,51 @@ def nested_sets(links: DataFrame, paths: bool = False) -> DataFrame:
     )
 
 
-def descendants(sets: DataFrame, of: DataFrame) -> DataFrame:
-    """node_id, descendant_id for the nodes of ``of`` (column node_id), by range within the same tree."""
-    asked = sets.join(of.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("a"), F.col("top_id"), F.col("lo").alias("l"), F.col("hi").alias("h"))
-    return sets.join(asked, "top_id").where("lo > l and lo <= h").select(F.col("a").alias("node_id"), F.col("node_id").alias("descendant_id"))
+def _contained(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """a, b: each of ``upper`` (top_id, a, lo, hi) with each of ``lower`` (top_id, b, at) in lo < at <= hi.
+
+    A range is cut into aligned blocks, two of each size at most, and a start lies in one block of each size that
+    any range of its tree has: both meet by equality, exactly once. So no pair is tried in vain, and one large
+    tree is spread over its blocks.
+    """
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+    k0 = F.floor(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int")
+    one = F.lit(1).cast("long")
+
+    def blocks(k: Column) -> Column:
+        first = shift(F.col("lo") + F.call_function("shiftleft", one, k), k)  # of lo + 1 on, rounded up
+        end = shift(F.col("hi") + 1, k)
+        block = lambda x: F.struct(k.alias("level"), x.alias("block"))
+        odd = lambda x: x.bitwiseAND(1) == 1
+        left = F.when((first < end) & odd(first), F.array(block(first)))
+        right = F.when((first < end) & odd(end), F.array(block(end - 1)))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        return F.concat(F.coalesce(left, none), F.coalesce(right, none))
+
+    ranges = upper.where("hi > lo").withColumn("levels", k0)
+    high = ranges.groupBy("top_id").agg(F.max("levels").alias("levels"))
+    cut = ranges.select("top_id", "a", F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.col("levels")), blocks))))
+    starts = lower.join(high, "top_id").select("top_id", "b", "at", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+    starts = starts.select("top_id", "b", "level", shift(F.col("at"), F.col("level")).alias("block"))
+    return starts.join(cut, ["top_id", "level", "block"]).select("a", "b")
+
+
+def _asked(sets: DataFrame, of: DataFrame | None) -> DataFrame:
+    return sets if of is None else sets.join(of.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def descendants(sets: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node_id, descendant_id for all nodes, or those of ``of`` (column node_id), by the ranges of ``nested_sets``.
+
+    A node on a loop has those below it that hang on it without a way around the loop.
+    """
+    upper = _asked(sets, of).select("top_id", F.col("node_id").alias("a"), "lo", "hi")
+    lower = sets.select("top_id", F.col("node_id").alias("b"), F.col("lo").alias("at"))
+    return _contained(upper, lower).select(F.col("a").alias("node_id"), F.col("b").alias("descendant_id"))
 
 
-def ancestors(sets: DataFrame, of: DataFrame) -> DataFrame:
-    """node_id, ancestor_id for the nodes of ``of``: the ranges that hold the node's start."""
-    asked = sets.join(of.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("a"), F.col("top_id"), F.col("lo").alias("l"))
-    return sets.join(asked, "top_id").where("lo < l and l <= hi").select(F.col("a").alias("node_id"), F.col("node_id").alias("ancestor_id"))
+def ancestors(sets: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node_id, ancestor_id for all nodes, or those of ``of``: the ranges that hold the node's start."""
+    upper = sets.select("top_id", F.col("node_id").alias("a"), "lo", "hi")
+    lower = _asked(sets, of).select("top_id", F.col("node_id").alias("b"), F.col("lo").alias("at"))
+    return _contained(upper, lower).select(F.col("b").alias("node_id"), F.col("a").alias("ancestor_id"))

@@ -40,6 +40,11 @@ def p2_sets(spark: SparkSession, d: str) -> DataFrame:
     return _sets(spark, d, paths=True).select("node_id", "parent_id", "root_id", "depth", "size", "lo", "hi", "top_id", "on_loop", path)
 
 
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with all nodes below it."""
+    return hierarchy.descendants(_sets(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.links(table(spark, d, "scenario_records"))
 
@@ -70,7 +75,7 @@ def p6_delimiters(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("writer", "field", "name", "pieces", F.round("consistency", 6).alias("consistency"), F.round("regularity", 6).alias("regularity"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sets, p4_found, p4_scenarios, p4_violations, p4_policies, p6_found, p6_delimiters)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sets, p2_descendants, p4_found, p4_scenarios, p4_violations, p4_policies, p6_found, p6_delimiters)}
 
 _KEY = r"upper(regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"
 
@@ -138,5 +143,7 @@ SQL = {
     "p4_found": _P4,
     "p1_found": f"WITH {_P1} SELECT * FROM found",
     "p1_report": f"WITH {_P1} SELECT source_table, period, reason, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY ALL",
+    "p2_descendants": f"""WITH RECURSIVE {_P2}, below AS (SELECT parent_id AS node_id, node_id AS descendant_id FROM links WHERE parent_id IS NOT NULL AND node_id NOT IN (SELECT node_id FROM on_loop)
+ UNION ALL SELECT b.node_id, l.node_id FROM below b JOIN links l ON l.parent_id = b.descendant_id WHERE l.node_id NOT IN (SELECT node_id FROM on_loop)) SELECT node_id, descendant_id FROM below""",
     "p2_found": f"WITH RECURSIVE {_P2} SELECT node_id, root_id, depth::INTEGER AS depth FROM tree UNION ALL SELECT node_id, root_id, depth::INTEGER FROM looped",
 }

@@ -5,18 +5,20 @@ Text is linked with names by equality of words: both sides are words, so no patt
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.paths import is_backend, language
+from tracewell.functions.paths import gate_path, is_backend, language
 from tracewell.functions.text import key, repo_path
 from tracewell.operators import risk
-from tracewell.operators.graph import reachability
+from tracewell.operators.calls import call_edges, calling_files
+from tracewell.operators.graph import closure
 from tracewell.operators.hierarchy import resolve_links
-from tracewell.session import table
+from tracewell.operators.parsers import parse_code
+from tracewell.operators.rules import decide
+from tracewell.session import Scratch, table
 
 _FUNCTION = r"(?:function|def|func)\s+(?:\([^)]*\)\s*)?(\w+)\s*\("
 _METHOD = r"def (\w+)\(self"
@@ -27,26 +29,125 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\w+)"), F.lit(1)))
 
 
-@dataclass
 class Graph:
-    """files(file, repo, path, language), tables(name), columns(tbl, name), functions(file, name, is_method),
+    """The graph of the test tables. Every frame is made when it is first asked for; what comes from the text of the
+    files or from resolved links is written once and then read by all that need it.
+
+    files(file, repo, path, language), tables(name), columns(tbl, name), functions(file, name, is_method),
     requirements(id, title, description, category), policies(id, description), identifiers(file, name);
-    edges imports(src, dst), uses_table(file, tbl), references_column(file, tbl, name), enforces(policy, req),
-    governs_table(req, tbl), governs_column(req, tbl, name)."""
-
-    files: DataFrame
-    tables: DataFrame
-    columns: DataFrame
-    functions: DataFrame
-    requirements: DataFrame
-    policies: DataFrame
-    identifiers: DataFrame
-    imports: DataFrame
-    uses_table: DataFrame
-    references_column: DataFrame
-    enforces: DataFrame
-    governs_table: DataFrame
-    governs_column: DataFrame
+    edges imports(src, dst), calls(file, caller, dst, callee), uses_table(file, tbl), references_column(file, tbl, name),
+    enforces(policy, req), governs_table(req, tbl), governs_column(req, tbl, name).
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @cached_property
+    def _scratch(self) -> Scratch:
+        return Scratch(self.spark)
+
+    def _table(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+    @cached_property
+    def code(self) -> DataFrame:
+        """file, repo, path, language, content of the source files."""
+        raw = self._table("code_files").select("file_id", "repo", repo_path(F.col("path")).alias("path"), "content").distinct()
+        return raw.withColumn("language", language(F.col("path"))).where("language is not null").withColumn("file", F.concat_ws("/", "repo", "path"))
+
+    @cached_property
+    def _nodes(self) -> DataFrame:
+        return self._table("import_graph").select("node_id", "repo", repo_path(F.col("file_path")).alias("path")).distinct().withColumn("file", F.concat_ws("/", "repo", "path"))
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self.code.select("file", "repo", "path").union(self._nodes.select("file", "repo", "path")).distinct().withColumn("language", language(F.col("path")))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        links = resolve_links(self._table("import_graph"), self._table("repo_specs")).where("parent_id is not null")
+        ids = self._nodes.select("node_id", "file")
+        pairs = links.join(ids, "node_id").withColumnRenamed("file", "dst").join(ids.select(F.col("node_id").alias("parent_id"), F.col("file").alias("src")), "parent_id")
+        return self._scratch.write(pairs.select("src", "dst").distinct(), "imports")
+
+    @cached_property
+    def _named(self) -> DataFrame:
+        return self._table("scenario_predictions").select("entity_type", "entity_name").distinct()
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return self._named.where("entity_type = 'column'").select(F.substring_index("entity_name", ".", 1).alias("tbl"), F.substring_index("entity_name", ".", -1).alias("name")).distinct()
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        return self._named.where("entity_type = 'table'").select(F.col("entity_name").alias("name")).union(self.columns.select("tbl")).distinct()
+
+    @cached_property
+    def _said(self) -> DataFrame:
+        return self.code.select("file", F.explode(words(F.col("content"))).alias("word")).distinct()
+
+    @cached_property
+    def _mentions(self) -> DataFrame:
+        """file, word: the words of the files that are names of tables or columns."""
+        names = self.tables.select(F.col("name").alias("word")).union(self.columns.select("name")).distinct()
+        return self._scratch.write(self._said.join(names, "word", "left_semi").select("file", "word"), "mentions")
+
+    @cached_property
+    def uses_table(self) -> DataFrame:
+        return self._mentions.join(self.tables, self._mentions["word"] == self.tables["name"]).select("file", F.col("name").alias("tbl"))
+
+    @cached_property
+    def references_column(self) -> DataFrame:
+        return self._mentions.join(self.columns, self._mentions["word"] == self.columns["name"]).select("file", "tbl", "name")
+
+    @cached_property
+    def identifiers(self) -> DataFrame:
+        return self._said.where(F.col("word").rlike("^[A-Za-z_]")).select("file", F.col("word").alias("name"))
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        pick = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+        found = self.code.select("file", F.explode(F.array_distinct(pick(_FUNCTION))).alias("name"), F.array_distinct(pick(_METHOD)).alias("m"))
+        return self._scratch.write(found.groupBy("file", "name").agg(F.bool_or(F.array_contains("m", F.col("name"))).alias("is_method")), "functions")
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        parsed = parse_code(self.code.select(F.col("file").alias("id"), "language", F.col("content").alias("text"))).where("kind = 'call'")
+        said = parsed.select(F.col("id").alias("file"), F.col("within").alias("caller"), F.col("name").alias("callee"))
+        return self._scratch.write(call_edges(said, self.functions, self.imports), "calls")
+
+    @cached_property
+    def calling_files(self) -> DataFrame:
+        return self._scratch.write(calling_files(self.calls), "calling")
+
+    @cached_property
+    def requirements(self) -> DataFrame:
+        return latest(self._table("requirement_records").select("req_id", "title", "description", "category", "status", "recorded_at", "record_id"), "req_id").drop("status")
+
+    @cached_property
+    def _policies(self) -> DataFrame:
+        return latest(self._table("policy_records").select("policy_id", "description", "requirement_ids", "status", "recorded_at", "record_id"), "policy_id").drop("status")
+
+    @cached_property
+    def policies(self) -> DataFrame:
+        return self._policies.drop("requirement_ids")
+
+    @cached_property
+    def enforces(self) -> DataFrame:
+        named = self._policies.select(F.col("id").alias("policy"), F.explode("requirement_ids").alias("r")).select("policy", key(F.col("r")).alias("req")).where("req <> ''").distinct()
+        return named.join(self.requirements.select(F.col("id").alias("req")), "req", "left_semi").select("policy", "req")
+
+    @cached_property
+    def _told(self) -> DataFrame:
+        return self.requirements.select(F.col("id").alias("req"), F.explode(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))).alias("word"))
+
+    @cached_property
+    def governs_table(self) -> DataFrame:
+        return self._told.join(self.tables, self._told["word"] == self.tables["name"]).select("req", F.col("name").alias("tbl"))
+
+    @cached_property
+    def governs_column(self) -> DataFrame:
+        return self._told.join(self.columns, self._told["word"] == self.columns["name"]).select("req", "tbl", "name")
 
     def nodes(self) -> dict[str, DataFrame]:
         return {"File": self.files, "Table": self.tables, "Column": self.columns, "Function": self.functions, "Method": self.functions.where("is_method"), "Requirement": self.requirements, "Policy": self.policies, "Identifier": self.identifiers.select("name").distinct()}
@@ -55,7 +156,7 @@ class Graph:
         return {
             "IMPORTS": self.imports, "USES_TABLE": self.uses_table, "REFERENCES_COLUMN": self.references_column, "HAS_COLUMN": self.columns,
             "ENFORCES": self.enforces, "GOVERNS": self.governs_table.select("req", "tbl", F.lit("").alias("name")).unionByName(self.governs_column),
-            "DECLARES_FUNCTION": self.functions, "USES_IDENTIFIER": self.identifiers,
+            "DECLARES_FUNCTION": self.functions, "USES_IDENTIFIER": self.identifiers, "CALLS": self.calls,
         }
 
 
@@ -67,37 +168,8 @@ def latest(rows: DataFrame, name: str) -> DataFrame:
 
 
 def build(spark: SparkSession, d: str) -> Graph:
-    """The graph of the test tables; every frame is a lazy plan over its own sources."""
-    raw = table(spark, d, "code_files")
-    code = raw.select("file_id", "repo", repo_path(F.col("path")).alias("path"), "content").distinct()
-    code = code.withColumn("language", language(F.col("path"))).where("language is not null").withColumn("file", F.concat_ws("/", "repo", "path"))
-    nodes = table(spark, d, "import_graph").select("node_id", "repo", repo_path(F.col("file_path")).alias("path")).distinct()
-    nodes = nodes.withColumn("file", F.concat_ws("/", "repo", "path"))
-    files = code.select("file", "repo", "path").union(nodes.select("file", "repo", "path")).distinct().withColumn("language", language(F.col("path")))
-    links = resolve_links(table(spark, d, "import_graph"), table(spark, d, "repo_specs")).where("parent_id is not null")
-    ids = nodes.select("node_id", "file")
-    imports = links.join(ids, "node_id").withColumnRenamed("file", "dst").join(ids.select(F.col("node_id").alias("parent_id"), F.col("file").alias("src")), "parent_id").select("src", "dst").distinct()
-
-    named = table(spark, d, "scenario_predictions").select("entity_type", "entity_name").distinct()
-    columns = named.where("entity_type = 'column'").select(F.substring_index("entity_name", ".", 1).alias("tbl"), F.substring_index("entity_name", ".", -1).alias("name")).distinct()
-    tables = named.where("entity_type = 'table'").select(F.col("entity_name").alias("name")).union(columns.select("tbl")).distinct()
-
-    said = code.select("file", F.explode(words(F.col("content"))).alias("word")).distinct()
-    uses = said.join(tables, said["word"] == tables["name"]).select("file", F.col("name").alias("tbl"))
-    refs = said.join(columns, said["word"] == columns["name"]).select("file", "tbl", "name")
-    pick = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
-    functions = code.select("file", F.explode(F.array_distinct(pick(_FUNCTION))).alias("name"), F.array_distinct(pick(_METHOD)).alias("m"))
-    functions = functions.groupBy("file", "name").agg(F.bool_or(F.array_contains("m", F.col("name"))).alias("is_method"))
-
-    reqs = latest(table(spark, d, "requirement_records").select("req_id", "title", "description", "category", "status", "recorded_at", "record_id"), "req_id").drop("status")
-    pols = latest(table(spark, d, "policy_records").select("policy_id", "description", "requirement_ids", "status", "recorded_at", "record_id"), "policy_id").drop("status")
-    named_reqs = pols.select(F.col("id").alias("policy"), F.explode("requirement_ids").alias("r")).select("policy", key(F.col("r")).alias("req")).where("req <> ''").distinct()
-    enforces = named_reqs.join(reqs.select(F.col("id").alias("req")), "req", "left_semi").select("policy", "req")
-    told = reqs.select(F.col("id").alias("req"), F.explode(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))).alias("word"))
-    governs_table = told.join(tables, told["word"] == tables["name"]).select("req", F.col("name").alias("tbl"))
-    governs_column = told.join(columns, told["word"] == columns["name"]).select("req", "tbl", "name")
-    identifiers = said.where(F.col("word").rlike("^[A-Za-z_]")).select("file", F.col("word").alias("name"))
-    return Graph(files, tables, columns, functions, reqs, pols.drop("requirement_ids"), identifiers, imports, uses, refs, enforces, governs_table, governs_column)
+    """The graph of the test tables in a folder."""
+    return Graph(spark, d)
 
 
 def direct_files(g: Graph) -> DataFrame:
@@ -115,17 +187,19 @@ def importers(g: Graph) -> DataFrame:
     return g.imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def blast_radius(g: Graph, entities: DataFrame, max_depth: int = 25) -> DataFrame:
-    """entity_type, entity, file, how: direct and transitive files of the entities (entity_type, entity).
+def blast_radius(g: Graph, entities: DataFrame, max_depth: int = 25, call_seed: str = "direct") -> DataFrame:
+    """entity_type, entity, file, how: direct, transitive and calling files of the entities (entity_type, entity).
 
-    The closure runs once over the distinct direct files of all entities and is joined back, so entities that
-    share files share the work.
+    transitive are those that import a direct file within ``max_depth`` links, calls those with a function that calls
+    one of a direct file within three; with ``call_seed`` closure, of a direct or transitive file. Both closures run
+    once over all files and are joined back, so entities that share files share the work.
     """
-    direct = direct_files(g).join(entities, ["entity_type", "entity"], "left_semi")
-    seeds = direct.select(F.col("file").alias("seed"), F.col("file").alias("node")).distinct()
-    reach = reachability(importers(g), seeds, max_depth)
-    further = direct.join(reach, direct["file"] == reach["seed"]).select("entity_type", "entity", F.col("node").alias("file"), F.lit("transitive").alias("how"))
-    return direct.withColumn("how", F.lit("direct")).unionByName(further).distinct()
+    direct = direct_files(g).join(entities, ["entity_type", "entity"], "left_semi").withColumn("how", F.lit("direct"))
+    reach = closure(importers(g), max_depth).select(F.col("src").alias("file"), F.col("dst").alias("other"))
+    further = direct.join(reach, "file").select("entity_type", "entity", F.col("other").alias("file"), F.lit("transitive").alias("how")).distinct()
+    seeds = direct if call_seed == "direct" else direct.unionByName(further).drop("how").distinct()
+    calling = seeds.join(g.calling_files, "file").select("entity_type", "entity", F.col("caller_file").alias("file"), F.lit("calls").alias("how")).distinct()
+    return direct.unionByName(further).unionByName(calling)
 
 
 def violated(g: Graph) -> DataFrame:
@@ -139,16 +213,24 @@ def violated(g: Graph) -> DataFrame:
 
 
 def impact(g: Graph, entities: DataFrame, max_depth: int = 25) -> DataFrame:
-    """One row per entity: counts of direct, all and backend files and of requirements, risk score and severity.
+    """One row per entity: direct, transitive, calling, all and backend files, requirements, risk and severity, and
+    what ``explain`` adds: functions and policies.
 
-    entities: entity_type, entity. Entities without any file or requirement have zeros.
+    entities: entity_type, entity. Entities without any file or requirement have zeros. The lists that the counts are
+    of are the rows of ``blast_radius`` and ``violated``.
     """
     files = blast_radius(g, entities, max_depth)
-    per = files.groupBy("entity_type", "entity", "file").agg(F.max(F.when(F.col("how") == "direct", 1).otherwise(0)).alias("direct"))
+    one = lambda k: F.max(F.when(F.col("how") == k, 1).otherwise(0)).alias(k)
+    per = files.groupBy("entity_type", "entity", "file").agg(one("direct"), one("transitive"), one("calls"))
     per = per.withColumn("backend", is_backend(F.col("file")).cast("int"))
-    f = per.groupBy("entity_type", "entity").agg(F.sum("direct").alias("direct_files"), F.count("*").alias("affected_files"), F.sum("backend").alias("backend_files"))
+    f = per.groupBy("entity_type", "entity").agg(
+        F.sum("direct").alias("direct_files"), F.sum("transitive").alias("transitive_files"), F.sum("calls").alias("calling_files"),
+        F.count("*").alias("affected_files"), F.sum("backend").alias("backend_files"),
+    )
     r = violated(g).where("entity_type <> 'file'").groupBy("entity_type", "entity").agg(F.count("*").alias("requirements"))
-    out = entities.join(f, ["entity_type", "entity"], "left").join(r, ["entity_type", "entity"], "left").na.fill(0)
+    more = explain(g).select("entity_type", "entity", "functions", "policies")
+    keys = ["entity_type", "entity"]
+    out = entities.join(f, keys, "left").join(r, keys, "left").join(more, keys, "left").na.fill(0)
     counted = F.when(F.col("entity_type") == "file", F.col("affected_files")).otherwise(F.col("backend_files"))
     points = risk.score(counted, F.lit(0), F.col("requirements"), F.lit(0))
     return out.withColumn("risk_score", points).withColumn("risk_severity", risk.severity(F.col("risk_score")))
@@ -211,6 +293,50 @@ def explain(g: Graph) -> DataFrame:
     return out.withColumn("summary", said)
 
 
+def propose(g: Graph, plans: DataFrame, access: DataFrame, role: str, operation: str, strict: bool = True) -> DataFrame:
+    """One row per plan: plan_id, decision, rbac_allowed, rbac_reason, declared, actual, missed, violated, silent, policies, token.
+
+    plans: plan_id, repo, entity_type, entity, declared (paths in the repo), requirements (declared ids); access: valid
+    rules. actual counts the blast radius of the entity within the repo, missed what of it is not declared, violated the
+    requirements of the entity, silent those not declared, policies what enforces them. A plan is blocked where one of
+    its files may not be changed; where it misses files or requirements it is blocked, or warned about if not
+    ``strict``. The token stands for the operation on the declared files and is there only where the plan is allowed.
+    A plan without files is authorized. Access is decided once per path and impact once per entity; of both lists only
+    what a plan declares is joined with it, so no plan is multiplied by its blast radius.
+    """
+    keys = ["entity_type", "entity"]
+    name = F.when(F.col("entity_type") == "file", F.concat_ws("/", "repo", repo_path(F.col("entity")))).otherwise(F.col("entity"))
+    plans = plans.withColumn("entity", name)
+    each = plans.select("plan_id", "repo", *keys, F.posexplode("declared").alias("pos", "path")).withColumn("path", gate_path(F.col("path"))).where("path <> ''")
+    each = each.groupBy("plan_id", "repo", *keys, "path").agg(F.min("pos").alias("pos"))
+    asked = each.select(F.col("path").alias("request_id"), F.lit(operation).alias("operation"), "path", F.lit(role).alias("role")).distinct()
+    judged = each.join(decide(asked, access).select(F.col("request_id").alias("path"), "allowed", "reason"), "path")
+    said = F.array_sort(F.collect_list(F.when(~F.col("allowed"), F.struct("pos", "reason"))))  # as many as one plan declares
+    allowed = judged.groupBy("plan_id").agg(F.count("*").alias("declared"), F.bool_and("allowed").alias("rbac_allowed"), F.array_join(F.transform(said, lambda x: x["reason"]), "; ").alias("rbac_reason"), F.sha2(F.concat_ws("\n", F.lit(operation), F.array_sort(F.collect_list("path"))), 256).alias("token"))
+
+    entities = plans.select(*keys).where("entity is not null").distinct()
+    files = blast_radius(g, entities).select(*keys, "file").distinct().join(g.files.select("file", "repo", "path"), "file")
+    files = g._scratch.write(files.select(*keys, "repo", gate_path(F.col("path")).alias("path")).distinct(), "actual")
+    actual = files.groupBy(*keys, "repo").agg(F.count("*").alias("actual"))
+    met = each.join(files, [*keys, "repo", "path"], "left_semi").groupBy("plan_id").agg(F.count("*").alias("met"))
+    broken = violated(g).join(entities, keys, "left_semi")
+    reqs = broken.groupBy(*keys).agg(F.count("*").alias("violated"))
+    pols = broken.join(g.enforces, "req").groupBy(*keys).agg(F.countDistinct("policy").alias("policies"))
+    told = plans.select("plan_id", *keys, F.explode("requirements").alias("r")).select("plan_id", *keys, key(F.col("r")).alias("req")).distinct()
+    known = told.join(broken, [*keys, "req"], "left_semi").groupBy("plan_id").agg(F.count("*").alias("known"))
+
+    out = plans.select("plan_id", "repo", *keys).join(actual, [*keys, "repo"], "left").join(reqs, keys, "left").join(pols, keys, "left")
+    for more in (allowed, met, known):
+        out = out.join(more, "plan_id", "left")
+    out = out.na.fill(0, ["declared", "actual", "met", "violated", "policies", "known"]).na.fill(True, ["rbac_allowed"])
+    out = out.withColumn("missed", F.col("actual") - F.col("met")).withColumn("silent", F.col("violated") - F.col("known"))
+    decision = F.when(~F.col("rbac_allowed"), "block").when((F.col("missed") > 0) | (F.col("silent") > 0), "block" if strict else "warn").otherwise("allow")
+    out = out.withColumn("decision", decision).withColumn("rbac_reason", F.when(F.col("rbac_allowed"), "Authorized.").otherwise(F.col("rbac_reason")))
+    none = F.sha2(F.lit(operation), 256)
+    token = F.when(F.col("decision") == "allow", F.coalesce("token", none)).otherwise("")
+    return out.select("plan_id", "decision", "rbac_allowed", "rbac_reason", "declared", "actual", "missed", "violated", "silent", "policies", token.alias("token"))
+
+
 def change_report(g: Graph, changesets: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row per changeset: totals, missing files, worst risk and verdict.
 

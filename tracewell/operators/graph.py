@@ -35,6 +35,26 @@ def reachability(edges: DataFrame, seeds: DataFrame, max_depth: int | None = Non
     return found.unionByName(start).distinct() if include_seeds else found
 
 
+def closure(edges: DataFrame, max_depth: int) -> DataFrame:
+    """src, dst, dist: all pairs up to ``max_depth`` links apart with their shortest distance, by doubling.
+
+    Round k joins the pairs that are exactly 2^k apart with all known ones, so each shortest path is found at one
+    point only, and log2(max_depth) rounds are written. A node is paired with itself only where a loop leads back.
+    For starts that are few beside the graph ``reachability`` does less.
+    """
+    scratch = Scratch(edges.sparkSession)
+    known = scratch.write(edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("dist", F.lit(1)), "pairs1")
+    k = 1
+    while k < max_depth:
+        far = known.where(F.col("dist") == k)
+        if far.isEmpty():
+            break
+        step = far.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.lit(k) + F.col("b.dist")).alias("dist"))
+        k *= 2
+        known = scratch.write(known.unionByName(step).groupBy("src", "dst").agg(F.min("dist").alias("dist")), f"pairs{k}")
+    return known.where(F.col("dist") <= max_depth)
+
+
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, n: the number of distinct sources that point at each node, 0 included."""
     counted = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))

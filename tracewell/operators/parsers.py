@@ -180,6 +180,13 @@ _JS_METHOD = re.compile(r"(?m)^[ \t]+(?:(?:public|private|protected|static|async
 _NO_METHOD = frozenset("if for while switch catch function return constructor with".split())
 
 
+def _calls(quiet: str, at: int, name: str) -> set[tuple[str, str, str]]:
+    """What the body says that begins at the next brace."""
+    at = quiet.find("{", at)
+    body = "" if at < 0 else re.sub(r"\bfunction\s*\*?\s+\w+\s*\(", "", quiet[at : _close(quiet, at)])
+    return {("call", c, name) for c in re.findall(r"(\w+)\s*\(", body) if c not in _NO_METHOD}
+
+
 def code_rows(language: str, text: str) -> list[tuple[str, str, str]]:
     """(kind, name, within) of imports, functions, classes, methods and calls (name is the callee)."""
     out: set[tuple[str, str, str]] = set()
@@ -228,12 +235,13 @@ def code_rows(language: str, text: str) -> list[tuple[str, str, str]]:
             spans.append((name, quiet.find("{", m.end() - 1)))
         for name, at in spans:
             if at >= 0:
-                out |= {("call", c, name) for c in re.findall(r"(\w+)\s*\(", quiet[at : _close(quiet, at)]) if c not in _NO_METHOD}
+                out |= _calls(quiet, at, name)
     elif language == "go":
         for m in re.finditer(r"(?ms)^import\s*(?:\(([^)]*)\)|(?:[\w.]+\s+)?\"([^\"]+)\")", seen):
             out |= {("import", x, "") for x in ([m.group(2)] if m.group(2) else re.findall(r"\"([^\"]+)\"", m.group(1) or ""))}
         for m in re.finditer(r"(?m)^func\s*(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)", quiet):
             out.add(("method" if m.group(1) else "function", m.group(2), m.group(1) or ""))
+            out |= _calls(quiet, m.end(), m.group(2))
         out |= {("class", m, "") for m in re.findall(r"(?m)^type\s+(\w+)\s+struct", quiet)}
     elif language == "java":
         out |= {("import", m, "") for m in re.findall(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", quiet)}
@@ -242,10 +250,14 @@ def code_rows(language: str, text: str) -> list[tuple[str, str, str]]:
             for x in re.finditer(r"[\w>\]]\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w., ]+)?\{", quiet[m.end() : _close(quiet, m.end() - 1)]):
                 if x.group(1) not in _NO_METHOD:
                     out.add(("method", x.group(1), m.group(1)))
+                    out |= _calls(quiet, m.end() + x.end() - 1, x.group(1))
     elif language in ("c", "cpp"):
         out |= {("import", m, "") for m in re.findall(r"(?m)^\s*include\s*[<\"]([^>\"]+)[>\"]", seen)}
         out |= {("class", m, "") for m in re.findall(r"\b(?:struct|class)\s+(\w+)[^;{(]*\{", quiet)}
-        out |= {("function", m, "") for m in re.findall(r"(?m)^[\w:<>,&* ]*?[\w>&*]\s+\**(\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", quiet) if m not in _NO_METHOD}
+        for m in re.finditer(r"(?m)^[\w:<>,&* ]*?[\w>&*]\s+\**(\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", quiet):
+            if m.group(1) not in _NO_METHOD:
+                out.add(("function", m.group(1), ""))
+                out |= _calls(quiet, m.end() - 1, m.group(1))
     return sorted(out)
 
 

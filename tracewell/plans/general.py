@@ -124,9 +124,10 @@ on_loop AS (SELECT node_id FROM up WHERE node_id = above),
 looped AS (SELECT node_id, min(above) AS root_id, -1 AS depth FROM up WHERE above IN (SELECT node_id FROM on_loop) GROUP BY node_id)
 """
 
-_P4 = r"""WITH r AS (SELECT record_id, arg_max(payload, (ingested_at, recorded_at, payload)) AS p FROM scenario_records GROUP BY record_id),
+_P4J = r"""r AS (SELECT record_id, arg_max(payload, (ingested_at, recorded_at, payload)) AS p FROM scenario_records GROUP BY record_id),
 j0 AS (SELECT record_id, CASE WHEN json_valid(p) THEN p::JSON END AS d FROM r),
-j AS (SELECT record_id, CASE WHEN json_type(d -> 'result') = 'OBJECT' AND (d ->> 'scenario_id') IS NULL THEN d -> 'result' ELSE d END AS d FROM j0 WHERE json_type(d) = 'OBJECT'),
+j AS (SELECT record_id, CASE WHEN json_type(d -> 'result') = 'OBJECT' AND (d ->> 'scenario_id') IS NULL THEN d -> 'result' ELSE d END AS d FROM j0 WHERE json_type(d) = 'OBJECT')"""
+_P4 = "WITH " + _P4J + r""",
 k AS (SELECT record_id, coalesce(CASE json_type(d -> 'rbac') WHEN 'OBJECT' THEN d ->> '$.rbac.reason' WHEN 'VARCHAR' THEN d ->> 'rbac' END, '') AS reason,
         CASE WHEN json_type(d -> 'violations') = 'VARCHAR' AND json_valid(d ->> 'violations') THEN (d ->> 'violations')::JSON ELSE d -> 'violations' END AS v FROM j),
 l AS (SELECT record_id, reason, CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v -> 'items') = 'ARRAY' THEN (v -> 'items')::JSON[] WHEN json_type(v) = 'OBJECT' THEN [v] ELSE [] END AS vs FROM k),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.paths import LANGUAGES, is_backend, language
 from tracewell.functions.text import is_ignored, repo_path
-from tracewell.operators import detect, gate, governance, graph, privacy, risk
-from tracewell.operators.packed import packed_values
-from tracewell.plans.general import _KEY, _NORM, _P2, _PACKED
+from tracewell.operators import detect, governance, graph, nested, privacy, risk, rules
+from tracewell.plans.general import _KEY, _NORM, _P2, _P4J
+from tracewell.plans.rules import _DECIDE, _RULES, _rules
 from tracewell.session import table
 
 G = governance.build
@@ -108,19 +108,18 @@ def j10_uses_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j13_local_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of functions of one file, each of whose names the file says."""
-    f = G(spark, d).functions.select("file", "name")
-    pairs = f.join(f.withColumnRenamed("name", "callee"), "file").where("name <> callee")
-    return pairs.groupBy("file").agg(F.count("*").alias("calls"))
+    """Calls from a declared function to one that the same file declares."""
+    return G(spark, d).calls.where("file = dst").select("file", "caller", "callee")
 
 
 def j14_cross_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Functions that a file names and that a file declares which it imports directly, unless it declares them itself."""
-    g = G(spark, d)
-    named = g.identifiers.select(F.col("file").alias("src"), "name")
-    declared = g.functions.select(F.col("file").alias("dst"), "name")
-    hit = named.join(g.imports, "src").join(declared, ["dst", "name"])
-    return hit.join(g.functions.select(F.col("file").alias("src"), "name"), ["src", "name"], "left_anti").select("src", "dst", "name").distinct()
+    """Calls from a declared function to one that a directly imported file declares."""
+    return G(spark, d).calls.where("file <> dst").select("file", "caller", "dst", "callee")
+
+
+def j15_linked_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of each file over all files at once: how many, and to how many files."""
+    return G(spark, d).calls.groupBy("file").agg(F.count("*").alias("calls"), F.countDistinct("dst").alias("files"))
 
 
 def j16_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -144,30 +143,19 @@ def j26_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 def g1_reverse_closure(spark: SparkSession, d: str) -> DataFrame:
     """For every file the number of files that import it, directly or not, within 25 links."""
-    g = G(spark, d)
-    seeds = g.files.select(F.col("file").alias("seed"), F.col("file").alias("node"))
-    return graph.reachability(governance.importers(g), seeds, 25).groupBy("seed").agg(F.count("*").alias("n"))
-
-
-def _parts(spark: SparkSession, d: str) -> DataFrame:
-    """A graph with loops on part keys: i to (7 i + 3) mod n and to i div 2."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    n = p.agg(F.count("*").alias("n"))
-    with_n = p.crossJoin(n)  # one row
-    return with_n.select(F.col("k").alias("src"), F.expr("(7 * k + 3) % n").alias("dst")).union(with_n.select("k", F.expr("k div 2"))).distinct()
+    return graph.closure(governance.importers(G(spark, d)), 25).groupBy(F.col("src").alias("seed")).agg(F.count("*").alias("n"))
 
 
 def g2_call_chain(spark: SparkSession, d: str) -> DataFrame:
-    """For every part the number of parts that reach it within three links."""
-    e = _parts(spark, d)
-    seeds = table(spark, d, "part").select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("node"))
-    return graph.reachability(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, 3).groupBy("seed").agg(F.count("*").alias("n"))
+    """For every file the files with a function that calls one of its functions within three calls."""
+    return G(spark, d).calling_files
 
 
 def g3_closure_from_one(spark: SparkSession, d: str) -> DataFrame:
-    """All parts that part 1 reaches, itself included, without a bound."""
-    seed = spark.createDataFrame([(1, 1)], "seed long, node long")
-    return graph.reachability(_parts(spark, d), seed, None, include_seeds=True).select("node")
+    """What the first importing file of each repo imports, directly or not, itself included, without a bound."""
+    g = G(spark, d)
+    first = g.imports.groupBy(F.substring_index("src", "/", 1).alias("repo")).agg(F.min("src").alias("seed"))
+    return graph.reachability(g.imports, first.select("seed", F.col("seed").alias("node")), None, include_seeds=True)
 
 
 def g5_in_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -211,6 +199,13 @@ def q1_impact(spark: SparkSession, d: str) -> DataFrame:
     return governance.impact(g, entities)
 
 
+def q1_files(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of the impact of every table and column: its direct, transitive and calling files."""
+    g = G(spark, d)
+    entities = g.tables.select(F.lit("table").alias("entity_type"), F.col("name").alias("entity")).union(g.columns.select(F.lit("column"), F.concat_ws(".", "tbl", "name"))).distinct()
+    return governance.blast_radius(g, entities).withColumn("backend", is_backend(F.col("file")))
+
+
 def q2_traces(spark: SparkSession, d: str) -> DataFrame:
     return governance.traces(G(spark, d))
 
@@ -255,27 +250,30 @@ def q4_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q7_preflight(spark: SparkSession, d: str) -> DataFrame:
-    """Detected entity of each document with its impact and what to do about it."""
+    """Detected entity of each document with its impact and what to do about it; a file is one of the document's repo."""
     g = G(spark, d)
-    found = detect.best_entity(_texts(spark, d), g.tables, g.columns, g.files.select(F.col("path").alias("file")).limit(0))
-    entities = found.where("entity_type <> 'unknown'").select("entity_type", F.col("entity_name").alias("entity")).distinct()
-    scored = governance.impact(g, entities).select("entity_type", F.col("entity").alias("entity_name"), "risk_score", "requirements")
-    out = found.join(scored, ["entity_type", "entity_name"], "left").na.fill(0)
+    found = detect.best_entity(_texts(spark, d), g.tables, g.columns, g.files.select(F.col("path").alias("file")).distinct())
+    repo = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "repo")
+    found = found.join(repo, "id").withColumn("entity", F.when(F.col("entity_type") == "file", F.concat(F.col("repo"), F.lit("/"), F.col("entity_name"))).otherwise(F.col("entity_name"))).drop("repo")
+    entities = found.where("entity_type <> 'unknown' and entity is not null").select("entity_type", "entity").distinct()
+    scored = governance.impact(g, entities).select("entity_type", "entity", "risk_score", "requirements")
+    out = found.join(scored, ["entity_type", "entity"], "left").drop("entity").na.fill(0)
     say = F.when(F.col("requirements") > 0, "resolve").when(F.col("risk_score") >= 20, "review").when(F.col("risk_score") >= 8, "check").otherwise("proceed")
     return out.withColumn("recommendation", say)
 
 
 def q16_propose(spark: SparkSession, d: str) -> DataFrame:
-    """Plans of the scenario log gated against what its oracle says: missed and silent sets and the decision."""
-    rows = table(spark, d, "scenario_predictions")
-    items = packed_values(rows, "prediction_id", _PACKED, ["provider", "model"]).groupBy("prediction_id").pivot("field", sorted(_PACKED)).agg(F.collect_set("value"))
-    ids = rows.select("prediction_id").distinct()
-    none = F.array().cast("array<string>")
-    plans = ids.join(items, "prediction_id", "left").select(
-        F.col("prediction_id").alias("plan_id"), F.lit(True).alias("rbac_allowed"), F.coalesce("predicted_files", none).alias("declared_files"), F.coalesce("oracle_files", none).alias("actual_files"),
-        F.coalesce("predicted_requirements", none).alias("declared_requirements"), none.alias("violated_requirements"), none.alias("enforced_policies"),
+    """The gate over all plans of the scenario log, as an editor who writes and declares no requirements.
+
+    One row per plan: the access decision on every declared file, what of the blast radius it misses, what it violates
+    in silence, the policies behind that, and a token where it is allowed.
+    """
+    g = G(spark, d)
+    doc, text = F.col("doc"), lambda p: F.try_variant_get("doc", p, "string")
+    plans = nested.parsed(table(spark, d, "scenario_records")).select(
+        F.col("record_id").alias("plan_id"), text("$.repo").alias("repo"), text("$.entity_type").alias("entity_type"), text("$.entity_name").alias("entity"), F.try_variant_get(doc, "$.declared_files", "array<string>").alias("declared"), F.array().cast("array<string>").alias("requirements"),
     )
-    return gate.evaluate(plans).select("plan_id", F.size("missed_files").alias("missed"), F.size("declared_files").alias("declared"), F.size("actual_files").alias("actual"), "decision")
+    return governance.propose(g, plans, _rules(spark, d), "editor", "write")
 
 
 def q19_graph_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -285,11 +283,13 @@ def q19_graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q20_change_report(spark: SparkSession, d: str) -> DataFrame:
-    """One changeset per repo, its api and db files; repos with names of even length are authorized."""
+    """One changeset per repo, its api and db files, which an editor writes."""
     g = G(spark, d)
-    sets = g.files.where("path like 'src/api/%' or path like 'src/db/%'").select(F.col("repo").alias("change_id"), "file")
-    decisions = g.files.select(F.col("repo").alias("change_id")).distinct().withColumn("authorized", F.length("change_id") % 2 == 0)
-    return governance.change_report(g, sets, decisions)
+    sets = g.files.where("path like 'src/api/%' or path like 'src/db/%'").select(F.col("repo").alias("change_id"), "file", "path")
+    asked = sets.select(F.col("path").alias("request_id"), F.lit("write").alias("operation"), "path", F.lit("editor").alias("role")).distinct()
+    allowed = sets.join(rules.decide(asked, _rules(spark, d)).select(F.col("request_id").alias("path"), "allowed"), "path").groupBy("change_id").agg(F.bool_and("allowed").alias("authorized"))
+    decisions = g.files.select(F.col("repo").alias("change_id")).distinct().join(allowed, "change_id", "left").select("change_id", F.coalesce("authorized", F.lit(True)).alias("authorized"))
+    return governance.change_report(g, sets.select("change_id", "file"), decisions)
 
 
 def q21_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +308,7 @@ def q23_purpose(spark: SparkSession, d: str) -> DataFrame:
     return privacy.personal(g.columns).select("tbl", "name", "category", "sensitivity", F.array_join("articles", ",").alias("articles"))
 
 
-_NAMES = "s1_code_scan s2_languages s10_label_scan s11_context p3_prefix p6_backend p11_search j1_table_files j2_column_files j3_requirements j7_table_policies j8_file_policies j9_governs j10_uses_table j13_local_calls j14_cross_calls j16_resolve j21_personal_files j26_orphans g0_region_radius g1_reverse_closure g2_call_chain g3_closure_from_one g5_in_degree g7_blast_radius q1_impact q2_traces q2_explain q3_violations q4_detect q7_preflight q12_function_counts q13_identifier_usage q14_candidates q16_propose q19_graph_stats q20_change_report q21_summary q22_erasure q23_purpose"
+_NAMES = "s1_code_scan s2_languages s10_label_scan s11_context p3_prefix p6_backend p11_search j1_table_files j2_column_files j3_requirements j7_table_policies j8_file_policies j9_governs j10_uses_table j13_local_calls j14_cross_calls j15_linked_calls j16_resolve j21_personal_files j26_orphans g0_region_radius g1_reverse_closure g2_call_chain g3_closure_from_one g5_in_degree g7_blast_radius q1_impact q1_files q2_traces q2_explain q3_violations q4_detect q7_preflight q12_function_counts q13_identifier_usage q14_candidates q16_propose q19_graph_stats q20_change_report q21_summary q22_erasure q23_purpose"
 _RENAMED = {"p3_prefix": "path_prefix", "p6_backend": "path_backend", "p11_search": "path_search"}
 QUERIES = {_RENAMED.get(n, n): globals()[n] for n in _NAMES.split()}
 
@@ -317,6 +317,8 @@ _LANG = "CASE " + " ".join(f"WHEN ext = '{e[1:]}' THEN '{k}'" for e, k in LANGUA
 _BACK = "(len(list_intersect(string_split(lower({0}), '/'), ['ui','views','components'])) = 0 AND len(list_intersect(string_split(lower({0}), '/'), ['server','api','db','trpc','inngest'])) > 0)"
 _WORDS = r"unnest(list_distinct(regexp_extract_all({0}, '\w+')))"
 
+_FN = r"(?:function|def|func)\s+(?:\([^)]*\)\s*)?(\w+)\s*\("
+_QUIET = r"""'//[^\n]*|/\*(?s:.*?)\*/|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`'"""
 _GOV = rf"""{_P2},
 code0 AS (SELECT DISTINCT file_id, repo, {_NORM.format('path')} AS path, content FROM code_files),
 code AS (SELECT *, repo || '/' || path AS file FROM code0 WHERE regexp_matches(lower(path), '\.({_EXT})$')),
@@ -346,8 +348,21 @@ g_violated AS (SELECT 'table' AS entity_type, tbl AS entity, req FROM g_gt UNION
 climb AS (SELECT dst AS seed, src AS node, 1 AS depth FROM g_imports
           UNION ALL SELECT c.seed, i.src, c.depth + 1 FROM climb c JOIN g_imports i ON i.dst = c.node WHERE c.depth < 25),
 g_reach AS (SELECT DISTINCT seed, node FROM climb),
+seg AS (SELECT file, unnest(regexp_extract_all(content, '{_FN}', 1)) AS caller, unnest(regexp_split_to_array(content, '{_FN}')[2:]) AS body FROM (SELECT DISTINCT file, content FROM code WHERE lower(path) LIKE '%.py') WHERE regexp_matches(content, '{_FN}')),
+quiet AS (SELECT DISTINCT file, regexp_replace(content, {_QUIET}, ' ', 'g') AS q FROM code WHERE lower(path) NOT LIKE '%.py'),
+tok AS (SELECT file, unnest(generate_series(1, len(t))) AS ord, unnest(t) AS tk FROM (SELECT file, regexp_extract_all(q, '{_FN}|\w+\s*\(|[{{}}]') AS t FROM quiet)),
+dep AS (SELECT *, sum(CASE tk WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ord) AS depth, regexp_full_match(tk, '{_FN}') AS is_decl FROM tok),
+decl AS (SELECT d.file, regexp_extract(d.tk, '{_FN}', 1) AS caller, d.ord, min(e.ord) AS until FROM dep d JOIN dep e ON e.file = d.file AND e.ord > d.ord AND e.tk = '}}' AND e.depth = d.depth WHERE d.is_decl GROUP BY ALL),
+said_calls AS (SELECT DISTINCT file, caller, unnest(regexp_extract_all(regexp_extract(body, '^[^\n]*(?:\n(?:[ \t}})\]][^\n]*)?)*'), '(\w+)\s*\(', 1)) AS callee FROM seg
+  UNION SELECT d.file, caller, regexp_extract(c.tk, '\w+') FROM decl d JOIN dep c ON c.file = d.file AND c.ord > d.ord AND c.ord < d.until AND NOT c.is_decl AND c.tk NOT IN ('{{', '}}')),
+g_calls AS (SELECT DISTINCT s.file, caller, f.file AS dst, callee FROM said_calls s JOIN (SELECT file, file AS dst FROM g_functions UNION SELECT src, dst FROM g_imports) i ON i.file = s.file JOIN g_functions f ON f.file = i.dst AND f.name = callee
+            WHERE EXISTS (SELECT 1 FROM g_functions o WHERE o.file = s.file AND o.name = caller)),
+up2 AS (SELECT DISTINCT file, caller, dst, callee FROM g_calls UNION SELECT a.file, a.caller, b.dst, b.callee FROM g_calls a JOIN g_calls b ON b.file = a.dst AND b.caller = a.callee),
+up3 AS (SELECT DISTINCT file, caller, dst, callee FROM up2 UNION SELECT a.file, a.caller, b.dst, b.callee FROM g_calls a JOIN up2 b ON b.file = a.dst AND b.caller = a.callee),
+g_calling AS (SELECT DISTINCT dst AS file, file AS caller_file FROM up3),
 g_blast AS (SELECT entity_type, entity, file, 'direct' AS how FROM g_direct
-            UNION SELECT entity_type, entity, node, 'transitive' FROM g_direct JOIN g_reach ON seed = file)
+            UNION SELECT entity_type, entity, node, 'transitive' FROM g_direct JOIN g_reach ON seed = file
+            UNION SELECT entity_type, entity, caller_file, 'calls' FROM g_direct JOIN g_calling USING (file))
 """
 
 
@@ -364,12 +379,18 @@ _PII = f"""g_pii0 AS (SELECT tbl, name, {_pick(1, 'non_personal')} AS category,
 g_pii AS (SELECT * FROM g_pii0 WHERE category <> 'non_personal')"""
 _SEV = "CASE WHEN {0} >= 20 THEN 'high' WHEN {0} >= 8 THEN 'moderate' ELSE 'low' END"
 _ENT = "g_ent AS (SELECT 'table' AS entity_type, name AS entity FROM g_tables UNION SELECT 'column', tbl || '.' || name FROM g_columns UNION SELECT 'file', file FROM g_files)"
-_IMPACT = f"""{_ENT},
-imp_f0 AS (SELECT entity_type, entity, file, max(CASE WHEN how = 'direct' THEN 1 ELSE 0 END) AS direct FROM g_blast GROUP BY ALL),
-imp_f AS (SELECT entity_type, entity, sum(direct)::BIGINT AS direct_files, count(*) AS affected_files, sum({_BACK.format('file')}::INT)::BIGINT AS backend_files FROM imp_f0 GROUP BY ALL),
+_EXPLAIN = f"""ex_used AS (SELECT * FROM g_uses WHERE {_BACK.format('file')}),
+ex_f AS (SELECT tbl, count(DISTINCT u.file) AS files, count(f.name) AS functions FROM ex_used u LEFT JOIN g_functions f ON f.file = u.file GROUP BY tbl),
+ex_r AS (SELECT entity_type, entity, count(DISTINCT req) AS requirements, count(DISTINCT policy) AS policies FROM g_violated LEFT JOIN g_enforces USING (req) WHERE entity_type <> 'file' GROUP BY ALL),
+ex_e AS (SELECT 'table' AS entity_type, name AS entity FROM g_tables UNION SELECT 'column', tbl || '.' || name FROM g_columns),
+ex1 AS (SELECT entity_type, entity, coalesce(files, 0) AS files, coalesce(functions, 0) AS functions, coalesce(requirements, 0) AS requirements, coalesce(policies, 0) AS policies FROM ex_e LEFT JOIN ex_f ON entity_type = 'table' AND tbl = entity LEFT JOIN ex_r USING (entity_type, entity)),
+ex2 AS (SELECT *, 2 * files + functions + 4 * requirements + 3 * policies AS risk_score FROM ex1)"""
+_IMPACT = f"""{_ENT}, {_EXPLAIN},
+imp_f0 AS (SELECT entity_type, entity, file, count(*) FILTER (WHERE how = 'direct') AS direct, count(*) FILTER (WHERE how = 'transitive') AS transitive, count(*) FILTER (WHERE how = 'calls') AS calling FROM g_blast GROUP BY ALL),
+imp_f AS (SELECT entity_type, entity, sum(direct)::BIGINT AS direct_files, sum(transitive)::BIGINT AS transitive_files, sum(calling)::BIGINT AS calling_files, count(*) AS affected_files, sum({_BACK.format('file')}::INT)::BIGINT AS backend_files FROM imp_f0 GROUP BY ALL),
 imp_r AS (SELECT entity_type, entity, count(*) AS requirements FROM g_violated WHERE entity_type <> 'file' GROUP BY ALL),
-imp0 AS (SELECT entity_type, entity, coalesce(direct_files, 0) AS direct_files, coalesce(affected_files, 0) AS affected_files, coalesce(backend_files, 0) AS backend_files, coalesce(requirements, 0) AS requirements
-         FROM g_ent LEFT JOIN imp_f USING (entity_type, entity) LEFT JOIN imp_r USING (entity_type, entity)),
+imp0 AS (SELECT entity_type, entity, coalesce(direct_files, 0) AS direct_files, coalesce(transitive_files, 0) AS transitive_files, coalesce(calling_files, 0) AS calling_files, coalesce(functions, 0) AS functions, coalesce(policies, 0) AS policies, coalesce(affected_files, 0) AS affected_files, coalesce(backend_files, 0) AS backend_files, coalesce(requirements, 0) AS requirements
+         FROM g_ent LEFT JOIN imp_f USING (entity_type, entity) LEFT JOIN imp_r USING (entity_type, entity) LEFT JOIN (SELECT entity_type, entity, functions, policies FROM ex1) USING (entity_type, entity)),
 impact AS (SELECT *, 2 * (CASE WHEN entity_type = 'file' THEN affected_files ELSE backend_files END) + 4 * requirements AS risk_score FROM imp0)"""
 _COUNTS = r"""texts AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL),
 wc AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '\w+')) AS word FROM texts) GROUP BY ALL),
@@ -396,8 +417,9 @@ SQL = {
     "j8_file_policies": _sql("SELECT entity AS file, count(DISTINCT req) AS requirements, count(DISTINCT policy) AS policies FROM g_violated LEFT JOIN g_enforces USING (req) WHERE entity_type = 'file' GROUP BY ALL"),
     "j9_governs": _sql("SELECT req, tbl, '' AS name FROM g_gt UNION ALL SELECT req, tbl, name FROM g_gc"),
     "j10_uses_table": _sql("SELECT file, tbl FROM g_uses"),
-    "j13_local_calls": _sql("SELECT a.file, count(*) AS calls FROM g_functions a JOIN g_functions b ON a.file = b.file AND a.name <> b.name GROUP BY ALL"),
-    "j14_cross_calls": _sql("SELECT DISTINCT src, dst, n.name FROM g_imports i JOIN g_idents n ON n.file = src JOIN g_functions f ON f.file = dst AND f.name = n.name WHERE NOT EXISTS (SELECT 1 FROM g_functions o WHERE o.file = src AND o.name = n.name)"),
+    "j13_local_calls": _sql("SELECT file, caller, callee FROM g_calls WHERE file = dst"),
+    "j15_linked_calls": _sql("SELECT file, count(*) AS calls, count(DISTINCT dst) AS files FROM g_calls GROUP BY file"),
+    "j14_cross_calls": _sql("SELECT file, caller, dst, callee FROM g_calls WHERE file <> dst"),
     "j16_resolve": _sql("SELECT src, dst FROM g_imports"),
     "j21_personal_files": _sql("SELECT p.tbl, p.name, category, sensitivity, subject, count(DISTINCT file) AS files FROM g_pii p LEFT JOIN g_uses u ON u.tbl = p.tbl GROUP BY ALL", _PII),
     "j26_orphans": _sql("SELECT id FROM g_reqs WHERE id NOT IN (SELECT req FROM g_enforces)"),
@@ -407,11 +429,12 @@ r AS (SELECT 'region:' || r_regionkey AS seed, dst AS node FROM region JOIN e ON
 c AS (SELECT seed, count(*) AS reached, count(*) FILTER (WHERE node LIKE 'order:%') AS orders, count(*) FILTER (WHERE node LIKE 'customer:%') AS customers, count(*) FILTER (WHERE node LIKE 'supplier:%') AS suppliers FROM r GROUP BY seed)
 SELECT *, 2 * orders + customers + 4 * suppliers AS risk_score, CASE WHEN 2 * orders + customers + 4 * suppliers >= 20 THEN 'high' WHEN 2 * orders + customers + 4 * suppliers >= 8 THEN 'moderate' ELSE 'low' END AS risk_severity FROM c""",
     "g1_reverse_closure": _sql("SELECT seed, count(*) AS n FROM g_reach GROUP BY seed"),
-    "g2_call_chain": "WITH n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % n AS dst FROM part, n UNION SELECT p_partkey, p_partkey // 2 FROM part), a AS (SELECT dst AS seed, src AS node FROM e), b AS (SELECT a.seed, e.src AS node FROM a JOIN e ON e.dst = a.node), c AS (SELECT b.seed, e.src AS node FROM b JOIN e ON e.dst = b.node) SELECT seed, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c) WHERE seed IN (SELECT p_partkey FROM part) GROUP BY seed",
-    "g3_closure_from_one": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % n AS dst FROM part, n UNION SELECT p_partkey, p_partkey // 2 FROM part), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r",
+    "g2_call_chain": _sql("SELECT file, caller_file FROM g_calling"),
+    "g3_closure_from_one": _sql("SELECT seed, node FROM r3", "first3 AS (SELECT min(src) AS seed FROM g_imports GROUP BY split_part(src, '/', 1)), r3 AS (SELECT seed, seed AS node FROM first3 UNION SELECT seed, dst FROM r3 JOIN g_imports ON src = node)"),
     "g5_in_degree": _sql("SELECT n, count(*) AS files FROM (SELECT file, count(DISTINCT src) AS n FROM (SELECT DISTINCT file FROM g_files) LEFT JOIN g_imports ON dst = file GROUP BY file) GROUP BY n"),
     "g7_blast_radius": _sql("SELECT entity, file, how FROM g_blast WHERE entity_type = 'table'"),
     "q1_impact": _sql(f"SELECT *, {_SEV.format('risk_score')} AS risk_severity FROM impact", _IMPACT),
+    "q1_files": _sql(f"SELECT entity_type, entity, file, how, {_BACK.format('file')} AS backend FROM g_blast WHERE entity_type <> 'file'"),
     "q2_traces": _sql(
         f"""SELECT 'table' AS entity_type, tbl AS entity, 'Table(' || tbl || ') -> File(' || u.file || ')' || coalesce(' -> Function(' || f.name || ')', '') AS trace FROM g_uses u LEFT JOIN g_functions f ON f.file = u.file WHERE {_BACK.format('u.file')}
 UNION SELECT 'table', tbl, 'Table(' || tbl || ') -> Requirement(' || req || ')' || coalesce(' -> Policy(' || policy || ')', '') FROM g_gt LEFT JOIN g_enforces USING (req)
@@ -423,18 +446,13 @@ UNION SELECT 'policy', policy, 'Policy(' || policy || ') -> Requirement(' || req
     ),
     "q2_explain": _sql(
         f"SELECT *, {_SEV.format('risk_score')} AS risk_severity, entity_type || ' ' || entity || ' affects ' || files || ' files, ' || functions || ' functions, violates ' || requirements || ' requirements, and enforces ' || policies || ' policies.' AS summary FROM ex2",
-        f"""ex_used AS (SELECT * FROM g_uses WHERE {_BACK.format('file')}),
-ex_f AS (SELECT tbl, count(DISTINCT u.file) AS files, count(f.name) AS functions FROM ex_used u LEFT JOIN g_functions f ON f.file = u.file GROUP BY tbl),
-ex_r AS (SELECT entity_type, entity, count(DISTINCT req) AS requirements, count(DISTINCT policy) AS policies FROM g_violated LEFT JOIN g_enforces USING (req) WHERE entity_type <> 'file' GROUP BY ALL),
-ex_e AS (SELECT 'table' AS entity_type, name AS entity FROM g_tables UNION SELECT 'column', tbl || '.' || name FROM g_columns),
-ex1 AS (SELECT entity_type, entity, coalesce(files, 0) AS files, coalesce(functions, 0) AS functions, coalesce(requirements, 0) AS requirements, coalesce(policies, 0) AS policies FROM ex_e LEFT JOIN ex_f ON entity_type = 'table' AND tbl = entity LEFT JOIN ex_r USING (entity_type, entity)),
-ex2 AS (SELECT *, 2 * files + functions + 4 * requirements + 3 * policies AS risk_score FROM ex1)""",
+        _EXPLAIN,
     ),
     "q3_violations": _sql("SELECT tbl, req, coalesce(title, '') AS title, coalesce(policies, '') AS policies FROM g_gt JOIN g_reqs r ON r.id = req LEFT JOIN (SELECT req, string_agg(policy, ',' ORDER BY policy) AS policies FROM g_enforces GROUP BY req) USING (req)"),
     "q4_detect": _sql("SELECT t.id, coalesce(e.t, 'unknown') AS entity_type, coalesce(e.e, '') AS entity_name FROM texts t LEFT JOIN best b ON b.id = t.id", _COUNTS, _BEST.format(_PATHS)),
     "q7_preflight": _sql(
-        "SELECT id, entity_type, entity_name, risk_score, requirements, CASE WHEN requirements > 0 THEN 'resolve' WHEN risk_score >= 20 THEN 'review' WHEN risk_score >= 8 THEN 'check' ELSE 'proceed' END AS recommendation FROM (SELECT t.id, coalesce(e.t, 'unknown') AS entity_type, coalesce(e.e, '') AS entity_name, coalesce(risk_score, 0) AS risk_score, coalesce(requirements, 0) AS requirements FROM texts t LEFT JOIN best b ON b.id = t.id LEFT JOIN impact i ON i.entity_type = e.t AND i.entity = e.e)",
-        _COUNTS, _BEST.format(""), _IMPACT,
+        "SELECT id, entity_type, entity_name, risk_score, requirements, CASE WHEN requirements > 0 THEN 'resolve' WHEN risk_score >= 20 THEN 'review' WHEN risk_score >= 8 THEN 'check' ELSE 'proceed' END AS recommendation FROM (SELECT t.id, coalesce(e.t, 'unknown') AS entity_type, coalesce(e.e, '') AS entity_name, coalesce(risk_score, 0) AS risk_score, coalesce(requirements, 0) AS requirements FROM texts t LEFT JOIN best b ON b.id = t.id JOIN documents dc ON dc.doc_id = t.id LEFT JOIN impact i ON i.entity_type = e.t AND i.entity = CASE WHEN e.t = 'file' THEN dc.repo || '/' || e.e ELSE e.e END)",
+        _COUNTS, _BEST.format(_PATHS), _IMPACT,
     ),
     "q12_function_counts": _sql("SELECT file, count(DISTINCT name) AS function_count, count(DISTINCT CASE WHEN is_method THEN name END) AS method_count, greatest(count(DISTINCT name) - count(DISTINCT CASE WHEN is_method THEN name END), 0) AS non_method_count FROM g_functions GROUP BY file"),
     "q13_identifier_usage": _sql("SELECT name, string_agg(DISTINCT file, chr(10) ORDER BY file) AS files FROM g_idents JOIN g_tables USING (name) GROUP BY name"),
@@ -443,22 +461,36 @@ ex2 AS (SELECT *, 2 * files + functions + 4 * requirements + 3 * policies AS ris
         _COUNTS,
         "cand AS (SELECT c.id, 'column' AS entity_type, c.tbl || '.' || c.name AS entity_name, CASE WHEN nt IS NULL THEN 15 * nc ELSE 10 * nt + 20 * nc END AS score FROM wcol c LEFT JOIN wt t ON t.id = c.id AND t.tbl = c.tbl UNION ALL SELECT id, 'table', tbl, 10 * nt FROM wt)",
     ),
+    "q16_propose": _sql(
+        """SELECT plan_id, decision, rbac_allowed, CASE WHEN rbac_allowed THEN 'Authorized.' ELSE said END AS rbac_reason, declared, actual, missed, violated, violated AS silent, policies,
+ CASE WHEN decision = 'allow' THEN sha256(concat_ws(chr(10), 'write', paths)) ELSE '' END AS token
+ FROM (SELECT *, CASE WHEN NOT rbac_allowed OR missed > 0 OR violated > 0 THEN 'block' ELSE 'allow' END AS decision FROM pr)""",
+        f"""{_P4J}, pl AS (SELECT record_id AS plan_id, d ->> 'repo' AS repo, d ->> 'entity_type' AS entity_type, CASE WHEN d ->> 'entity_type' = 'file' THEN concat_ws('/', d ->> 'repo', {_NORM.format("(d ->> 'entity_name')")}) ELSE d ->> 'entity_name' END AS entity, (d -> 'declared_files')::VARCHAR[] AS files FROM j),
+ed AS (SELECT plan_id, repo, entity_type, entity, path, min(pos) AS pos FROM (SELECT *, regexp_replace(trim(replace(files[pos], '\\', '/')), '^/+|/+$', '', 'g') AS path FROM (SELECT *, unnest(generate_series(1, len(files))) AS pos FROM pl)) WHERE path <> '' GROUP BY ALL),
+{_RULES}, req AS (SELECT DISTINCT path AS request_id, 'write' AS operation, path, 'editor' AS role, '' AS repo, 2 AS rank FROM ed), {_DECIDE},
+ac AS (SELECT plan_id, count(*) AS declared, bool_and(allowed) AS rbac_allowed, string_agg(reason, '; ' ORDER BY pos) FILTER (WHERE NOT allowed) AS said, string_agg(path, chr(10) ORDER BY path) AS paths FROM ed JOIN dec ON dec.request_id = path GROUP BY plan_id),
+af AS (SELECT DISTINCT entity_type, entity, f.repo, f.path FROM g_blast b JOIN g_files f USING (file)),
+pr AS (SELECT plan_id, coalesce(rbac_allowed, true) AS rbac_allowed, said, coalesce(declared, 0) AS declared, paths, coalesce(n, 0) AS actual, coalesce(n, 0) - (SELECT count(*) FROM ed JOIN af USING (entity_type, entity, repo, path) WHERE ed.plan_id = pl.plan_id) AS missed,
+  (SELECT count(*) FROM g_violated v WHERE v.entity_type = pl.entity_type AND v.entity = pl.entity) AS violated, (SELECT count(DISTINCT policy) FROM g_violated v JOIN g_enforces USING (req) WHERE v.entity_type = pl.entity_type AND v.entity = pl.entity) AS policies
+  FROM pl LEFT JOIN ac USING (plan_id) LEFT JOIN (SELECT entity_type, entity, repo, count(*) AS n FROM af GROUP BY ALL) USING (entity_type, entity, repo))""",
+    ),
     "q19_graph_stats": _sql(
         "SELECT kind, label, n FROM st UNION ALL SELECT kind, 'total', sum(n)::BIGINT FROM st GROUP BY kind",
         """st AS (SELECT 'node' AS kind, 'File' AS label, count(*) AS n FROM g_files UNION ALL SELECT 'node', 'Table', count(*) FROM g_tables UNION ALL SELECT 'node', 'Column', count(*) FROM g_columns UNION ALL SELECT 'node', 'Function', count(*) FROM g_functions
  UNION ALL SELECT 'node', 'Method', count(*) FROM g_functions WHERE is_method UNION ALL SELECT 'node', 'Requirement', count(*) FROM g_reqs UNION ALL SELECT 'node', 'Policy', count(*) FROM g_pols UNION ALL SELECT 'node', 'Identifier', count(DISTINCT name) FROM g_idents
  UNION ALL SELECT 'edge', 'IMPORTS', count(*) FROM g_imports UNION ALL SELECT 'edge', 'USES_TABLE', count(*) FROM g_uses UNION ALL SELECT 'edge', 'REFERENCES_COLUMN', count(*) FROM g_refs UNION ALL SELECT 'edge', 'HAS_COLUMN', count(*) FROM g_columns
- UNION ALL SELECT 'edge', 'ENFORCES', count(*) FROM g_enforces UNION ALL SELECT 'edge', 'GOVERNS', (SELECT count(*) FROM g_gt) + (SELECT count(*) FROM g_gc) UNION ALL SELECT 'edge', 'DECLARES_FUNCTION', count(*) FROM g_functions UNION ALL SELECT 'edge', 'USES_IDENTIFIER', count(*) FROM g_idents)""",
+ UNION ALL SELECT 'edge', 'ENFORCES', count(*) FROM g_enforces UNION ALL SELECT 'edge', 'GOVERNS', (SELECT count(*) FROM g_gt) + (SELECT count(*) FROM g_gc) UNION ALL SELECT 'edge', 'CALLS', count(*) FROM g_calls UNION ALL SELECT 'edge', 'DECLARES_FUNCTION', count(*) FROM g_functions UNION ALL SELECT 'edge', 'USES_IDENTIFIER', count(*) FROM g_idents)""",
     ),
     "q20_change_report": _sql(
         "SELECT *, CASE WHEN NOT authorized OR requirements > 0 THEN 'block' WHEN missing_files > 0 OR max_risk >= 8 THEN 'warn' ELSE 'pass' END AS verdict FROM rep",
-        f"""cs AS (SELECT repo AS change_id, file FROM g_files WHERE path LIKE 'src/api/%' OR path LIKE 'src/db/%'),
+        f"""cs AS (SELECT repo AS change_id, file, path FROM g_files WHERE path LIKE 'src/api/%' OR path LIKE 'src/db/%'),
+{_RULES}, req AS (SELECT DISTINCT path AS request_id, 'write' AS operation, path, 'editor' AS role, '' AS repo, 2 AS rank FROM cs), {_DECIDE},
 aff AS (SELECT DISTINCT entity AS file, file AS affected FROM g_blast WHERE entity_type = 'file'),
 own AS (SELECT DISTINCT change_id, affected FROM cs JOIN aff USING (file)),
 mis AS (SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.change_id = o.change_id AND cs.file = o.affected)),
 rq AS (SELECT change_id, file, req FROM cs JOIN (SELECT entity AS file, req FROM g_violated WHERE entity_type = 'file') USING (file)),
 sc AS (SELECT change_id, 2 * ((SELECT count(*) FROM aff a WHERE a.file = cs.file AND {_BACK.format('a.affected')}) + {_BACK.format('cs.file')}::INT) + 4 * (SELECT count(DISTINCT req) FROM rq WHERE rq.file = cs.file) + 3 * (SELECT count(DISTINCT policy) FROM rq JOIN g_enforces USING (req) WHERE rq.file = cs.file) AS score FROM cs),
-rep AS (SELECT change_id, length(change_id) % 2 = 0 AS authorized,
+rep AS (SELECT change_id, coalesce((SELECT bool_and(allowed) FROM cs JOIN dec ON dec.request_id = cs.path WHERE cs.change_id = x.change_id), true) AS authorized,
   (SELECT count(*) FROM own WHERE own.change_id = x.change_id) AS affected_files, (SELECT count(*) FROM mis WHERE mis.change_id = x.change_id) AS missing_files,
   (SELECT count(DISTINCT req) FROM rq WHERE rq.change_id = x.change_id) AS requirements, (SELECT count(DISTINCT policy) FROM rq JOIN g_enforces USING (req) WHERE rq.change_id = x.change_id) AS policies,
   coalesce((SELECT max(score) FROM sc WHERE sc.change_id = x.change_id), 0) AS max_risk FROM (SELECT DISTINCT repo AS change_id FROM g_files) x)""",

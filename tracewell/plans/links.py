@@ -10,7 +10,7 @@ from tracewell.functions.text import key, repo_path
 from tracewell.operators import governance, graph, privacy, retrieval, rules
 from tracewell.operators.parsers import parse_schemas
 from tracewell.plans.governance import _BACK, _IMPACT, _pick, _sql
-from tracewell.plans.rules import _RULES, _requests, _rules
+from tracewell.plans.rules import _ALL, _RULES, _requests, _rules
 from tracewell.session import table
 from tracewell.streaming.changes import dispatch
 
@@ -218,7 +218,7 @@ SQL = {
     "j12_applies_to": _sql(rf"SELECT DISTINCT policy, file FROM (SELECT {_K.format('policy_id')} AS policy, {_NORM.format('path_pattern')} AS prefix FROM authority_rules) JOIN g_files ON path = prefix OR starts_with(path, prefix || '/') WHERE NOT regexp_matches(prefix, '[*?\[]') AND policy <> '' AND prefix <> ''"),
     "j19_rule_policies": _sql("SELECT rule_id, min_role_rank, CASE WHEN id IN (SELECT id FROM g_pols) THEN id ELSE '' END AS policy FROM rul", _RULES, _POLRULE),
     "j20_filter_in_join": _sql("SELECT operation, count(*) AS rules, count(p.id) AS with_policy FROM rul LEFT JOIN g_pols p ON p.id = rul.id AND operation = 'write' GROUP BY operation", _RULES, _POLRULE),
-    "j22_probe_grid": f"WITH {_RULES} SELECT role, operation, CASE WHEN {_BACK.format('path')} THEN 'backend' ELSE 'other' END AS path_group, count(*) AS n FROM req GROUP BY ALL",
+    "j22_probe_grid": f"WITH {_ALL} SELECT role, operation, CASE WHEN {_BACK.format('path')} THEN 'backend' ELSE 'other' END AS path_group, count(*) AS n FROM req GROUP BY ALL",
     "j25_policies_hit": _sql("SELECT DISTINCT policy FROM g_enforces WHERE req IN (SELECT req FROM g_gt)"),
     "g8_ablation": _sql("SELECT entity_type, count(*) AS n, sum(direct_files)::BIGINT AS direct, sum(affected_files)::BIGINT AS with_closure FROM impact WHERE entity_type <> 'file' GROUP BY entity_type", _IMPACT),
     "a1_collect": _sql("SELECT tbl, string_agg(DISTINCT req, ',' ORDER BY req) AS reqs FROM g_gt GROUP BY tbl"),
@@ -230,7 +230,7 @@ SQL = {
         "sc AS (SELECT query, id, sum((length(text) - length(replace(text, token, ''))) // length(token))::BIGINT AS score FROM tok JOIN txt ON contains(text, token) GROUP BY ALL)",
     ),
     "u5_missing_from_changeset": _sql("SELECT DISTINCT f.repo, i.src AS file FROM g_files f JOIN g_imports i ON i.dst = f.file LEFT JOIN g_files o ON o.file = i.src AND o.path LIKE 'src/api/%' WHERE f.path LIKE 'src/api/%' AND o.file IS NULL"),
-    "e10_probes": f"WITH {_RULES}, s AS (SELECT allowed, CASE role WHEN 'guest' THEN NULL ELSE role = 'admin' END AS said FROM dec) SELECT count(*) FILTER (WHERE NOT allowed) AS denied, count(*) FILTER (WHERE NOT allowed AND coalesce(said, true)) AS breach, count(*) FILTER (WHERE allowed AND NOT coalesce(said, true)) AS false_deny, count(*) FILTER (WHERE said IS NULL) AS invalid FROM s",
+    "e10_probes": f"WITH {_ALL}, s AS (SELECT allowed, CASE role WHEN 'guest' THEN NULL ELSE role = 'admin' END AS said FROM dec) SELECT count(*) FILTER (WHERE NOT allowed) AS denied, count(*) FILTER (WHERE NOT allowed AND coalesce(said, true)) AS breach, count(*) FILTER (WHERE allowed AND NOT coalesce(said, true)) AS false_deny, count(*) FILTER (WHERE said IS NULL) AS invalid FROM s",
     "e12_scenarios": _sql(
         "SELECT 'table' AS entity_type, name AS entity FROM g_tables UNION ALL SELECT 'column', tbl || '.' || name FROM (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY name) AS n FROM g_columns) WHERE n <= 2 UNION ALL SELECT 'file', file FROM (SELECT file, row_number() OVER (PARTITION BY repo ORDER BY n DESC, file) AS k FROM deg) WHERE k <= 6",
         "deg AS (SELECT f.repo, f.file, count(DISTINCT src) AS n FROM g_files f LEFT JOIN g_imports ON dst = f.file GROUP BY ALL)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tracewell.plans import changes, documents, evaluation, general, governance, links, rules
 
 MODULES = (general, governance, rules, evaluation, changes, documents, links)
-FLAGSHIP = "g0_region_radius"
+FLAGSHIP = "q16_propose"
 
 
 def queries() -> dict:

@@ -98,11 +98,12 @@ last AS (SELECT rule_id, arg_max(struct_pack(operation := operation, path_patter
 r0 AS (SELECT trim(rule_id) AS rule_id, lower(trim(r.operation)) AS operation, trim(r.path_pattern) AS path_pattern, lower(trim(r.effect)) AS effect, lower(trim(r.min_role)) AS min_role, {_ROLE.format('r.min_role')} AS min_role_rank, coalesce(r.source_priority, 0) AS source_priority FROM last),
 rr AS (SELECT * FROM r0 WHERE rule_id <> '' AND operation IN ('read', 'write', 'delete', '*') AND effect IN ('allow', 'deny') AND min_role_rank IS NOT NULL AND {_MATCH.format('path_pattern')} <> ''),
 rx AS (SELECT *, {_MATCH.format('path_pattern')} AS pat, regexp_replace(regexp_replace(path_pattern, '\\', '/', 'g'), '^/+|/+$', '', 'g') AS sp FROM rr),
-ry AS (SELECT *, '(?s)^' || replace(replace(regexp_replace(regexp_replace(pat, '([.+^${{}}()|])', '\\\1', 'g'), '\*+', '.*', 'g'), '?', '.'), '[!', '[^') || '$' AS regex FROM rx),
-req AS (SELECT file_id || '|' || role || '|' || operation AS request_id, operation, path, role, repo, CASE role WHEN 'viewer' THEN 1 WHEN 'editor' THEN 2 WHEN 'admin' THEN 3 END AS rank
-  FROM (SELECT DISTINCT file_id, repo, {_NORM.format('path')} AS path FROM code_files), (SELECT unnest(['viewer', 'editor', 'admin', 'guest']) AS role), (SELECT unnest(['write', 'delete']) AS operation)),
+ry AS (SELECT * FROM rx)"""
+_REQ = rf"""req AS (SELECT file_id || '|' || role || '|' || operation AS request_id, operation, path, role, repo, CASE role WHEN 'viewer' THEN 1 WHEN 'editor' THEN 2 WHEN 'admin' THEN 3 END AS rank
+  FROM (SELECT DISTINCT file_id, repo, {_NORM.format('path')} AS path FROM code_files), (SELECT unnest(['viewer', 'editor', 'admin', 'guest']) AS role), (SELECT unnest(['write', 'delete']) AS operation))"""
+_DECIDE = rf"""pm AS (SELECT p, pat FROM (SELECT DISTINCT {_MATCH.format('path')} AS p FROM req) JOIN (SELECT DISTINCT pat FROM ry) ON p GLOB pat),
 mat0 AS (SELECT request_id, rule_id, min_role, sp, source_priority, CASE WHEN effect = 'allow' AND rank >= min_role_rank THEN 'allow' WHEN effect = 'deny' AND rank < min_role_rank THEN 'deny' END AS outcome
-  FROM req JOIN ry ON (ry.operation = req.operation OR ry.operation = '*') AND regexp_matches({_MATCH.format('req.path')}, regex) WHERE rank IS NOT NULL),
+  FROM req JOIN pm ON pm.p = {_MATCH.format('req.path')} JOIN ry ON ry.pat = pm.pat AND (ry.operation = req.operation OR ry.operation = '*') WHERE rank IS NOT NULL),
 mat AS (SELECT * FROM mat0 WHERE outcome IS NOT NULL),
 win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY outcome DESC, length(sp) - length(regexp_replace(sp, '[^*?\[\]]', '', 'g')) DESC, length(regexp_replace(sp, '[^/]', '', 'g')) DESC,
   length(regexp_replace(sp, '[^*?\[\]]', '', 'g')), length(sp) DESC, source_priority DESC, rule_id) AS rn FROM mat) WHERE rn = 1),
@@ -110,14 +111,15 @@ dec AS (SELECT req.request_id, repo, role, operation, CASE WHEN rank IS NULL THE
   CASE WHEN rank IS NULL THEN 'Missing or invalid role claim.' WHEN rule_id IS NULL THEN 'No matching authority rule (deny-by-default).'
        ELSE CASE outcome WHEN 'allow' THEN 'Authorized' ELSE 'Denied' END || ' by rule ''' || rule_id || ''' (requires role>=' || min_role || ').' END AS reason, coalesce(rule_id, '') AS matched_rule_id FROM req LEFT JOIN win USING (request_id))
 """
+_ALL = ",".join([_RULES, _REQ, _DECIDE])
 SQL = {
     "a20_last_rules": "SELECT rule_id, arg_max(operation, (recorded_at, record_id)) AS operation, arg_max(effect, (recorded_at, record_id)) AS effect FROM authority_rules GROUP BY rule_id",
-    "c5_valid_rules": f"WITH {_RULES} SELECT rule_id, operation, path_pattern, effect, min_role, min_role_rank, source_priority FROM rr",
+    "c5_valid_rules": f"WITH {_ALL} SELECT rule_id, operation, path_pattern, effect, min_role, min_role_rank, source_priority FROM rr",
     "c6_model_rules": rf"SELECT DISTINCT trim(rule_id) AS rule_id, lower(trim(operation)) AS operation, trim(path_pattern) AS path_pattern, lower(trim(effect)) AS effect FROM authority_rules WHERE trim(rule_id) <> '' AND lower(trim(operation)) IN ('write', 'delete', '*') AND lower(trim(effect)) IN ('allow', 'deny') AND {_ROLE.format('min_role')} IS NOT NULL AND {_REL} <> '' AND NOT starts_with({_REL}, '/') AND NOT regexp_matches({_REL}, '(^|/)\.\.(/|$)') AND NOT regexp_matches({_REL}, '^[A-Za-z]:')",
-    "c4_decisions": f"WITH {_RULES} SELECT request_id, allowed, reason, matched_rule_id FROM dec",
-    "j23_matches": f"WITH {_RULES} SELECT request_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'deny') AS denies FROM mat GROUP BY request_id",
-    "q15_authorize": f"WITH {_RULES} SELECT repo, role, operation, bool_and(allowed) AS authorized, count(*) FILTER (WHERE NOT allowed) AS denied FROM dec GROUP BY ALL",
-    "a14_breaches": f"""WITH {_RULES}, g AS (SELECT allowed, 'none' AS system, true AS said FROM dec UNION ALL SELECT allowed, 'role', role = 'admin' FROM dec UNION ALL SELECT allowed, 'rules', allowed FROM dec),
+    "c4_decisions": f"WITH {_ALL} SELECT request_id, allowed, reason, matched_rule_id FROM dec",
+    "j23_matches": f"WITH {_ALL} SELECT request_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'deny') AS denies FROM mat GROUP BY request_id",
+    "q15_authorize": f"WITH {_ALL} SELECT repo, role, operation, bool_and(allowed) AS authorized, count(*) FILTER (WHERE NOT allowed) AS denied FROM dec GROUP BY ALL",
+    "a14_breaches": f"""WITH {_ALL}, g AS (SELECT allowed, 'none' AS system, true AS said FROM dec UNION ALL SELECT allowed, 'role', role = 'admin' FROM dec UNION ALL SELECT allowed, 'rules', allowed FROM dec),
 c AS (SELECT system, count(*) FILTER (WHERE NOT allowed) AS denied, count(*) FILTER (WHERE allowed) AS ok, count(*) FILTER (WHERE NOT allowed AND said) AS breach, count(*) FILTER (WHERE NOT allowed AND NOT said) AS blocked, count(*) FILTER (WHERE allowed AND NOT said) AS false_deny FROM g GROUP BY system)
 SELECT system, denied, ok AS allowed, breach, blocked, false_deny, round(CASE WHEN denied = 0 THEN 0.0 ELSE breach / denied END, 6) AS breach_rate FROM c""",
     "w1_specificity": r"WITH p AS (SELECT DISTINCT path_pattern, regexp_replace(replace(path_pattern, '\', '/'), '^/+|/+$', '', 'g') AS sp FROM authority_rules) SELECT path_pattern, length(sp) - length(regexp_replace(sp, '[^*?\[\]]', '', 'g')) AS literal, length(regexp_replace(sp, '[^/]', '', 'g')) + (sp <> '')::INT AS segments, -length(regexp_replace(sp, '[^*?\[\]]', '', 'g')) AS wildcards, length(sp) AS length FROM p",

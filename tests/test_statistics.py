@@ -44,7 +44,7 @@ def test_mcnemar_and_median(spark):
     exact = lambda n, k: min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
     assert abs(got["g"].p - exact(16, 0)) < 1e-12 and abs(got["h"].p - exact(7, 2)) < 1e-12 and got["i"].p == 1
     df = spark.createDataFrame([(x,) for x in (5, 1, 9, 7)], "x int")
-    assert df.agg(ev.upper_median(F.col("x"))).first()[0] == 7
+    assert df.agg(ev.upper_median("x")).first()[0] == 7
 
 
 def test_bootstrap(spark):

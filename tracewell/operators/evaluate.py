@@ -104,9 +104,9 @@ def mcnemar(pairs: DataFrame, by: list[str]) -> DataFrame:
     return agg.withColumn("p", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: the element at half of the sorted values, rounded up."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.floor(F.count(values) / 2) + 1).cast("int"))
+def upper_median(name: str) -> Column:
+    """Aggregate: the element at half of the sorted values of a column, rounded up; from counts of distinct values."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{name}` desc)")
 
 
 def bootstrap(metrics: DataFrame, by: list[str], rounds: int = 1000, seed: int = 20260603, level: float = 0.95) -> DataFrame:

@@ -61,7 +61,7 @@ def a10_by_type(spark: SparkSession, d: str) -> DataFrame:
 def a11_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Per repo and over all: scenarios, share with a miss, mean misses, upper median of misses."""
     m = _metrics(spark, d)
-    agg = m.rollup("repo").agg(F.count("*").alias("n"), F.avg((F.col("fn") > 0).cast("int")).alias("miss_rate"), F.avg("fn").alias("mean_missed"), ev.upper_median(F.col("fn")).alias("median_missed"))
+    agg = m.rollup("repo").agg(F.count("*").alias("n"), F.avg((F.col("fn") > 0).cast("int")).alias("miss_rate"), F.avg("fn").alias("mean_missed"), ev.upper_median("fn").alias("median_missed"))
     return _r(agg.select(F.coalesce("repo", F.lit("all")).alias("repo"), "n", "miss_rate", "mean_missed", "median_missed"), "miss_rate", "mean_missed")
 
 

@@ -459,7 +459,8 @@ UNION SELECT 'policy', policy, 'Policy(' || policy || ') -> Requirement(' || req
     "q14_candidates": _sql(
         "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, entity_type, entity_name)::INT AS rank FROM cand) WHERE rank <= 10",
         _COUNTS,
-        "cand AS (SELECT c.id, 'column' AS entity_type, c.tbl || '.' || c.name AS entity_name, CASE WHEN nt IS NULL THEN 15 * nc ELSE 10 * nt + 20 * nc END AS score FROM wcol c LEFT JOIN wt t ON t.id = c.id AND t.tbl = c.tbl UNION ALL SELECT id, 'table', tbl, 10 * nt FROM wt)",
+        r"fl AS (SELECT DISTINCT path, lower(path) AS low, regexp_replace(regexp_extract(lower(path), '[^/]*$'), '\.[^.]*$', '') AS stem FROM g_files), fh AS (SELECT id, path, CASE WHEN contains(lower(text), low) THEN 8 WHEN length(stem) > 3 AND contains(lower(text), stem) THEN 3 END AS score FROM texts, fl)",
+        "cand AS (SELECT c.id, 'column' AS entity_type, c.tbl || '.' || c.name AS entity_name, CASE WHEN nt IS NULL THEN 15 * nc ELSE 10 * nt + 20 * nc END AS score FROM wcol c LEFT JOIN wt t ON t.id = c.id AND t.tbl = c.tbl UNION ALL SELECT id, 'table', tbl, 10 * nt FROM wt UNION ALL SELECT id, 'file', path, score FROM fh WHERE score IS NOT NULL)",
     ),
     "q16_propose": _sql(
         """SELECT plan_id, decision, rbac_allowed, CASE WHEN rbac_allowed THEN 'Authorized.' ELSE said END AS rbac_reason, declared, actual, missed, violated, violated AS silent, policies,

@@ -127,21 +127,25 @@ looped AS (SELECT node_id, min(above) AS root_id, -1 AS depth FROM up WHERE abov
 _P4J = r"""r AS (SELECT record_id, arg_max(payload, (ingested_at, recorded_at, payload)) AS p FROM scenario_records GROUP BY record_id),
 j0 AS (SELECT record_id, CASE WHEN json_valid(p) THEN p::JSON END AS d FROM r),
 j AS (SELECT record_id, CASE WHEN json_type(d -> 'result') = 'OBJECT' AND (d ->> 'scenario_id') IS NULL THEN d -> 'result' ELSE d END AS d FROM j0 WHERE json_type(d) = 'OBJECT')"""
-_P4 = "WITH " + _P4J + r""",
+_P4Q = "WITH " + _P4J + r""",
 k AS (SELECT record_id, coalesce(CASE json_type(d -> 'rbac') WHEN 'OBJECT' THEN d ->> '$.rbac.reason' WHEN 'VARCHAR' THEN d ->> 'rbac' END, '') AS reason,
         CASE WHEN json_type(d -> 'violations') = 'VARCHAR' AND json_valid(d ->> 'violations') THEN (d ->> 'violations')::JSON ELSE d -> 'violations' END AS v FROM j),
 l AS (SELECT record_id, reason, CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v -> 'items') = 'ARRAY' THEN (v -> 'items')::JSON[] WHEN json_type(v) = 'OBJECT' THEN [v] ELSE [] END AS vs FROM k),
 m AS (SELECT record_id, reason, list_filter(list_transform(vs, lambda x, i: {'pos': i - 1, 'v': x}), lambda y: json_type(y.v) = 'OBJECT') AS vs FROM l),
 n AS (SELECT record_id, reason, unnest(vs) AS y FROM m),
-o AS (SELECT record_id, reason, y.pos AS violation_pos, coalesce(y.v ->> 'requirement_id', '') AS requirement_id, coalesce(y.v ->> 'trace_path', '') AS trace_path,
+o AS (SELECT record_id, reason, y.pos AS violation_pos, coalesce(y.v ->> 'requirement_id', '') AS requirement_id, coalesce(y.v ->> 'trace_path', '') AS trace_path, coalesce(y.v ->> 'requirement_title', '') AS requirement_title,
         CASE json_type(y.v -> 'enforced_by') WHEN 'ARRAY' THEN (y.v -> 'enforced_by')::JSON[] WHEN 'OBJECT' THEN [y.v -> 'enforced_by'] WHEN 'VARCHAR' THEN [y.v -> 'enforced_by'] ELSE [] END AS es FROM n),
-q AS (SELECT * EXCLUDE es, list_filter(list_transform(es, lambda x, i: {'pos': i - 1, 'p': CASE json_type(x) WHEN 'OBJECT' THEN coalesce(x ->> 'policy_id', '') WHEN 'VARCHAR' THEN x ->> '$' END}), lambda y: y.p IS NOT NULL) AS es FROM o)
+q AS (SELECT * EXCLUDE es, list_filter(list_transform(es, lambda x, i: {'pos': i - 1, 'p': CASE json_type(x) WHEN 'OBJECT' THEN coalesce(x ->> 'policy_id', '') WHEN 'VARCHAR' THEN x ->> '$' END, 'title': coalesce(CASE json_type(x) WHEN 'OBJECT' THEN x ->> 'policy_title' END, ''), 'said': coalesce(CASE json_type(x) WHEN 'OBJECT' THEN x ->> 'policy_text' END, ''), 'trace': coalesce(CASE json_type(x) WHEN 'OBJECT' THEN x ->> 'trace_path' END, '')}), lambda y: y.p IS NOT NULL) AS es FROM o)"""
+_P4 = _P4Q + r"""
 SELECT record_id, violation_pos::INT AS violation_pos, e.pos::INT AS policy_pos, requirement_id, trace_path, e.p AS policy_id, reason FROM (SELECT *, unnest(es) AS e FROM q)
 UNION ALL SELECT record_id, violation_pos::INT, -1, requirement_id, trace_path, '', reason FROM q WHERE len(es) = 0
 UNION ALL SELECT record_id, -1, -1, '', '', '', reason FROM m WHERE len(vs) = 0"""
 
 SQL = {
     "p4_found": _P4,
+    "p4_scenarios": _P4Q + " SELECT j.record_id, " + ", ".join(f"coalesce(d ->> '{n}', '') AS {n}" for n in ("repo", "scenario_id", "task", "entity_type", "entity_name", "decision")) + ", reason, len(vs)::INT AS n_violations FROM j JOIN m USING (record_id)",
+    "p4_violations": _P4Q + " SELECT record_id, violation_pos::INT AS violation_pos, requirement_id, requirement_title, trace_path, len(es)::INT AS n_policies FROM q",
+    "p4_policies": _P4Q + " SELECT record_id, violation_pos::INT AS violation_pos, e.pos::INT AS policy_pos, e.p AS policy_id, e.title AS policy_title, e.said AS policy_text, e.trace AS policy_trace_path FROM (SELECT *, unnest(es) AS e FROM q)",
     "p1_found": f"WITH {_P1} SELECT * FROM found",
     "p1_report": f"WITH {_P1} SELECT source_table, period, reason, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY ALL",
     "p2_descendants": f"""WITH RECURSIVE {_P2}, below AS (SELECT parent_id AS node_id, node_id AS descendant_id FROM links WHERE parent_id IS NOT NULL AND node_id NOT IN (SELECT node_id FROM on_loop)

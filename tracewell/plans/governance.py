@@ -350,8 +350,8 @@ climb AS (SELECT dst AS seed, src AS node, 1 AS depth FROM g_imports
 g_reach AS (SELECT DISTINCT seed, node FROM climb),
 seg AS (SELECT file, unnest(regexp_extract_all(content, '{_FN}', 1)) AS caller, unnest(regexp_split_to_array(content, '{_FN}')[2:]) AS body FROM (SELECT DISTINCT file, content FROM code WHERE lower(path) LIKE '%.py') WHERE regexp_matches(content, '{_FN}')),
 quiet AS (SELECT DISTINCT file, regexp_replace(content, {_QUIET}, ' ', 'g') AS q FROM code WHERE lower(path) NOT LIKE '%.py'),
-tok AS (SELECT file, unnest(generate_series(1, len(t))) AS ord, unnest(t) AS tk FROM (SELECT file, regexp_extract_all(q, '{_FN}|\w+\s*\(|[{{}}]') AS t FROM quiet)),
-dep AS (SELECT *, sum(CASE tk WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ord) AS depth, regexp_full_match(tk, '{_FN}') AS is_decl FROM tok),
+call_tok AS (SELECT file, unnest(generate_series(1, len(t))) AS ord, unnest(t) AS tk FROM (SELECT file, regexp_extract_all(q, '{_FN}|\w+\s*\(|[{{}}]') AS t FROM quiet)),
+dep AS (SELECT *, sum(CASE tk WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ord) AS depth, regexp_full_match(tk, '{_FN}') AS is_decl FROM call_tok),
 decl AS (SELECT d.file, regexp_extract(d.tk, '{_FN}', 1) AS caller, d.ord, min(e.ord) AS until FROM dep d JOIN dep e ON e.file = d.file AND e.ord > d.ord AND e.tk = '}}' AND e.depth = d.depth WHERE d.is_decl GROUP BY ALL),
 said_calls AS (SELECT DISTINCT file, caller, unnest(regexp_extract_all(regexp_extract(body, '^[^\n]*(?:\n(?:[ \t}})\]][^\n]*)?)*'), '(\w+)\s*\(', 1)) AS callee FROM seg
   UNION SELECT d.file, caller, regexp_extract(c.tk, '\w+') FROM decl d JOIN dep c ON c.file = d.file AND c.ord > d.ord AND c.ord < d.until AND NOT c.is_decl AND c.tk NOT IN ('{{', '}}')),

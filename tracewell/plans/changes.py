@@ -26,15 +26,19 @@ def k1_upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
     return dml.upsert_nodes(_versions(spark, d, False), _versions(spark, d, True), ["id"])
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "policy_records").select(key(F.col("policy_id")).alias("src"), F.explode("requirement_ids").alias("r"))
+def _edges(spark: SparkSession, d: str, late: bool | None = None) -> DataFrame:
+    """References of all policy records, or of those recorded before or after the cut."""
+    p = table(spark, d, "policy_records")
+    if late is not None:
+        p = p.where((F.col("recorded_at") >= F.lit(_CUT).cast("timestamp_ntz")) == F.lit(late))
+    p = p.select(key(F.col("policy_id")).alias("src"), F.explode("requirement_ids").alias("r"))
     return p.select("src", key(F.col("r")).alias("dst")).where("src <> '' and dst <> ''").distinct()
 
 
 def k2_upsert_edges(spark: SparkSession, d: str) -> DataFrame:
-    """References whose both ends are known are linked; the others are passed over."""
-    e = _edges(spark, d)
-    return dml.upsert_edges(e.limit(0), e, e.select(F.col("src").alias("id")).distinct(), _versions(spark, d, False))
+    """References recorded after the cut are merged into those before it where both ends are known."""
+    new = _edges(spark, d, True)
+    return dml.upsert_edges(_edges(spark, d, False), new, new.select(F.col("src").alias("id")).distinct(), _versions(spark, d, False))
 
 
 def k3_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -56,10 +60,10 @@ def k5_clear_outgoing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k6_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Deleted requirements go with all references to them."""
+    """Deleted requirements go with all references to them: what is left of nodes and of edges."""
     nodes = _versions(spark, d, True).select("id", "status")
-    _, edges = dml.delete_cascade(nodes.select("id"), _edges(spark, d), nodes.where("status = 'deleted'").select("id"))
-    return edges
+    left, edges = dml.delete_cascade(nodes.select("id"), _edges(spark, d), nodes.where("status = 'deleted'").select("id"))
+    return edges.select(F.lit("edge").alias("kind"), "src", "dst").unionByName(left.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit("").alias("dst")))
 
 
 def k7_prune_stale(spark: SparkSession, d: str) -> DataFrame:
@@ -115,14 +119,15 @@ _K = r"upper(regexp_replace(coalesce({0}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', ''
 _V = f"""
 v AS (SELECT {_K.format('req_id')} AS id, recorded_at >= TIMESTAMP '{_CUT}' AS late, arg_max(struct_pack(title := title, description := nullif(description, ''), category := category, status := status), (recorded_at, record_id)) AS x FROM requirement_records GROUP BY ALL),
 old AS (SELECT id, x.* FROM v WHERE NOT late AND id <> ''), new AS (SELECT id, x.* FROM v WHERE late AND id <> ''),
-e AS (SELECT DISTINCT src, dst FROM (SELECT {_K.format('policy_id')} AS src, {_K.format('r')} AS dst FROM (SELECT policy_id, unnest(requirement_ids) AS r FROM policy_records)) WHERE src <> '' AND dst <> '')"""
+e0 AS (SELECT {_K.format('policy_id')} AS src, {_K.format('r')} AS dst, t FROM (SELECT policy_id, recorded_at AS t, unnest(requirement_ids) AS r FROM policy_records)),
+e AS (SELECT DISTINCT src, dst FROM e0 WHERE src <> '' AND dst <> '')"""
 SQL = {
     "k1_upsert_nodes": f"WITH {_V} SELECT id, coalesce(new.title, old.title) AS title, coalesce(new.description, old.description) AS description, coalesce(new.category, old.category) AS category, coalesce(new.status, old.status) AS status FROM old FULL JOIN new USING (id)",
-    "k2_upsert_edges": f"WITH {_V} SELECT src, dst FROM e WHERE dst IN (SELECT id FROM old)",
+    "k2_upsert_edges": f"WITH {_V} SELECT src, dst FROM (SELECT DISTINCT src, dst, t FROM e0 WHERE src <> '' AND dst <> '') WHERE t < TIMESTAMP '{_CUT}' OR t >= TIMESTAMP '{_CUT}' AND dst IN (SELECT id FROM old) GROUP BY ALL",
     "k3_replace": "SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem WHERE l_returnflag = 'R' OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1",
     "k4_prune_missing": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1",
     "k5_clear_outgoing": f"WITH {_V} SELECT src, dst FROM e WHERE src NOT IN (SELECT {_K.format('policy_id')} FROM policy_records WHERE status = 'deleted')",
-    "k6_delete_cascade": f"WITH {_V}, g AS (SELECT id FROM new WHERE status = 'deleted') SELECT src, dst FROM e WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)",
+    "k6_delete_cascade": f"WITH {_V}, g AS (SELECT id FROM new WHERE status = 'deleted') SELECT 'edge' AS kind, src, dst FROM e WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g) UNION ALL SELECT 'node', id, '' FROM new WHERE id NOT IN (SELECT id FROM g)",
     "k7_prune_stale": "SELECT DISTINCT split_part(entity_name, '.', 1) AS tbl, split_part(entity_name, '.', -1) AS name FROM scenario_predictions WHERE entity_type = 'column' AND split_part(entity_name, '.', 1) IN (SELECT entity_name FROM scenario_predictions WHERE entity_type = 'table' AND provider = 'hosted')",
     "k8_drop_orphans": f"WITH {_V} SELECT id FROM old WHERE id IN (SELECT dst FROM e)",
     "k13_stubs": f"WITH {_V} SELECT id, title FROM old UNION ALL SELECT DISTINCT dst, NULL FROM e WHERE dst NOT IN (SELECT id FROM old)",

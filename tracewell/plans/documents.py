@@ -10,6 +10,9 @@ from tracewell.operators import parsers
 from tracewell.session import table
 
 
+_IMPORT = r"""\b(?:from|import|require)\b\s*\(?\s*["']([^"'\n]+)["']"""
+
+
 def _docs(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("doc_kind") == kind) & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
 
@@ -31,9 +34,9 @@ def d8_code_structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d9_python_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Import statements of script files by their text, without a parser."""
+    """Imports of script files by their text, without a parser: from, import and require, in either quotes."""
     t = table(spark, d, "code_files").where("lower(path) rlike '\\\\.(ts|tsx|js|jsx)$'").select("file_id", "content").distinct()
-    found = F.regexp_extract_all("content", F.lit(r"from \"([^\"]+)\""), F.lit(1))
+    found = F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1))
     return t.select("file_id", F.explode(F.array_distinct(found)).alias("specifier"))
 
 
@@ -71,7 +74,7 @@ _PICK = r"nullif(regexp_extract(text, '(?im)^(?:{0}):[ \t]*(.+?)[ \t\r]*$', 1),
 _RK = r"^\s*(?:-\s*)?(rule_id|operation|path_pattern|min_role|effect|source_priority):[ \t]*(.*?)\s*$"
 SQL = {
     "d2_sql_tables": r"WITH c AS (SELECT DISTINCT content FROM code_files WHERE lower(path) LIKE '%.sql'), t AS (SELECT regexp_extract(content, 'CREATE TABLE (\w+) \(', 1) AS tbl, unnest(regexp_extract_all(regexp_extract(content, '(?s)CREATE TABLE \w+ \((.*?)\);', 1), '(?m)^  (\w+) ', 1)) AS col FROM c) SELECT DISTINCT tbl, col FROM t WHERE tbl <> ''",
-    "d9_python_imports": r"""WITH c AS (SELECT DISTINCT file_id, content FROM code_files WHERE regexp_matches(lower(path), '\.(ts|tsx|js|jsx)$')) SELECT DISTINCT file_id, unnest(regexp_extract_all(content, 'from "([^"]+)"', 1)) AS specifier FROM c""",
+    "d9_python_imports": r"SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '{_X}', 1)) AS specifier FROM code_files WHERE regexp_matches(lower(path), '\.(ts|tsx|js|jsx)$')".replace("{_X}", _IMPORT.replace("'", "''")),
     "d12_front_matter": f"WITH {_LINES.format('requirement')}, p AS (SELECT id, pos, lower(trim(split_part(line, ':', 1))) AS key, trim(substr(line, instr(line, ':') + 1)) AS value FROM lines WHERE regexp_matches(line, '^[A-Za-z][\\w \\-]*:')) SELECT id, key, arg_max(value, pos) AS value FROM p WHERE key IN ('id', 'title', 'priority', 'tags') GROUP BY ALL",
     "d13_rule_blocks": rf"""WITH {_LINES.format('rbac')}, b AS (SELECT *, sum(regexp_matches(line, '^\s*-\s*rule_id:')::INT) OVER (PARTITION BY id ORDER BY pos) AS block FROM lines),
 p AS (SELECT id, block, pos, regexp_extract(line, '{_RK}', 1) AS k, regexp_extract(line, '{_RK}', 2) AS v FROM b WHERE block > 0),

@@ -76,6 +76,26 @@ def matches(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return both.withColumn("outcome", outcome).where("outcome is not null").drop("op", "rank", "p", "pattern")
 
 
+def match_counts(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """request_id, n, denies: how many rules apply to each request, where any does, and how many of them deny.
+
+    The rows of ``matches`` are counted without being made: rules count by pattern, operation, effect and rank, and
+    these numbers by path, which has as many of them as there are operations, effects and ranks.
+    """
+    asked = requests.select("request_id", F.lower(F.trim("operation")).alias("op"), match_path(F.col("path")).alias("p"), role_rank(F.col("role")).alias("rank")).where("rank is not null")
+    kinds = ["operation", "effect", "min_role_rank"]
+    held = rules.withColumn("pattern", match_path(F.col("path_pattern"))).groupBy("pattern", *kinds).agg(F.count("*").alias("n"))
+    pairs = matched_paths(asked.select("p").distinct(), held.select("pattern").distinct())
+    by_path = pairs.join(held, "pattern").groupBy("p", *kinds).agg(F.sum("n").alias("n")).groupBy("p").agg(F.collect_list(F.struct(*kinds, "n")).alias("held"))
+    says = lambda x, effect: (x["effect"] == effect) & ((x["operation"] == F.col("op")) | (x["operation"] == "*"))
+    total = lambda c: F.aggregate(F.filter("held", c), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    denies = total(lambda x: says(x, "deny") & (F.col("rank") < x["min_role_rank"]))
+    allows = total(lambda x: says(x, "allow") & (F.col("rank") >= x["min_role_rank"]))
+    rows = asked.join(by_path, "p").select("request_id", allows.alias("allows"), denies.alias("denies"))
+    out = rows.groupBy("request_id").agg(F.sum(F.col("allows") + F.col("denies")).alias("n"), F.sum("denies").alias("denies"))
+    return out.where("n > 0")
+
+
 def champions(rules: DataFrame) -> DataFrame:
     """Of rules with the same pattern, operation, effect and role the one that comes first: no other can decide."""
     names = ["path_pattern", "operation", "effect", "min_role", "min_role_rank"]

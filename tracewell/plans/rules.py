@@ -47,7 +47,7 @@ def c4_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 def j23_matches(spark: SparkSession, d: str) -> DataFrame:
     """How many rules apply to each request, by outcome."""
-    return rules.matches(_requests(spark, d), _rules(spark, d)).groupBy("request_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("outcome") == "deny", 1).otherwise(0)).alias("denies"))
+    return rules.match_counts(_requests(spark, d), _rules(spark, d))
 
 
 def q15_authorize(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import Scratch
+
+#: What the paths of files mostly consist of, in lower case.
+_PLAIN = r"a-z0-9_./@()\[\]~+$\-"
+
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """id, word, n: whole words in lower case with their number of occurrences; texts: id, text."""
@@ -22,20 +27,39 @@ def path_mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(files.select("file", F.lower("file").alias("p")), "p").select("id", "file").distinct()
 
 
+def _near(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """id, file, score of each text and file that share the four letters before the file's extension and hit; only
+    shorter paths are tried on every text. texts: id, text in lower case."""
+    f = files.withColumn("gram", F.when(F.length("bare") > 3, F.right("bare", F.lit(4))).when(F.length("path") > 3, F.left("path", F.lit(4))))
+    grams = texts.where("length(text) > 3").select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{4}))"), F.lit(1)))).alias("gram"))
+    near = grams.join(f, "gram").drop("gram").unionByName(f.where("gram is null").drop("gram").join(texts, F.contains("text", "path")))
+    score = F.when(F.contains("text", "path"), 8).when((F.length("stem") > 3) & F.contains("text", "stem"), 3)
+    return near.select("id", "file", score.cast("long").alias("score")).where("score is not null")
+
+
 def file_hits(texts: DataFrame, files: DataFrame) -> DataFrame:
     """id, file, score: eight where a text holds the path of a file, else three where it holds the name without its
     extension, of more than three letters; anywhere in the text and without letter case.
 
-    A text and a file meet at the four letters before the extension; only shorter paths are tried on every text.
+    Paths of plain characters lie within a run of them, so their files meet the distinct runs of all texts, and texts
+    only those runs that hit; a long run is cut into parts of which one holds any such path whole. Files with other
+    characters meet the texts themselves.
     """
     t = texts.select("id", F.lower("text").alias("text")).where("text is not null")
     path, name = F.lower("file"), F.lower(F.substring_index("file", "/", -1))
-    f = files.select("file").distinct().select("file", path.alias("path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_replace(path, r"\.[^./]*$", "").alias("bare"))
-    f = f.withColumn("gram", F.when(F.length("bare") > 3, F.right("bare", F.lit(4))).when(F.length("path") > 3, F.left("path", F.lit(4))))
-    grams = t.where("length(text) > 3").select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{4}))"), F.lit(1)))).alias("gram"))
-    near = grams.join(f, "gram").join(t, "id").unionByName(f.where("gram is null").join(t, F.contains("text", "path")).select("gram", "id", "file", "path", "stem", "bare", "text"))
-    score = F.when(F.contains("text", "path"), 8).when((F.length("stem") > 3) & F.contains("text", "stem"), 3)
-    return near.select("id", "file", score.cast("long").alias("score")).where("score is not null")
+    f = files.select("file").where("file <> ''").distinct().select("file", path.alias("path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_replace(path, r"\.[^./]*$", "").alias("bare"))
+    scratch = Scratch(texts.sparkSession)
+    f = scratch.write(f, "files")
+    plain = F.rlike("path", F.lit(f"^[{_PLAIN}]+$"))
+    most = f.where(plain).agg(F.max(F.length("path"))).first()[0] or 1
+    runs = F.filter(F.split("text", f"[^{_PLAIN}]+"), lambda x: x != "")
+    parts = F.flatten(F.transform(runs, lambda x: F.transform(F.sequence(F.lit(1), F.length(x), F.lit(most)), lambda i: F.substr(x, i, F.lit(2 * most)))))
+    said = scratch.write(t.select("id", F.explode(F.array_distinct(parts)).alias("run")), "said")
+    distinct = said.select("run").distinct()
+    held = scratch.write(_near(distinct.select(F.col("run").alias("id"), F.col("run").alias("text")), f.where(plain)).withColumnRenamed("id", "run"), "held")
+    found = said.join(held, "run").groupBy("id", "file").agg(F.max("score").alias("score"))
+    rest = f.where(~plain)
+    return found if rest.isEmpty() else found.unionByName(_near(t, rest))
 
 
 def candidates(texts: DataFrame, tables: DataFrame, columns: DataFrame, files: DataFrame | None = None, limit: int = 10) -> DataFrame:

@@ -16,6 +16,7 @@ from tracewell.operators import risk
 from tracewell.operators.calls import call_edges, calling_files
 from tracewell.operators.graph import closure
 from tracewell.operators.hierarchy import resolve_links
+from tracewell.operators.meet import placed, shared
 from tracewell.operators.parsers import parse_code
 from tracewell.operators.rules import decide
 from tracewell.session import Scratch, table
@@ -49,11 +50,16 @@ class Graph:
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    @cached_property
+    def _code(self) -> DataFrame:
+        """The source files, where a row may be repeated, for what is made distinct later than in whole texts."""
+        raw = self._table("code_files").select("file_id", "repo", repo_path(F.col("path")).alias("path"), "content")
+        return raw.withColumn("language", language(F.col("path"))).where("language is not null").withColumn("file", F.concat_ws("/", "repo", "path"))
+
     @cached_property
     def code(self) -> DataFrame:
         """file, repo, path, language, content of the source files."""
-        raw = self._table("code_files").select("file_id", "repo", repo_path(F.col("path")).alias("path"), "content").distinct()
-        return raw.withColumn("language", language(F.col("path"))).where("language is not null").withColumn("file", F.concat_ws("/", "repo", "path"))
+        return self._code.distinct()
 
     @cached_property
     def _nodes(self) -> DataFrame:
@@ -61,7 +67,7 @@ class Graph:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.code.select("file", "repo", "path").union(self._nodes.select("file", "repo", "path")).distinct().withColumn("language", language(F.col("path")))
+        return self._code.select("file", "repo", "path").union(self._nodes.select("file", "repo", "path")).distinct().withColumn("language", language(F.col("path")))
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -82,15 +88,19 @@ class Graph:
     def tables(self) -> DataFrame:
         return self._named.where("entity_type = 'table'").select(F.col("entity_name").alias("name")).union(self.columns.select("tbl")).distinct()
 
+    @cached_property
+    def _words(self) -> DataFrame:
+        return self._code.select("file", F.explode(words(F.col("content"))).alias("word"))
+
     @cached_property
     def _said(self) -> DataFrame:
-        return self.code.select("file", F.explode(words(F.col("content"))).alias("word")).distinct()
+        return self._words.distinct()
 
     @cached_property
     def _mentions(self) -> DataFrame:
         """file, word: the words of the files that are names of tables or columns."""
         names = self.tables.select(F.col("name").alias("word")).union(self.columns.select("name")).distinct()
-        return self._scratch.write(self._said.join(names, "word", "left_semi").select("file", "word"), "mentions")
+        return self._scratch.write(self._words.join(names, "word", "left_semi").select("file", "word").distinct(), "mentions")
 
     @cached_property
     def uses_table(self) -> DataFrame:
@@ -107,7 +117,7 @@ class Graph:
     @cached_property
     def functions(self) -> DataFrame:
         pick = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
-        found = self.code.select("file", F.explode(F.array_distinct(pick(_FUNCTION))).alias("name"), F.array_distinct(pick(_METHOD)).alias("m"))
+        found = self._code.select("file", F.explode(F.array_distinct(pick(_FUNCTION))).alias("name"), F.array_distinct(pick(_METHOD)).alias("m"))
         return self._scratch.write(found.groupBy("file", "name").agg(F.bool_or(F.array_contains("m", F.col("name"))).alias("is_method")), "functions")
 
     @cached_property
@@ -141,6 +151,25 @@ class Graph:
     def _told(self) -> DataFrame:
         return self.requirements.select(F.col("id").alias("req"), F.explode(words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))).alias("word"))
 
+    @cached_property
+    def _spelled(self) -> DataFrame:
+        """entity_type, entity, word: the names that stand for a table, which are its own and its columns', or a column."""
+        t = self.tables.select(F.lit("table").alias("entity_type"), F.col("name").alias("entity"), F.col("name").alias("word"))
+        ct = self.columns.select(F.lit("table"), "tbl", "name")
+        c = self.columns.select(F.lit("column"), F.concat_ws(".", "tbl", "name"), "name")
+        return self._scratch.write(t.union(ct).union(c).distinct(), "spelled")
+
+    @cached_property
+    def _ruled(self) -> DataFrame:
+        """req, word: the names of tables or columns that each requirement says."""
+        names = self.tables.select(F.col("name").alias("word")).union(self.columns.select("name")).distinct()
+        return self._scratch.write(self._told.join(names, "word", "left_semi").select("req", "word").distinct(), "ruled")
+
+    @cached_property
+    def _enforced(self) -> DataFrame:
+        """policy, word: the names that the requirements say which each policy enforces."""
+        return self._ruled.join(self.enforces, "req").select("policy", "word").distinct()
+
     @cached_property
     def governs_table(self) -> DataFrame:
         return self._told.join(self.tables, self._told["word"] == self.tables["name"]).select("req", F.col("name").alias("tbl"))
@@ -174,12 +203,8 @@ def build(spark: SparkSession, d: str) -> Graph:
 
 def direct_files(g: Graph) -> DataFrame:
     """entity_type, entity, file: what uses each table or references each column; of a file its importers."""
-    col = F.concat_ws(".", "tbl", "name")
-    by_table = g.uses_table.select(F.lit("table").alias("entity_type"), F.col("tbl").alias("entity"), "file")
-    by_column_of_table = g.references_column.select(F.lit("table").alias("entity_type"), F.col("tbl").alias("entity"), "file")
-    by_column = g.references_column.select(F.lit("column").alias("entity_type"), col.alias("entity"), "file")
     by_file = g.imports.select(F.lit("file").alias("entity_type"), F.col("dst").alias("entity"), F.col("src").alias("file"))
-    return by_table.union(by_column_of_table).union(by_column).union(by_file).distinct()
+    return shared(placed(g._mentions, "file"), placed(g._spelled, "entity_type", "entity")).select("entity_type", "entity", "file").unionByName(by_file)
 
 
 def importers(g: Graph) -> DataFrame:
@@ -187,29 +212,54 @@ def importers(g: Graph) -> DataFrame:
     return g.imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _spread(g: Graph, max_depth: int, call_seed: str) -> tuple[DataFrame, DataFrame]:
+    """how, word, file of the names, and how, entity, file of the files: what they reach, before names become entities."""
+    reach = closure(importers(g), max_depth).select(F.col("src").alias("file"), F.col("dst").alias("other"))
+
+    def grown(direct: DataFrame, c: str) -> DataFrame:
+        further = direct.join(reach, "file").select(c, F.col("other").alias("file")).distinct()
+        seeds = direct if call_seed == "direct" else direct.unionByName(further).distinct()
+        calling = seeds.join(g.calling_files, "file").select(c, F.col("caller_file").alias("file")).distinct()
+        return reduce(DataFrame.unionByName, [df.select(F.lit(how).alias("how"), c, "file") for how, df in (("direct", direct), ("transitive", further), ("calls", calling))])
+
+    by_word = grown(g._mentions.select("word", "file"), "word")
+    by_file = grown(g.imports.select(F.col("dst").alias("entity"), F.col("src").alias("file")), "entity")
+    return g._scratch.write(by_word, "words_reached"), g._scratch.write(by_file, "files_reached")
+
+
 def blast_radius(g: Graph, entities: DataFrame, max_depth: int = 25, call_seed: str = "direct") -> DataFrame:
     """entity_type, entity, file, how: direct, transitive and calling files of the entities (entity_type, entity).
 
     transitive are those that import a direct file within ``max_depth`` links, calls those with a function that calls
-    one of a direct file within three; with ``call_seed`` closure, of a direct or transitive file. Both closures run
-    once over all files and are joined back, so entities that share files share the work.
+    one of a direct file within three; with ``call_seed`` closure, of a direct or transitive file. What the tables and
+    columns reach is found once for each name, as one name stands for the columns of many tables, and becomes rows of
+    the entities in the last step, where no pair has to be made distinct.
     """
-    direct = direct_files(g).join(entities, ["entity_type", "entity"], "left_semi").withColumn("how", F.lit("direct"))
-    reach = closure(importers(g), max_depth).select(F.col("src").alias("file"), F.col("dst").alias("other"))
-    further = direct.join(reach, "file").select("entity_type", "entity", F.col("other").alias("file"), F.lit("transitive").alias("how")).distinct()
-    seeds = direct if call_seed == "direct" else direct.unionByName(further).drop("how").distinct()
-    calling = seeds.join(g.calling_files, "file").select("entity_type", "entity", F.col("caller_file").alias("file"), F.lit("calls").alias("how")).distinct()
-    return direct.unionByName(further).unionByName(calling)
+    by_word, by_file = _spread(g, max_depth, call_seed)
+    out = [_entities_of(g, by_word.where(F.col("how") == how), entities).select("entity_type", "entity", "file", F.lit(how).alias("how")) for how in ("direct", "transitive", "calls")]
+    files = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how").join(entities, ["entity_type", "entity"], "left_semi")
+    return reduce(DataFrame.unionByName, [*out, files])
 
 
-def violated(g: Graph) -> DataFrame:
-    """entity_type, entity, req: requirements that govern a table or column, of a file those of what it uses."""
-    col = F.concat_ws(".", "tbl", "name")
+def _entities_of(g: Graph, reached: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity_type, entity and the column file of ``reached`` (word, file), each pair once, for tables and columns."""
+    spelled = g._spelled.join(entities, ["entity_type", "entity"], "left_semi")
+    return shared(placed(reached, "file"), placed(spelled, "entity_type", "entity")).select("entity_type", "entity", "file")
+
+
+def governed(g: Graph) -> DataFrame:
+    """entity_type, entity, req: requirements that govern a table or column."""
     t = g.governs_table.select(F.lit("table").alias("entity_type"), F.col("tbl").alias("entity"), "req")
-    c = g.governs_column.select(F.lit("column").alias("entity_type"), col.alias("entity"), "req")
-    ft = g.uses_table.join(g.governs_table, "tbl").select(F.lit("file").alias("entity_type"), F.col("file").alias("entity"), "req")
-    fc = g.references_column.join(g.governs_column, ["tbl", "name"]).select(F.lit("file").alias("entity_type"), F.col("file").alias("entity"), "req")
-    return t.union(c).union(ft).union(fc).distinct()
+    c = g.governs_column.select(F.lit("column").alias("entity_type"), F.concat_ws(".", "tbl", "name").alias("entity"), "req")
+    return t.union(c).distinct()
+
+
+def file_burden(g: Graph, files: DataFrame | None = None) -> DataFrame:
+    """file, requirements, policies: how many requirements govern what each file uses, and how many policies enforce
+    one of them; of ``files`` (column file) or of all, where there is any requirement."""
+    said = g._mentions if files is None else g._mentions.join(files.select("file"), "file", "left_semi")
+    count = lambda right, c, n: shared(placed(said, "file"), placed(right, c)).groupBy("file").agg(F.count("*").alias(n))
+    return count(g._ruled, "req", "requirements").join(count(g._enforced, "policy", "policies"), "file", "left").na.fill(0, ["policies"])
 
 
 def impact(g: Graph, entities: DataFrame, max_depth: int = 25) -> DataFrame:
@@ -217,19 +267,21 @@ def impact(g: Graph, entities: DataFrame, max_depth: int = 25) -> DataFrame:
     what ``explain`` adds: functions and policies.
 
     entities: entity_type, entity. Entities without any file or requirement have zeros. The lists that the counts are
-    of are the rows of ``blast_radius`` and ``violated``.
+    of are the rows of ``blast_radius`` and ``governed``.
     """
-    files = blast_radius(g, entities, max_depth)
-    one = lambda k: F.max(F.when(F.col("how") == k, 1).otherwise(0)).alias(k)
-    per = files.groupBy("entity_type", "entity", "file").agg(one("direct"), one("transitive"), one("calls"))
-    per = per.withColumn("backend", is_backend(F.col("file")).cast("int"))
-    f = per.groupBy("entity_type", "entity").agg(
-        F.sum("direct").alias("direct_files"), F.sum("transitive").alias("transitive_files"), F.sum("calls").alias("calling_files"),
-        F.count("*").alias("affected_files"), F.sum("backend").alias("backend_files"),
-    )
-    r = violated(g).where("entity_type <> 'file'").groupBy("entity_type", "entity").agg(F.count("*").alias("requirements"))
-    more = explain(g).select("entity_type", "entity", "functions", "policies")
+    by_word, by_file = _spread(g, max_depth, "direct")
     keys = ["entity_type", "entity"]
+    back = is_backend(F.col("file")).cast("int")
+    hows = {"direct": "direct_files", "transitive": "transitive_files", "calls": "calling_files"}
+    each = [_entities_of(g, by_word.where(F.col("how") == how), entities).select(*keys, F.lit(how).alias("how"), F.lit(None).cast("int").alias("backend")) for how in hows]
+    each.append(_entities_of(g, by_word.select("word", "file").distinct(), entities).select(*keys, F.lit("any").alias("how"), back.alias("backend")))
+    own = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how").join(entities, keys, "left_semi")
+    each.append(own.select(*keys, "how", F.lit(None).cast("int").alias("backend")))
+    each.append(own.select(*keys, "file").distinct().select(*keys, F.lit("any").alias("how"), back.alias("backend")))
+    number = lambda how: F.count(F.when(F.col("how") == how, 1))
+    f = reduce(DataFrame.unionByName, each).groupBy(*keys).agg(*[number(how).alias(n) for how, n in hows.items()], number("any").alias("affected_files"), F.sum("backend").alias("backend_files"))
+    r = governed(g).groupBy("entity_type", "entity").agg(F.count("*").alias("requirements"))
+    more = explain(g).select("entity_type", "entity", "functions", "policies")
     out = entities.join(f, keys, "left").join(r, keys, "left").join(more, keys, "left").na.fill(0)
     counted = F.when(F.col("entity_type") == "file", F.col("affected_files")).otherwise(F.col("backend_files"))
     points = risk.score(counted, F.lit(0), F.col("requirements"), F.lit(0))
@@ -249,8 +301,10 @@ def traces(g: Graph, backend_only: bool = True) -> DataFrame:
     fns = used.join(g.functions.select("file", F.col("name").alias("fn")), "file")
     gt = g.governs_table.join(g.enforces, "req", "left")
     gc = g.governs_column.join(g.enforces, "req", "left")
-    ft = g.uses_table.join(g.governs_table, "tbl").select("file", "req").distinct().join(g.enforces, "req", "left")
-    fc = g.references_column.join(g.governs_column, ["tbl", "name"]).select("file", "req").distinct().join(g.enforces, "req", "left")
+    tables, names = g.tables.select(F.col("name").alias("word")), g.columns.select(F.col("name").alias("word")).distinct()
+    of = lambda df, c, kind: placed(df.join(kind, "word", "left_semi"), c)
+    ft, fc = (shared(of(g._mentions, "file", k), of(g._ruled, "req", k).join(g.enforces, "req", "left")) for k in (tables, names))
+    by_file = lambda df, link: row(df, "file", F.col("file"), F.concat(s("File(", "$file", f") -> {link} -> Requirement(", "$req", ")"), F.coalesce(s(" -> Policy(", "$policy", ")"), F.lit(""))))
     plain = lambda df: df.where("policy is null")
     with_p = lambda df: df.where("policy is not null")
     no_fn = used.join(g.functions.select("file").distinct(), "file", "left_anti")
@@ -262,14 +316,11 @@ def traces(g: Graph, backend_only: bool = True) -> DataFrame:
         row(g.columns, "column", col, s("Column(", "$name", ") -> Table(", "$tbl", ")")),
         row(plain(gc), "column", col, s("Column(", "$name", ") -> Requirement(", "$req", ")")),
         row(with_p(gc), "column", col, s("Column(", "$name", ") -> Requirement(", "$req", ") -> Policy(", "$policy", ")")),
-        row(plain(ft), "file", F.col("file"), s("File(", "$file", ") -> USES_TABLE -> Requirement(", "$req", ")")),
-        row(with_p(ft), "file", F.col("file"), s("File(", "$file", ") -> USES_TABLE -> Requirement(", "$req", ") -> Policy(", "$policy", ")")),
-        row(plain(fc), "file", F.col("file"), s("File(", "$file", ") -> REFERENCES_COLUMN -> Requirement(", "$req", ")")),
-        row(with_p(fc), "file", F.col("file"), s("File(", "$file", ") -> REFERENCES_COLUMN -> Requirement(", "$req", ") -> Policy(", "$policy", ")")),
         row(g.enforces, "requirement", F.col("req"), s("Requirement(", "$req", ") -> Policy(", "$policy", ")")),
         row(g.enforces, "policy", F.col("policy"), s("Policy(", "$policy", ") -> Requirement(", "$req", ")")),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    # ids are in capitals and the file is in its own column, so no two rows of files are the same
+    return reduce(DataFrame.unionByName, [reduce(DataFrame.unionByName, parts).distinct(), by_file(ft, "USES_TABLE"), by_file(fc, "REFERENCES_COLUMN")])
 
 
 def explain(g: Graph) -> DataFrame:
@@ -283,7 +334,7 @@ def explain(g: Graph) -> DataFrame:
     files = used.groupBy("tbl").agg(F.count("*").alias("files"))
     fns = used.join(g.functions, "file").groupBy("tbl").agg(F.count("*").alias("functions"))
     by_table = files.join(fns, "tbl", "left").select(F.lit("table").alias("entity_type"), F.col("tbl").alias("entity"), "files", F.coalesce("functions", F.lit(0)).alias("functions"))
-    hit = violated(g).where("entity_type <> 'file'")
+    hit = governed(g)
     reqs = hit.groupBy("entity_type", "entity").agg(F.count("*").alias("requirements"))
     pols = hit.join(g.enforces, "req").select("entity_type", "entity", "policy").distinct().groupBy("entity_type", "entity").agg(F.count("*").alias("policies"))
     out = reduce(lambda a, b: a.join(b, ["entity_type", "entity"], "left"), [by_table, reqs, pols], entities).na.fill(0)
@@ -315,11 +366,18 @@ def propose(g: Graph, plans: DataFrame, access: DataFrame, role: str, operation:
     allowed = judged.groupBy("plan_id").agg(F.count("*").alias("declared"), F.bool_and("allowed").alias("rbac_allowed"), F.array_join(F.transform(said, lambda x: x["reason"]), "; ").alias("rbac_reason"), F.sha2(F.concat_ws("\n", F.lit(operation), F.array_sort(F.collect_list("path"))), 256).alias("token"))
 
     entities = plans.select(*keys).where("entity is not null").distinct()
-    files = blast_radius(g, entities).select(*keys, "file").distinct().join(g.files.select("file", "repo", "path"), "file")
-    files = g._scratch.write(files.select(*keys, "repo", gate_path(F.col("path")).alias("path")).distinct(), "actual")
-    actual = files.groupBy(*keys, "repo").agg(F.count("*").alias("actual"))
-    met = each.join(files, [*keys, "repo", "path"], "left_semi").groupBy("plan_id").agg(F.count("*").alias("met"))
-    broken = violated(g).join(entities, keys, "left_semi")
+    by_word, by_file = _spread(g, 25, "direct")
+    places = g.files.select("file", "repo", gate_path(F.col("path")).alias("path"))
+    said = g._scratch.write(by_word.select("word", "file").distinct().join(places, "file").select("word", "repo", "path").distinct(), "words_actual")
+    own = by_file.select(F.lit("file").alias("entity_type"), "entity", "file").join(entities, keys, "left_semi").join(places, "file")
+    own = g._scratch.write(own.select(*keys, "repo", "path").distinct(), "files_actual")
+    spelled = g._spelled.join(entities, keys, "left_semi")
+    actual = shared(placed(said, "repo", "path"), placed(spelled, *keys)).select(*keys, "repo").unionByName(own.select(*keys, "repo")).groupBy(*keys, "repo").agg(F.count("*").alias("actual"))
+    hit = each.join(said, ["repo", "path"]).join(spelled, [*keys, "word"], "left_semi").select(*each.columns).unionByName(each.join(own, [*keys, "repo", "path"], "left_semi").select(*each.columns))
+    met = hit.distinct().groupBy("plan_id").agg(F.count("*").alias("met"))
+    mine = entities.where("entity_type = 'file'").select(F.col("entity").alias("file"))
+    broken = shared(placed(g._mentions.join(mine, "file", "left_semi"), "file"), placed(g._ruled, "req")).select(F.lit("file").alias("entity_type"), F.col("file").alias("entity"), "req")
+    broken = g._scratch.write(governed(g).join(entities, keys, "left_semi").unionByName(broken), "broken")
     reqs = broken.groupBy(*keys).agg(F.count("*").alias("violated"))
     pols = broken.join(g.enforces, "req").groupBy(*keys).agg(F.countDistinct("policy").alias("policies"))
     told = plans.select("plan_id", *keys, F.explode("requirements").alias("r")).select("plan_id", *keys, key(F.col("r")).alias("req")).distinct()
@@ -347,13 +405,12 @@ def change_report(g: Graph, changesets: DataFrame, decisions: DataFrame) -> Data
     affected = blast_radius(g, entities).select(F.col("entity").alias("file"), F.col("file").alias("affected")).distinct()
     own = changesets.join(affected, "file").select("change_id", "affected").distinct()
     missing = own.join(changesets.select("change_id", F.col("file").alias("affected")), ["change_id", "affected"], "left_anti")
-    reqs = changesets.join(violated(g).where("entity_type = 'file'").select(F.col("entity").alias("file"), "req"), "file")
-    pols = reqs.join(g.enforces, "req")
+    said = g._scratch.write(changesets.join(g._mentions, "file").select("change_id", "word").distinct(), "changed_words")
+    reqs, pols = (shared(placed(said, "change_id"), placed(df, c)) for df, c in ((g._ruled, "req"), (g._enforced, "policy")))
     per_file = affected.where(is_backend(F.col("affected"))).groupBy("file").agg(F.count("*").alias("f"))
-    fr = reqs.select("file", "req").distinct().groupBy("file").agg(F.count("*").alias("r"))
-    fp = pols.select("file", "policy").distinct().groupBy("file").agg(F.count("*").alias("p"))
+    held = file_burden(g, changesets).select("file", F.col("requirements").alias("r"), F.col("policies").alias("p"))
     self_backend = is_backend(F.col("file")).cast("long")
-    scored = changesets.join(per_file, "file", "left").join(fr, "file", "left").join(fp, "file", "left").na.fill(0, ["f", "r", "p"])
+    scored = changesets.join(per_file, "file", "left").join(held, "file", "left").na.fill(0, ["f", "r", "p"])
     scored = scored.withColumn("score", risk.score(F.col("f") + self_backend, F.lit(0), F.col("r"), F.col("p")))
     count = lambda df, c, n: df.groupBy("change_id").agg(F.countDistinct(c).alias(n))
     out = reduce(

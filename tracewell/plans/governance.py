@@ -83,7 +83,7 @@ def j2_column_files(spark: SparkSession, d: str) -> DataFrame:
 
 def j3_requirements(spark: SparkSession, d: str) -> DataFrame:
     g = G(spark, d)
-    return governance.violated(g).where("entity_type <> 'file'").select("entity_type", "entity", "req")
+    return governance.governed(g)
 
 
 def j7_table_policies(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +93,7 @@ def j7_table_policies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j8_file_policies(spark: SparkSession, d: str) -> DataFrame:
-    g = G(spark, d)
-    hit = governance.violated(g).where("entity_type = 'file'").join(g.enforces, "req", "left")
-    return hit.groupBy(F.col("entity").alias("file")).agg(F.countDistinct("req").alias("requirements"), F.countDistinct("policy").alias("policies"))
+    return governance.file_burden(G(spark, d))
 
 
 def j9_governs(spark: SparkSession, d: str) -> DataFrame:

@@ -109,3 +109,56 @@ def test_marks_after_the_head():
     assert m(licence + "// Code generated by tool v1. DO NOT EDIT.\nx = 1\n") == {"generated"}
     assert m("let a = 1\n" * 200 + "/*!\n * a v1\n * Released under the MIT License.\n */\nlet b = 1\n") == {"vendored"}
     assert m(licence + "const HEADER = `\n// Code generated by tool v1. DO NOT EDIT.\n`\n") == set()
+
+
+def test_buckets_of_one_class_are_not_compared_pair_by_pair(spark, monkeypatch):
+    given, links = [], handwritten._links
+    monkeypatch.setattr(handwritten, "CELL", 10)
+    monkeypatch.setattr(handwritten, "_links", lambda rows: given.append(rows.count()) or links(rows))
+    # 100 shapes that are similar to the first of their bucket, and another class in another bucket with two of them
+    rows = [(i, [*range(100), 1_000 + i], [7, i // 2]) for i in range(100)] + [(200 + i, [*range(5_000, 5_100), i], [8, 0]) for i in range(5)]
+    df = handwritten.shape_classes(spark.createDataFrame(rows, "shape long, shingles array<int>, bands array<long>"), Scratch(spark))
+    assert {r.shape: r["class"] for r in df.collect()} == {i: 0 for i in range(100)} | {200 + i: 200 for i in range(5)}
+    assert sum(given) <= 2 + 5
+
+
+def test_components_in_rounds_and_at_once(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 40), (60, 50), (70, 71)], "a long, b long")
+    want = {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40, 70: 70, 71: 70}
+    for few in (0, 100):
+        monkeypatch.setattr(handwritten, "FEW_LINKS", few, raising=False)
+        assert {r.node: r["class"] for r in handwritten.components(edges, Scratch(spark), "x").collect()} == want
+
+
+def test_similar_bodies_meet_in_a_bin():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 60, 97, 150, 260, 400, 900]:
+        for _ in range(60):
+            a = rng.choice(2**32, n, replace=False).astype(np.uint64)
+            b = a.copy()
+            # as many shingles of it are replaced, left out or added as 0.8 allows
+            k, kind = (n // 9, n // 5, n // 4)[(i := rng.integers(3))], i
+            b = np.concatenate([b[k:], rng.choice(2**32, k).astype(np.uint64)]) if kind == 0 else b[k:] if kind == 1 else np.concatenate([b, rng.choice(2**32, k).astype(np.uint64)])
+            sizes = np.array([len(a), len(b)])
+            of, own = np.repeat(np.arange(2, dtype=np.uint64), sizes), np.concatenate([a, b])
+            common = len(set(a.tolist()) & set(b.tolist()))
+            assert common >= 0.8 * (sizes.sum() - common)
+            f, h = handwritten.own_bins(of, own, handwritten.level_of(sizes))
+            least, most, m = handwritten.level_of(-(-sizes * 4 // 5)), handwritten.level_of(sizes * 5 // 4), sizes[1]
+            wide = [handwritten.own_bins(of, own, np.array([-1, x])) for x in range(least[1], most[1] + 1)]
+            assert set(h[f == 0].tolist()) & {x for w in wide for x in w[1].tolist()}, (n, m)
+            odd = handwritten.parities(of, own, 2)
+            assert 9 * int(np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum()) <= sizes.sum()
+
+
+def test_texts_that_come_again_are_given_once(spark):
+    text = CODE.format(i=1) + CODE.format(i=2)
+    rows = [(k, "a", f"src/{k}.ts", text if k % 2 else CODE.format(i=7), 1, "k", 0) for k in range(60)]
+    feats = handwritten.file_features(spark.createDataFrame(rows, SCHEMA))
+    got = feats.selectExpr("count(*)", "count(distinct body)", "count(distinct shape)", "count(bins)", "count(shingles)").first()
+    assert tuple(got) == (60, 2, 2, 2, 2)
+    shapes, bodies = set(), set()
+    first = handwritten.features(["a.ts", "b.ts", "c.ts"], [text, "// @generated\n" + text, text], shapes, bodies)
+    assert [x is not None for x in first["bins"].to_pylist()] == [True, True, False]
+    assert [x is not None for x in first["wide"].to_pylist()] == [False, True, False]
+    assert first["body"].to_pylist().count(first["body"][0].as_py()) == 3

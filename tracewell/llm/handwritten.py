@@ -14,10 +14,11 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,21 @@ from tracewell.session import Scratch, spread
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 rows: a pair at 0.8 shares a band with probability 0.9998.
 BANDS, ROWS = 16, 4
-#: The same for unmasked shingles, most of which few files share: 48 bands of 8 rows, 0.9999 at 0.8 and 0.17 at 0.5.
-OWN_BANDS, OWN_ROWS = 48, 8
+#: Unmasked shingles are spread over bins by their hash, BIN in one on average at most; two files meet in a bin that is
+#: the same in both. At 0.8 a bin is the same with probability 0.37 at least: one of BINS with 0.9999, and where all are
+#: taken, one surely, as more bins than shingles that differ are made.
+BIN, BINS = 4, 24
+#: Sizes up to which files have as many bins; a marked file is given the bins of all levels from 0.8 to 1.25 of its size.
+LEVELS = np.array([round(8 * 1.5**k) for k in range(60)], dtype=np.int64)
+#: Bits of the parity sketch of unmasked shingles, in longs: at most as many bits differ as shingles do.
+BITS = 256
+ODD = [f"odd{k}" for k in range(BITS // 64)]
 #: Shapes of a bucket from which it is split into parts; each two parts are then a cell, in which all is compared.
 CELL = 1_000
+#: Columns of a cell's matrix at a time, characters of text that are read at a time, tokens whose codes are kept.
+COLUMNS, CHARS, KEPT = 4_096, 1_000_000, 1 << 17
+#: Links up to which one task joins them, and files up to which their ids are broadcast.
+FEW_LINKS, FEW_FILES = 2_000_000, 500_000
 #: Share of literals among the names and literals of a file from which it is data.
 LITERAL = 0.9
 #: Literals that make a file a blob: so many, or so many characters in them.
@@ -47,6 +59,8 @@ _TOKEN = re.compile(
     r"|(?P<d>\d[\w.]*)|(?P<n>[^\W\d][\w$]*|\$[\w$]*)|(?P<p>[^\s\w])",
     re.S,
 )
+#: The same tokens; a comment gives an empty one.
+_PLAIN = re.compile(re.sub(r"\(\?P<[csdnp]>", "(?:", _TOKEN.pattern.replace("|(?P<s>", "|((?P<s>", 1)) + ")", re.S)
 _KEYWORDS = frozenset(
     """abstract and as assert async await break case catch class const continue def default defer del do elif else enum export extends
     except false final finally for from func function go goto if implements import in instanceof interface is lambda let map namespace
@@ -121,8 +135,6 @@ def is_minified(text: str) -> bool:
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(1, 2**61 - 1, BANDS * ROWS, dtype=np.uint64) | np.uint64(1))[:, None]
 _B = _rng.integers(0, 2**61 - 1, BANDS * ROWS, dtype=np.uint64)[:, None]
-_OWN_A = (_rng.integers(1, 2**61 - 1, OWN_BANDS * OWN_ROWS, dtype=np.uint64) | np.uint64(1))[:, None]
-_OWN_B = _rng.integers(0, 2**61 - 1, OWN_BANDS * OWN_ROWS, dtype=np.uint64)[:, None]
 
 
 def shingles_of(codes: np.ndarray) -> np.ndarray:
@@ -155,137 +167,323 @@ def bands_of(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B, size:
 _CODES = {w: k for k, w in enumerate(sorted(_KEYWORDS), 3)}
 
 
-@lru_cache(1 << 16)
-def _word_code(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
+class _Codes(dict):
+    """The code of a masked token above that of the token itself, by the token."""
 
+    def __missing__(self, token: str) -> int:
+        c = token[0]
+        masked = 1 if c in "\"'`" else 2 if c.isdecimal() else _CODES.get(token, 0) if c in "$_" or c.isalnum() else 1_000 + ord(c)
+        code = masked << 32 | zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        if len(token) <= 64:
+            if len(self) >= KEPT:
+                self.clear()
+            self[token] = code
+        return code
 
-def own_shingles(tokens: list[str]) -> np.ndarray:
-    """Unmasked 32-bit shingles of SHINGLE tokens or more; one that comes again is another, so half of a text is not all."""
-    n = len(tokens) - SHINGLE + 1
-    codes = np.array([_word_code(x) for x in tokens], dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        h = (h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)) ^ (h >> np.uint64(29))
-    h.sort()
-    at = np.arange(n)
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), at, 0))
-    h += (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
+_codes = _Codes()
+_GOLD, _MIX, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
 
-def features(path: str, text: str) -> tuple:
-    """marks, whether the file is a blob, its literals and names, fingerprints of its body and shape, shingles and bands
-    of its shape and, from SHINGLE tokens on, of its unmasked body."""
-    found = [t for t in _TOKEN.findall(text) if not t[0]]
-    word = _CODES.get
-    masked = [1 if s else 2 if d else word(n, 0) if n else 1_000 + ord(p) for _, s, d, n, p in found]
-    plain = [s or d or n or p for _, s, d, n, p in found]
-    body = hashlib.blake2b("\0".join(plain).encode("utf-8", "surrogatepass"), digest_size=8)
-    literals = sum(1 for k in masked if k == 1 or k == 2)
-    names = sum(1 for k in masked if k == 0 or 3 <= k < 1_000)
-    chars = sum(len(s) + len(d) for _, s, d, _, _ in found)
-    share = literals / max(1, literals + names)
-    # one long literal under a name is data as well: then its characters count
-    is_blob = share >= LITERAL and literals >= LITERALS or names <= 6 and chars >= LITERAL_CHARS and chars >= LITERAL * len(text)
-    s = shingles_of(np.array(masked, dtype=np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    marks = comment_marks(text)
-    if GENERATED_PATH.search(path):
-        marks.add("generated")
-    if VENDORED_PATH.search(path):
-        marks.add("vendored")
-    if is_minified(text):
-        marks.add("minified")
-    shape = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-    own, own_bands = np.zeros(0, np.uint32), []
-    if len(found) >= SHINGLE:
-        own = own_shingles(plain)
-        own_bands = bands_of(own, _OWN_A, _OWN_B, OWN_ROWS)
-    body = int.from_bytes(body.digest(), "little", signed=True)
-    return sorted(marks), bool(is_blob), literals, names, body, len(found), shape, s.view(np.int32).tolist(), bands_of(s), own.view(np.int32).tolist(), own_bands
-
-
-_COLUMNS = ["marks", "literal", "literals", "names", "body", "size", "shape", "shingles", "bands", "own", "own_bands"]
-_FEATURES = "file_id long, repo string, path string, ingested_at {}, marks array<string>, literal boolean, literals long, names long, body long, size long, shape long, shingles array<int>, bands array<long>, own array<int>, own_bands array<long>"
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(32))
 
-def file_features(files: DataFrame) -> DataFrame:
-    """One row per source file row, without its content."""
+
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """32-bit hashes of all runs of SHINGLE codes, as ``shingles_of`` has them."""
+    n = len(codes) - SHINGLE + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        h = (h * _GOLD + codes[k : k + n] + np.uint64(1)) ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(32)
+    return (h * _MIX) >> np.uint64(32)
+
+
+def own_shingles(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """File and unmasked 32-bit shingle, ordered and distinct, of the token codes of files, of SHINGLE tokens or more,
+    behind each other; a shingle that comes again is another, so half of a text is not all."""
+    same = of[: -SHINGLE + 1] == of[SHINGLE - 1 :]
+    key = np.sort(of[: -SHINGLE + 1][same] << np.uint64(32) | _rolled(codes)[same])
+    at = np.arange(len(key))
+    again = at - np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), at, 0))
+    more = again > 0
+    key[more] = key[more] & ~_LOW | _mixed((key[more] & _LOW) + again[more].astype(np.uint64) * _GOLD) >> np.uint64(32)
+    key = np.unique(key)
+    return key >> np.uint64(32), key & _LOW
+
+
+def own_bins(of: np.ndarray, own: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """File and hash of each bin of a file that is not empty, the bins made for the size of ``level`` of each file; a
+    negative level has none. Files of few bins have several tables of them."""
+    made = np.where(level >= 0, LEVELS[np.maximum(level, 0)] // BIN + 1, 0)
+    tables, files, found = -(-BINS // np.maximum(made, 1)) * (made > 0), [], []
+    for t in range(int(tables.max(initial=0))):
+        has = tables[of] > t
+        f, x = of[has].astype(np.int64), own[has]
+        spread_ = _mixed(x * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((t + 1) * int(_GOLD) % 2**64))
+        where = (((spread_ >> np.uint64(32)) * made[f].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        f, where, x = (v[where < BINS] for v in (f, where, spread_))
+        x = _mixed(x * _GOLD)
+        cell, n = f * BINS + where, len(level) * BINS
+        held = np.bincount(cell, minlength=n)
+        low = np.bincount(cell, (x & _LOW).astype(np.float64), n).astype(np.uint64)  # sums below 2 ** 53 are exact
+        high = np.bincount(cell, (x >> np.uint64(32)).astype(np.float64), n).astype(np.uint64)
+        at = np.flatnonzero(held)
+        h = _mixed(low[at] * _GOLD + high[at])
+        h = _mixed(h * _GOLD + ((held[at].astype(np.uint64) * np.uint64(64) + level[at // BINS].astype(np.uint64)) * np.uint64(64) + np.uint64(t)) * np.uint64(64) + (at % BINS).astype(np.uint64))
+        files.append(at // BINS)
+        found.append(h)
+    if not files:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    f, h = np.concatenate(files), np.concatenate(found).view(np.int64)
+    order = np.argsort(f, kind="stable")
+    return f[order], h[order]
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LEVELS, n)
+
+
+def parities(of: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Longs of BITS bits for each of ``n`` files: of how many of its shingles fall on a bit, whether that is odd."""
+    bit = (_mixed(own * _MIX + _GOLD) >> np.uint64(20)) % np.uint64(BITS)
+    odd = np.bincount(of.astype(np.int64) * BITS + bit.astype(np.int64), minlength=n * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
+
+
+def _tokens(texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, how many, the codes of all and the text of each."""
+    plain = [[x for x in _PLAIN.findall(t) if x] for t in texts]
+    sizes = np.array([len(x) for x in plain], dtype=np.int64)
+    codes = np.fromiter(chain.from_iterable(map(_codes.__getitem__, x) for x in plain), np.uint64, int(sizes.sum()))
+    return plain, sizes, codes, np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+
+
+def _body(plain: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(plain).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _own_of(codes: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    long = (sizes >= SHINGLE)[of.astype(np.int64)]
+    if not long.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return own_shingles((codes[long] & _LOW) * np.uint64(0xBF58476D1CE4E5B9), of[long])
+
+
+def _lists(of: np.ndarray, values: np.ndarray, n: int, kept: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list of each of ``n`` files; null where it is not kept. ``of`` is in order."""
+    ends = np.searchsorted(of, np.arange(n + 1, dtype=of.dtype))
+    values = values[kept[of.astype(np.int64)]]
+    ends = np.concatenate([[0], np.cumsum(np.where(kept, np.diff(ends), 0))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind), mask=pa.array(~kept))
+
+
+def features(paths: list[str], texts: list[str], shapes: set, bodies: set) -> dict[str, pa.Array]:
+    """Of each file its marks, whether it is a blob, its literals and names, fingerprints of its body and shape, the
+    shape's shingles, and of the unmasked shingles how many there are, their sketch and their bins.
+
+    Shingles are given with the first file of a shape, bins with the first of a body and its marks: ``shapes`` and
+    ``bodies`` have what was given before.
+    """
+    n = len(texts)
+    plain, sizes, codes, of = _tokens(texts)
+    masked = codes >> np.uint64(32)
+    where = of.astype(np.int64)
+    literals = np.bincount(where[(masked == 1) | (masked == 2)], minlength=n)
+    names = np.bincount(where[(masked == 0) | (masked >= 3) & (masked < 1_000)], minlength=n)
+    masked = masked * np.uint64(0xBF58476D1CE4E5B9)
+    if len(codes) >= SHINGLE:
+        same = of[: -SHINGLE + 1] == of[SHINGLE - 1 :]
+        key = np.unique(of[: -SHINGLE + 1][same] << np.uint64(32) | _rolled(masked)[same])
+    else:
+        key = np.zeros(0, np.uint64)
+    ends, starts = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32)), np.concatenate([[0], np.cumsum(sizes)])
+    low = (key & _LOW).astype(np.uint32)
+    marks, blobs, body, shape, shingles, first, mark_sets = [], [], [], [], [], np.zeros(n, bool), []
+    for i, (path, text, x) in enumerate(zip(paths, texts, plain)):
+        blob = literals[i] >= LITERAL * max(1, literals[i] + names[i]) and literals[i] >= LITERALS
+        if not blob and names[i] <= 6:  # one long literal under a name is data as well: then its characters count
+            chars = sum(len(t) for t in x if t[0] in "\"'`" or t[0].isdecimal())
+            blob = chars >= LITERAL_CHARS and chars >= LITERAL * len(text)
+        blobs.append(bool(blob))
+        found = comment_marks(text)
+        if GENERATED_PATH.search(path):
+            found.add("generated")
+        if VENDORED_PATH.search(path):
+            found.add("vendored")
+        if is_minified(text):
+            found.add("minified")
+        marks.append(sorted(found))
+        body.append(_body(x))
+        s = low[ends[i] : ends[i + 1]] if sizes[i] >= SHINGLE else shingles_of(masked[starts[i] : starts[i + 1]])
+        k = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+        shape.append(k)
+        shingles.append(None if k in shapes else s.view(np.int32))
+        shapes.add(k)
+        copied = tuple(m in found for m in COPIED)
+        mark_sets.append(any(copied))
+        if sizes[i] >= SHINGLE and (body[-1], copied) not in bodies:
+            bodies.add((body[-1], copied))
+            first[i] = True
+    who, own = _own_of(codes, sizes, of)
+    many = np.bincount(who.astype(np.int64), minlength=n)
+    odd = parities(who, own, n)
+    level = np.where(first, level_of(many), -1)
+    # a similar file has 0.8 to 1.25 times as many shingles
+    least, most = level_of(-(-many * 4 // 5)), level_of(many * 5 // 4)
+    given = first & np.array(mark_sets, bool)
+    in_bins = own_bins(who, own, level)
+    wide = [own_bins(who, own, np.where(given & (least <= x) & (x <= most) & (x >= 0), x, -1)) for x in (level - 1, level, level + 1)]
+    f, h = (np.concatenate(x) for x in zip(*wide))
+    order = np.argsort(f, kind="stable")
+    return {
+        "marks": pa.array(marks, pa.list_(pa.string())), "literal": pa.array(blobs, pa.bool_()), "literals": pa.array(literals, pa.int64()), "names": pa.array(names, pa.int64()),
+        "body": pa.array(body, pa.int64()), "size": pa.array(sizes, pa.int64()), "shape": pa.array(shape, pa.int64()), "shingles": pa.array(shingles, pa.list_(pa.int32())),
+        "many": pa.array(many, pa.int32()), **{c: pa.array(odd[:, k].copy(), pa.int64()) for k, c in enumerate(ODD)},
+        "bins": _lists(*in_bins, n, first, pa.int64()), "wide": _lists(f[order], h[order], n, given, pa.int64()),
+    }
+
+
+_FEATURES = "file_id long, repo string, path string, ingested_at {}, marks array<string>, literal boolean, literals long, names long, body long, size long, shape long, shingles array<int>, many int, " + ", ".join(f"{c} long" for c in ODD) + ", bins array<long>, wide array<long>"
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, about CHARS bytes of content in each."""
+    ends = np.cumsum([x or 0 for x in pa.compute.binary_length(b.column("content")).to_pylist()])
+    start = 0
+    while start < b.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARS, "right")))
+        yield b.slice(start, stop - start)
+        start = stop
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """file_id, repo, path, content, ingested_at of all source files, a null content as an empty one."""
     rows = files.where(F.col("path").rlike(_PATTERN) & F.col("file_id").isNotNull())
-    rows = spread(rows.select(F.col("file_id").cast("long").alias("file_id"), "repo", F.rtrim("path").alias("path"), F.coalesce("content", F.lit("")).alias("content"), "ingested_at"))
+    return rows.select(F.col("file_id").cast("long").alias("file_id"), "repo", F.rtrim("path").alias("path"), F.coalesce("content", F.lit("")).alias("content"), "ingested_at")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [features(p.replace("\\", "/"), t) for p, t in zip(b["path"], b["content"])]
-            out = pd.DataFrame(found, columns=_COLUMNS)
-            yield pd.concat([b[["file_id", "repo", "path", "ingested_at"]].reset_index(drop=True), out], axis=1)
 
-    return rows.mapInPandas(run, _FEATURES.format(rows.schema["ingested_at"].dataType.simpleString()))
+def file_features(files: DataFrame) -> DataFrame:
+    """One row per source file row, without its content.
+
+    Where texts come again, they are brought together first, and each is read once.
+    """
+    rows = source_files(files)
+    n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("content"))).first()
+    if distinct < n / 2:
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution().toRdd().getNumPartitions())
+        rows = rows.repartition(parts, F.xxhash64("content"))
+    else:
+        rows = spread(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes, bodies = set(), set()
+        for b in (x for batch in batches for x in _slices(batch)):
+            paths, texts = [p.replace("\\", "/") for p in b.column("path").to_pylist()], b.column("content").to_pylist()
+            kept = {x: b.column(x) for x in ("file_id", "repo", "path", "ingested_at")}
+            yield pa.RecordBatch.from_pydict(kept | features(paths, texts, shapes, bodies))
+
+    return rows.mapInArrow(run, _FEATURES.format(rows.schema["ingested_at"].dataType.simpleString()))
+
+
+def body_sets(rows: DataFrame) -> DataFrame:
+    """body, own of rows with a content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in _slices(batch)):
+            plain, sizes, codes, of = _tokens(b.column("content").to_pylist())
+            sets = _lists(*_own_of(codes, sizes, of), len(plain), np.ones(len(plain), bool), pa.uint32())
+            own = pa.ListArray.from_arrays(sets.offsets, sets.values.view(pa.int32()))
+            yield pa.RecordBatch.from_pydict({"body": pa.array([_body(x) for x in plain], pa.int64()), "own": own})
+
+    return rows.select("content").mapInArrow(run, "body long, own array<int>")
+
+
+def _similar(sets: list[np.ndarray], classes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between the classes of a cell of which shapes are similar; none that others already make."""
+    order = np.argsort(classes, kind="stable")
+    classes, sets = classes[order], [sets[i] for i in order]
+    names, starts = np.unique(classes, return_index=True)
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held > 1  # others are in no intersection
+    number = np.cumsum(shared) - 1
+    row, column = row[shared[column]], number[column[shared[column]]]
+    blocks = []
+    for c in range(0, int(shared.sum()), COLUMNS):
+        m = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - c)), dtype=np.float32)
+        inside = (column >= c) & (column < c + COLUMNS)
+        m[row[inside], column[inside] - c] = 1
+        blocks.append(m if len(sets) * int(shared.sum()) <= 20_000_000 else np.packbits(m.astype(np.uint8), axis=1))
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    of = np.searchsorted(names, classes)
+    for k, start in enumerate(starts[:-1]):
+        stop = starts[k + 1]
+        common = np.zeros((stop - start, len(sets) - stop), dtype=np.float32)
+        for m in blocks:
+            a, b = (np.unpackbits(x, axis=1).astype(np.float32) if x.dtype == np.uint8 else x for x in (m[start:stop], m[stop:]))
+            common += a @ b.T
+        common = common.astype(np.float64)
+        near = (common >= SIMILARITY * (sizes[start:stop, None] + sizes[None, stop:] - common)).any(axis=0)
+        for other in np.unique(of[stop:][near]).tolist():
+            if root(other) != root(k):
+                parent[root(other)] = root(k)
+                yield int(names[k]), int(names[other])
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """a, b of rows (cell, shape, shingles): links that join all shapes of a cell between which similar ones lead.
-
-    Rows stream by cell in order; the shapes of the current cell are kept, each below a leader to which it is similar.
-    As 1 - similarity is a metric, members of a leader further than twice the bound cannot be similar, nor those whose
-    distance to their leader is too small; all others of other components are compared.
-    """
-    bound = 1 - SIMILARITY
+    """a, b: classes of rows (cell, class, shingles) that are linked by similar shapes of a cell; all of it is compared."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, leaders, parent = None, [], {}
+        cell, sets, classes = None, [], []
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
+        def links() -> list[tuple[int, int]]:
+            return list(_similar(sets, np.array(classes))) if len(set(classes)) > 1 else []
 
         for b in batches:
             out = []
-            for key, shape, s in zip(b["cell"], b["shape"], b["shingles"]):
+            for key, c, s in zip(b["cell"], b["class"], b["shingles"]):
                 if key != cell:
-                    cell, leaders, parent = key, [], {}
-                if shape in parent:
-                    continue
-                own, home = frozenset(s.tolist()), None
-                parent[shape] = shape
-
-                def link(other: int) -> None:
-                    parent[root(other)] = root(shape)
-                    out.append((shape, other))
-
-                for lead, held, members in leaders:
-                    if root(lead) == root(shape):
-                        continue
-                    common = len(own & held)
-                    union = len(own) + len(held) - common
-                    far = 1 - common / union
-                    if common >= SIMILARITY * union:
-                        home = home or (far, members)
-                        link(lead)
-                    elif far <= 2 * bound + 1e-9:
-                        for near, member, theirs in members:
-                            if far - near <= bound + 1e-9:
-                                common = len(own & theirs)
-                                if common >= SIMILARITY * (len(own) + len(theirs) - common):
-                                    link(member)
-                                    break
-                if home:
-                    home[1].append((home[0], shape, own))
-                else:
-                    leaders.append((shape, own, []))
+                    out += links()
+                    cell, sets, classes = key, [], []
+                sets.append(s)
+                classes.append(c)
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        yield pd.DataFrame(links(), columns=["a", "b"]).astype("int64")
+
+    return rows.select("cell", "class", "shingles").repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long")
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    ordered = rows.select("cell", "shape", "shingles").repartition("cell").sortWithinPartitions("cell", "shape")
-    return ordered.mapInPandas(run, "a long, b long")
+    for b in batches:
+        for x, y in zip(b["a"].tolist(), b["b"].tolist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    yield pd.DataFrame([(x, root(x)) for x in list(parent)], columns=["node", "class"]).astype("int64")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, class: the least node that is linked with it. edges: a, b; a node without others has an edge to itself."""
-    both = scratch.write(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    state, k, total = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")), "class0"), 0, None
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, class: the least node that is linked with it. edges: a, b; a node without others is left out."""
+    both = scratch.write(edges.select("a", "b").distinct(), f"{name}-links")
+    if both.count() <= FEW_LINKS:
+        return scratch.write(both.repartition(1).mapInPandas(_joined, "node long, class long"), f"{name}0")
+    both = scratch.write(both.union(both.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
+    state, k, total = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("class")), f"{name}0"), 0, None
     while True:
         now = state.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
         if now == total:
@@ -294,42 +492,74 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         near = both.join(state.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
         lower = state.join(near, "node").select("node", F.least("class", "near").alias("class"))
         jump = lower.select(F.col("node").alias("class"), F.col("class").alias("further"))
-        state = scratch.write(lower.join(jump, "class", "left").select("node", F.least("class", F.coalesce("further", "class")).alias("class")), f"class{k}")
+        state = scratch.write(lower.join(jump, "class", "left").select("node", F.least("class", F.coalesce("further", "class")).alias("class")), f"{name}{k}")
         if k > 1:
-            scratch.drop(f"class{k - 1}")
+            scratch.drop(f"{name}{k - 1}")
+
+
+def _banded(shapes: DataFrame) -> DataFrame:
+    """shape, shingles, bands of shapes without bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(bands=[bands_of(s.astype(np.int32).view(np.uint32)) for s in b["shingles"]])
+
+    return shapes.mapInPandas(run, "shape long, shingles array<int>, bands array<long>")
 
 
 def shape_classes(feats: DataFrame, scratch: Scratch) -> DataFrame:
-    """shape, class for every shape of ``feats``: shapes joined by verified similarity of at least 0.8."""
+    """shape, class for every shape of ``feats``: shapes joined by verified similarity of at least 0.8.
+
+    Each shape of a bucket is compared with the first; what that joins is a class, and only in buckets of several
+    classes the shapes of each two are compared as well.
+    """
     shapes = scratch.write(feats.groupBy("shape").agg(F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")), "shapes")
-    cells = shapes.select("shape", F.posexplode("bands").alias("band", "h"))
-    parts = cells.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").select("band", "h", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    cells = cells.join(parts, ["band", "h"]).withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int"))
+    sets, cells = shapes.select("shape", "shingles"), shapes.select("shape", F.posexplode("bands").alias("band", "h"))
+    heads = cells.groupBy("band", "h").agg(F.min("shape").alias("head"), F.count("*").alias("n")).where("n > 1")
+    cells = scratch.write(cells.join(heads, ["band", "h"]), "cells")
+    pairs = cells.where("shape <> head").select("shape", "head").distinct().join(sets, "shape").join(sets.select(F.col("shape").alias("head"), F.col("shingles").alias("theirs")), "head")
+    common = F.size(F.array_intersect("shingles", "theirs"))
+    pairs = pairs.where(common >= SIMILARITY * (F.size("shingles") + F.size("theirs") - common))
+    first = components(pairs.select(F.col("shape").alias("a"), F.col("head").alias("b")), scratch, "first").withColumnRenamed("node", "shape")
+    cells = cells.join(first, "shape", "left").withColumn("class", F.coalesce("class", "shape"))
+    parts = cells.groupBy("band", "h").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least < most")
+    cells = cells.drop("n", "head").join(parts.select("band", "h", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), ["band", "h"]).withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = cells.select("shape", "band", "h", "part", others.alias("other"))
-    cells = cells.select("shape", F.concat_ws(":", "band", "h", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
-    links = _links(cells.join(shapes.select("shape", "shingles"), "shape"))
-    edges = shapes.select(F.col("shape").alias("a"), F.col("shape").alias("b")).union(links)
-    return components(edges, scratch).select(F.col("node").alias("shape"), "class")
+    cells = cells.select("shape", "class", "band", "h", "part", others.alias("other"))
+    cells = cells.select("shape", "class", F.concat_ws(":", "band", "h", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    last = components(_links(cells.join(sets, "shape")), scratch, "last").select(F.col("node").alias("class"), F.col("class").alias("joined"))
+    classes = sets.select("shape").join(first, "shape", "left").withColumn("class", F.coalesce("class", "shape"))
+    return scratch.write(classes.join(last, "class", "left").select("shape", F.coalesce("joined", "class").alias("class")), "classes")
 
 
-def inherited(last: DataFrame, raw: DataFrame, scratch: Scratch) -> DataFrame:
+def inherited(last: DataFrame, raw: DataFrame, files: DataFrame, scratch: Scratch) -> DataFrame:
     """class, body, copied: the marks that a body or others of its class have to which its similarity is at least 0.8.
 
-    last: class, body, size, marks; raw: body, size, own, own_bands.
+    last: class, body, size, marks; raw: as of ``file_features`` of files.
     """
     bodies = last.where(f"size >= {SHINGLE}").select("class", "body", F.explode_outer("marks").alias("mark"))
     bodies = scratch.write(bodies.groupBy("class", "body").agg(*[F.max(F.coalesce(F.col("mark") == m, F.lit(False))).alias(m) for m in COPIED]), "bodies")
-    sets = scratch.write(raw.where(f"size >= {SHINGLE}").groupBy("body").agg(F.any_value("own").alias("own"), F.any_value("own_bands").alias("own_bands")), "sets")
     given = bodies.select("class", "body", F.inline(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(m).alias("has")) for m in COPIED]))).where("has").drop("has")
-    banded = lambda df: df.join(sets, "body").select("class", "body", F.size("own").alias("n"), F.posexplode("own_bands").alias("band", "h"))
-    asked = banded(bodies.where(" or ".join(f"not {m}" for m in COPIED)).select("class", "body"))
-    theirs = banded(given.select("class", "body").distinct()).withColumnsRenamed({"body": "other", "n": "m"})
-    # a similar body has at least 0.8 of the other's shingles
-    pairs = asked.join(theirs, ["class", "band", "h"]).where(f"body <> other and least(n, m) >= {SIMILARITY} * greatest(n, m) - 1e-6").select("class", "body", "other").distinct()
+    given = scratch.write(given, "given")
+    # the row's own marks, a bit each: a file of these marks in the table gives its body the same
+    bits = sum(F.array_contains("marks", m).cast("int") * 2**k for k, m in enumerate(COPIED)).alias("bits")
+    asked = raw.where("bins is not null").select("body", "many", *ODD, bits, F.explode("bins").alias("h")).where(f"bits < {2 ** len(COPIED) - 1}")
+    theirs = raw.where("wide is not null").select("body", "many", *ODD, bits, F.explode("wide").alias("h"))
+    theirs = theirs.select(*[F.col(c).alias(f"their_{c}") for c in ("body", "many", *ODD, "bits")], "h")
+    # a similar body has at least 0.8 of the other's shingles, and at most a ninth of both together differ
+    differ = " + ".join(f"bit_count({c} ^ their_{c})" for c in ODD)
+    near = f"body <> their_body and their_bits & ~bits <> 0 and least(many, their_many) >= {SIMILARITY} * greatest(many, their_many) - 1e-6 and 9 * ({differ}) <= many + their_many"
+    pairs = scratch.write(asked.join(theirs, "h").where(near).select("body", F.col("their_body").alias("other")).distinct(), "met")
     marked = given.withColumnRenamed("body", "other")
-    pairs = scratch.write(pairs.join(marked, ["class", "other"]).join(given, ["class", "body", "mark"], "left_anti"), "pairs")
-    pairs = pairs.join(sets.select("body", "own"), "body").join(sets.select(F.col("body").alias("other"), F.col("own").alias("theirs")), "other")
+    pairs = pairs.join(bodies.select("class", "body"), "body").join(marked, ["class", "other"]).join(given, ["class", "body", "mark"], "left_anti")
+    pairs = scratch.write(pairs, "pairs")
+    # the shingles of these few are made again
+    wanted = pairs.select("body").union(pairs.select("other")).distinct()
+    ids = scratch.write(raw.select("body", "file_id").join(wanted, "body").groupBy("body").agg(F.min("file_id").alias("file_id")).select("file_id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_FILES else ids
+    sets = body_sets(spread(source_files(files).join(ids, "file_id", "left_semi")))
+    sets = scratch.write(sets.groupBy("body").agg(F.any_value("own").alias("own")), "sets")
+    pairs = pairs.join(sets, "body").join(sets.select(F.col("body").alias("other"), F.col("own").alias("theirs")), "other")
     common = F.size(F.array_intersect("own", "theirs"))
     near = pairs.where(common >= SIMILARITY * (F.size("own") + F.size("theirs") - common))
     return given.select("class", "body", "mark").union(near.select("class", "body", "mark")).groupBy("class", "body").agg(F.collect_set("mark").alias("copied"))  # at most two marks
@@ -350,13 +580,14 @@ def judged_files(files: DataFrame, specs: DataFrame) -> DataFrame:
     raw = scratch.write(file_features(files), "raw")
     last = raw.groupBy("file_id").agg(F.max_by(F.struct("repo", "path", "marks", "literal", "literals", "names", "body", "size", "shape"), order).alias("x")).select("file_id", "x.*")
     last = scratch.write(last, "files")
-    classes = shape_classes(raw, scratch)
+    shapes = raw.where("shingles is not null").groupBy("shape").agg(F.any_value("shingles").alias("shingles"))
+    classes = shape_classes(_banded(spread(shapes)), scratch)
     classed = last.join(classes, "shape")
     stats = classed.groupBy("class").agg(
         F.count("*").alias("n_files"), F.approx_count_distinct("repo").alias("n_repos"), (F.min("repo") < F.max("repo")).alias("across"),
         F.greatest(F.avg(F.col("literal").cast("int")) / 0.5, F.sum("literals") / F.greatest(F.sum("literals") + F.sum("names"), F.lit(1)) / LITERAL).alias("share"),
     )
-    marked = inherited(classed, raw, scratch)
+    marked = inherited(classed, raw, files, scratch)
     tokens = specs.groupBy(F.col("name").alias("repo")).agg(F.max("ignore").alias("tokens"))
     out = classed.join(stats, "class").join(marked, ["class", "body"], "left").join(tokens, "repo", "left")
     kind = F.when(F.col("share") >= 1, "literal").when(F.col("n_files") == 1, "single").when(F.coalesce("across", F.lit(False)), "across").otherwise("family")

@@ -93,11 +93,15 @@ VENDORED = re.compile(
     """,
     re.I | re.X,
 )
+#: Without one of these no mark is there; outside of ASCII other letters may be equal to these.
+_HINTS = ("generated", "created", "license", "under", "imported", "vendored", "spdx", "copyright", "(c)")
 GENERATED_PATH = re.compile(r"(?i)(?:^|/)__generated__/|\.generated\.\w+$|\.g(?:en)?\.\w+$|\.pb\.(?:go|cc|h)$|_pb2(?:_grpc)?\.py$|\.designer\.\w+$")
 VENDORED_PATH = re.compile(r"(?i)^(?:[\w.-]+/)*(?:third[_-]party|node_modules|bower_components)/|^vendor/[^/]+\.[a-z]+/|[-@_]v?\d+\.\d+\.\d+(?:[-.][\w.]*)?\.\w+$|[-@]v?\d+\.\d+\.\d+/")
 
 def comment_marks(text: str) -> set[str]:
     """generated or vendored, by all comment lines of a text; lines of a string are none."""
+    if text.isascii() and not any(map(text.lower().__contains__, _HINTS)):
+        return set()
     found = _line_marks(text)
     return found and _line_marks(_TOKEN.sub(lambda m: '""' if m.lastgroup == "s" and "\n" in m.group() else m.group(), text))
 
@@ -284,8 +288,10 @@ def features(paths: list[str], texts: list[str], shapes: set, bodies: set) -> di
     shape's shingles, and of the unmasked shingles how many there are, their sketch and their bins.
 
     Shingles are given with the first file of a shape, bins with the first of a body and its marks: ``shapes`` and
-    ``bodies`` have what was given before.
+    ``bodies`` have what was given before. A text that comes again is read once.
     """
+    at = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    row, texts = np.array([at[t] for t in texts], dtype=np.int64), list(at)
     n = len(texts)
     plain, sizes, codes, of = _tokens(texts)
     masked = codes >> np.uint64(32)
@@ -300,49 +306,52 @@ def features(paths: list[str], texts: list[str], shapes: set, bodies: set) -> di
         key = np.zeros(0, np.uint64)
     ends, starts = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32)), np.concatenate([[0], np.cumsum(sizes)])
     low = (key & _LOW).astype(np.uint32)
-    marks, blobs, body, shape, shingles, first, mark_sets = [], [], [], [], [], np.zeros(n, bool), []
-    for i, (path, text, x) in enumerate(zip(paths, texts, plain)):
+    blobs, body, shape, sets, own_marks = [], [], [], [], []
+    for i, (text, x) in enumerate(zip(texts, plain)):
         blob = literals[i] >= LITERAL * max(1, literals[i] + names[i]) and literals[i] >= LITERALS
         if not blob and names[i] <= 6:  # one long literal under a name is data as well: then its characters count
             chars = sum(len(t) for t in x if t[0] in "\"'`" or t[0].isdecimal())
             blob = chars >= LITERAL_CHARS and chars >= LITERAL * len(text)
         blobs.append(bool(blob))
-        found = comment_marks(text)
+        own_marks.append(comment_marks(text) | ({"minified"} if is_minified(text) else set()))
+        body.append(_body(x))
+        s = low[ends[i] : ends[i + 1]] if sizes[i] >= SHINGLE else shingles_of(masked[starts[i] : starts[i + 1]])
+        shape.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+        sets.append(s.view(np.int32))
+    marks, shingles, first, given = [], [], np.zeros(len(row), bool), np.zeros(len(row), bool)
+    for j, (path, i) in enumerate(zip(paths, row.tolist())):
+        found = set(own_marks[i])
         if GENERATED_PATH.search(path):
             found.add("generated")
         if VENDORED_PATH.search(path):
             found.add("vendored")
-        if is_minified(text):
-            found.add("minified")
         marks.append(sorted(found))
-        body.append(_body(x))
-        s = low[ends[i] : ends[i + 1]] if sizes[i] >= SHINGLE else shingles_of(masked[starts[i] : starts[i + 1]])
-        k = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-        shape.append(k)
-        shingles.append(None if k in shapes else s.view(np.int32))
-        shapes.add(k)
+        shingles.append(None if shape[i] in shapes else sets[i])
+        shapes.add(shape[i])
         copied = tuple(m in found for m in COPIED)
-        mark_sets.append(any(copied))
-        if sizes[i] >= SHINGLE and (body[-1], copied) not in bodies:
-            bodies.add((body[-1], copied))
-            first[i] = True
+        if sizes[i] >= SHINGLE and (body[i], copied) not in bodies:
+            bodies.add((body[i], copied))
+            first[j], given[j] = True, any(copied)
+    asked, wanted = np.zeros(n, bool), np.zeros(n, bool)
+    asked[row[first]], wanted[row[given]] = True, True
     who, own = _own_of(codes, sizes, of)
     many = np.bincount(who.astype(np.int64), minlength=n)
     odd = parities(who, own, n)
-    level = np.where(first, level_of(many), -1)
+    level = np.where(asked, level_of(many), -1)
     # a similar file has 0.8 to 1.25 times as many shingles
     least, most = level_of(-(-many * 4 // 5)), level_of(many * 5 // 4)
-    given = first & np.array(mark_sets, bool)
-    in_bins = own_bins(who, own, level)
-    wide = [own_bins(who, own, np.where(given & (least <= x) & (x <= most) & (x >= 0), x, -1)) for x in (level - 1, level, level + 1)]
+    bins = _lists(*own_bins(who, own, level), n, asked, pa.int64())
+    wide = [own_bins(who, own, np.where(wanted & (least <= x) & (x <= most) & (x >= 0), x, -1)) for x in (level - 1, level, level + 1)]
     f, h = (np.concatenate(x) for x in zip(*wide))
     order = np.argsort(f, kind="stable")
-    return {
-        "marks": pa.array(marks, pa.list_(pa.string())), "literal": pa.array(blobs, pa.bool_()), "literals": pa.array(literals, pa.int64()), "names": pa.array(names, pa.int64()),
-        "body": pa.array(body, pa.int64()), "size": pa.array(sizes, pa.int64()), "shape": pa.array(shape, pa.int64()), "shingles": pa.array(shingles, pa.list_(pa.int32())),
-        "many": pa.array(many, pa.int32()), **{c: pa.array(odd[:, k].copy(), pa.int64()) for k, c in enumerate(ODD)},
-        "bins": _lists(*in_bins, n, first, pa.int64()), "wide": _lists(f[order], h[order], n, given, pa.int64()),
+    wide = _lists(f[order], h[order], n, wanted, pa.int64())
+    by_row = {
+        "literal": pa.array(blobs, pa.bool_()), "literals": pa.array(literals, pa.int64()), "names": pa.array(names, pa.int64()), "body": pa.array(body, pa.int64()), "size": pa.array(sizes, pa.int64()),
+        "shape": pa.array(shape, pa.int64()), "many": pa.array(many, pa.int32()), **{c: pa.array(odd[:, k].copy(), pa.int64()) for k, c in enumerate(ODD)},
     }
+    out = {k: x.take(pa.array(row)) for k, x in by_row.items()}
+    out |= {"marks": pa.array(marks, pa.list_(pa.string())), "shingles": pa.array(shingles, pa.list_(pa.int32()))}
+    return out | {"bins": bins.take(pa.array(row, mask=~first)), "wide": wide.take(pa.array(row, mask=~given))}
 
 
 _FEATURES = "file_id long, repo string, path string, ingested_at {}, marks array<string>, literal boolean, literals long, names long, body long, size long, shape long, shingles array<int>, many int, " + ", ".join(f"{c} long" for c in ODD) + ", bins array<long>, wide array<long>"
@@ -373,18 +382,22 @@ def file_features(files: DataFrame) -> DataFrame:
     n, distinct = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("content"))).first()
     if distinct < n / 2:
         parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows._jdf.queryExecution().toRdd().getNumPartitions())
-        rows = rows.repartition(parts, F.xxhash64("content"))
+        rows = rows.repartition(parts, F.xxhash64("content")).sortWithinPartitions(F.xxhash64("content"))
     else:
         rows = spread(rows)
 
+    schema = _FEATURES.format(rows.schema["ingested_at"].dataType.simpleString())
+    columns = [x.split()[0] for x in _FEATURES.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, bodies = set(), set()
         for b in (x for batch in batches for x in _slices(batch)):
             paths, texts = [p.replace("\\", "/") for p in b.column("path").to_pylist()], b.column("content").to_pylist()
             kept = {x: b.column(x) for x in ("file_id", "repo", "path", "ingested_at")}
-            yield pa.RecordBatch.from_pydict(kept | features(paths, texts, shapes, bodies))
+            out = kept | features(paths, texts, shapes, bodies)
+            yield pa.RecordBatch.from_pydict({c: out[c] for c in columns})
 
-    return rows.mapInArrow(run, _FEATURES.format(rows.schema["ingested_at"].dataType.simpleString()))
+    return rows.mapInArrow(run, schema)
 
 
 def body_sets(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tracewell.functions.text import key, repo_path
 from tracewell.operators import risk
 from tracewell.operators.calls import call_edges, calling_files
 from tracewell.operators.graph import closure
-from tracewell.operators.hierarchy import resolve_links
+from tracewell.operators.hierarchy import every_link, resolve_links
 from tracewell.operators.meet import placed, shared
 from tracewell.operators.parsers import parse_code
 from tracewell.operators.rules import decide
@@ -37,11 +37,12 @@ class Graph:
     files(file, repo, path, language), tables(name), columns(tbl, name), functions(file, name, is_method),
     requirements(id, title, description, category), policies(id, description), identifiers(file, name);
     edges imports(src, dst), calls(file, caller, dst, callee), uses_table(file, tbl), references_column(file, tbl, name),
-    enforces(policy, req), governs_table(req, tbl), governs_column(req, tbl, name).
+    enforces(policy, req), governs_table(req, tbl), governs_column(req, tbl, name). Of the importers of a file all count
+    with ``every_importer``, else the one with the least node_id, as in the SQL of the queries that do without it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, every_importer: bool = False):
+        self.spark, self.folder, self.every_importer = spark, folder, every_importer
 
     @cached_property
     def _scratch(self) -> Scratch:
@@ -71,7 +72,8 @@ class Graph:
 
     @cached_property
     def imports(self) -> DataFrame:
-        links = resolve_links(self._table("import_graph"), self._table("repo_specs")).where("parent_id is not null")
+        resolve = every_link if self.every_importer else resolve_links
+        links = resolve(self._table("import_graph"), self._table("repo_specs")).where("parent_id is not null")
         ids = self._nodes.select("node_id", "file")
         pairs = links.join(ids, "node_id").withColumnRenamed("file", "dst").join(ids.select(F.col("node_id").alias("parent_id"), F.col("file").alias("src")), "parent_id")
         return self._scratch.write(pairs.select("src", "dst").distinct(), "imports")
@@ -196,9 +198,9 @@ def latest(rows: DataFrame, name: str) -> DataFrame:
     return last.select("id", "v.*").where("coalesce(status, '') <> 'deleted'")
 
 
-def build(spark: SparkSession, d: str) -> Graph:
+def build(spark: SparkSession, d: str, every_importer: bool = False) -> Graph:
     """The graph of the test tables in a folder."""
-    return Graph(spark, d)
+    return Graph(spark, d, every_importer)
 
 
 def direct_files(g: Graph) -> DataFrame:
@@ -212,8 +214,11 @@ def importers(g: Graph) -> DataFrame:
     return g.imports.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def _spread(g: Graph, max_depth: int, call_seed: str) -> tuple[DataFrame, DataFrame]:
-    """how, word, file of the names, and how, entity, file of the files: what they reach, before names become entities."""
+def _spread(g: Graph, max_depth: int, call_seed: str, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """how, word, file of the names, and how, entity, file of the files: what they reach, before names become entities.
+
+    Of the files those of ``entities`` (entity_type, entity), or all.
+    """
     reach = closure(importers(g), max_depth).select(F.col("src").alias("file"), F.col("dst").alias("other"))
 
     def grown(direct: DataFrame, c: str) -> DataFrame:
@@ -223,7 +228,10 @@ def _spread(g: Graph, max_depth: int, call_seed: str) -> tuple[DataFrame, DataFr
         return reduce(DataFrame.unionByName, [df.select(F.lit(how).alias("how"), c, "file") for how, df in (("direct", direct), ("transitive", further), ("calls", calling))])
 
     by_word = grown(g._mentions.select("word", "file"), "word")
-    by_file = grown(g.imports.select(F.col("dst").alias("entity"), F.col("src").alias("file")), "entity")
+    of = g.imports.select(F.col("dst").alias("entity"), F.col("src").alias("file"))
+    if entities is not None:
+        of = of.join(entities.where("entity_type = 'file'").select("entity"), "entity", "left_semi")
+    by_file = grown(of, "entity")
     return g._scratch.write(by_word, "words_reached"), g._scratch.write(by_file, "files_reached")
 
 
@@ -235,9 +243,9 @@ def blast_radius(g: Graph, entities: DataFrame, max_depth: int = 25, call_seed:
     columns reach is found once for each name, as one name stands for the columns of many tables, and becomes rows of
     the entities in the last step, where no pair has to be made distinct.
     """
-    by_word, by_file = _spread(g, max_depth, call_seed)
+    by_word, by_file = _spread(g, max_depth, call_seed, entities)
     out = [_entities_of(g, by_word.where(F.col("how") == how), entities).select("entity_type", "entity", "file", F.lit(how).alias("how")) for how in ("direct", "transitive", "calls")]
-    files = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how").join(entities, ["entity_type", "entity"], "left_semi")
+    files = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how")
     return reduce(DataFrame.unionByName, [*out, files])
 
 
@@ -269,13 +277,13 @@ def impact(g: Graph, entities: DataFrame, max_depth: int = 25) -> DataFrame:
     entities: entity_type, entity. Entities without any file or requirement have zeros. The lists that the counts are
     of are the rows of ``blast_radius`` and ``governed``.
     """
-    by_word, by_file = _spread(g, max_depth, "direct")
+    by_word, by_file = _spread(g, max_depth, "direct", entities)
     keys = ["entity_type", "entity"]
     back = is_backend(F.col("file")).cast("int")
     hows = {"direct": "direct_files", "transitive": "transitive_files", "calls": "calling_files"}
     each = [_entities_of(g, by_word.where(F.col("how") == how), entities).select(*keys, F.lit(how).alias("how"), F.lit(None).cast("int").alias("backend")) for how in hows]
     each.append(_entities_of(g, by_word.select("word", "file").distinct(), entities).select(*keys, F.lit("any").alias("how"), back.alias("backend")))
-    own = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how").join(entities, keys, "left_semi")
+    own = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how")
     each.append(own.select(*keys, "how", F.lit(None).cast("int").alias("backend")))
     each.append(own.select(*keys, "file").distinct().select(*keys, F.lit("any").alias("how"), back.alias("backend")))
     number = lambda how: F.count(F.when(F.col("how") == how, 1))

@@ -20,18 +20,36 @@ from tracewell.session import Scratch
 BUCKETS = 64
 
 
-def resolve_links(graph: DataFrame, specs: DataFrame) -> DataFrame:
-    """node_id, parent_id (null for none): who imports each file.
+def every_link(graph: DataFrame, specs: DataFrame) -> DataFrame:
+    """node_id, parent_id: each file with each file that imports it, once.
 
     graph: node_id, repo, file_path, imports, imported_by; specs: name, alias_map. A link counts if either end
     records it. Paths are compared by the identity rule after the repo's aliases; the extension, or /index with
     its extension, may be left off: an exact path wins over a left-off extension, that over /index, then the
-    lesser path and node_id. Null and blank targets and targets that are no file of the repo give no link.
-    A file with several importers, which the data does not have, keeps the one with the least node_id. Rows
+    lesser path and node_id. Null and blank targets and targets that are no file of the repo give no link. Rows
     with the same node_id count as one node with all their links; an unknown repo has no aliases.
     """
+    return _pairs(_rows(graph), specs).distinct()
+
+
+def resolve_links(graph: DataFrame, specs: DataFrame) -> DataFrame:
+    """node_id, parent_id (null for none): one importer of each file, for hierarchies.
+
+    The links are those of ``every_link``. A file with several importers keeps the one with the least node_id.
+    """
+    rows = _rows(graph)
+    none = F.lit(None).cast("long")
+    nodes = rows.where("node_id is not null").select("node_id", none.alias("parent_id"))
+    return nodes.union(_pairs(rows, specs)).groupBy("node_id").agg(F.min("parent_id").alias("parent_id"))
+
+
+def _rows(graph: DataFrame) -> DataFrame:
+    return graph.select(F.col("node_id").cast("long").alias("node_id"), "repo", repo_path(F.col("file_path")).alias("path"), "imports", "imported_by")
+
+
+def _pairs(rows: DataFrame, specs: DataFrame) -> DataFrame:
+    """node_id, parent_id of the links, where one that both ends record comes twice."""
     aliases = specs.groupBy(F.col("name").alias("repo")).agg(F.max_by("alias_map", F.to_json("alias_map")).alias("alias_map"))
-    rows = graph.select(F.col("node_id").cast("long").alias("node_id"), "repo", repo_path(F.col("file_path")).alias("path"), "imports", "imported_by")
     files = rows.where("path <> ''").groupBy("repo", "path").agg(F.min("node_id").alias("file"))
     bare = F.regexp_replace("path", r"\.[^./]+$", "")
     known = F.when(extension(F.col("path")) != "", F.array(F.struct(F.lit(1).alias("rank"), bare.alias("name"))))
@@ -48,13 +66,10 @@ def resolve_links(graph: DataFrame, specs: DataFrame) -> DataFrame:
     )
     ends = ends.withColumn("raw", repo_path(F.col("raw"))).where("raw <> ''").distinct()
     ends = ends.join(aliases, "repo", "left").select("node_id", "repo", "up", unalias(F.col("raw"), F.col("alias_map")).alias("target"))
-    pairs = ends.join(lookup, ["repo", "target"]).select(
+    return ends.join(lookup, ["repo", "target"]).select(
         F.when(F.col("up"), F.col("node_id")).otherwise(F.col("found")).alias("node_id"),
         F.when(F.col("up"), F.col("found")).otherwise(F.col("node_id")).alias("parent_id"),
     )
-    none = F.lit(None).cast("long")
-    nodes = rows.where("node_id is not null").select("node_id", none.alias("parent_id"))
-    return nodes.union(pairs).groupBy("node_id").agg(F.min("parent_id").alias("parent_id"))
 
 
 def _double(state: DataFrame, carried: dict[str, Column]) -> DataFrame:

@@ -364,8 +364,12 @@ g_blast AS (SELECT entity_type, entity, file, 'direct' AS how FROM g_direct
 """
 
 
-def _sql(body: str, *ctes: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join([_GOV, *ctes]) + "\n" + body
+#: With every importer of a file, where many paths lead to a file: those of one length count once.
+_EVERY = _GOV.replace("FROM links l JOIN node0 c", "FROM pairs l JOIN node0 c").replace("UNION ALL SELECT c.seed, i.src", "UNION SELECT c.seed, i.src")
+
+
+def _sql(body: str, *ctes: str, base: str = _GOV) -> str:
+    return "WITH RECURSIVE " + ",\n".join([base, *ctes]) + "\n" + body
 
 
 def _pick(k: int, other: str) -> str:

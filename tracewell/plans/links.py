@@ -9,7 +9,7 @@ from tracewell.functions.paths import has_wildcards, is_backend, is_relative_pat
 from tracewell.functions.text import key, repo_path
 from tracewell.operators import governance, graph, privacy, retrieval, rules
 from tracewell.operators.parsers import parse_schemas
-from tracewell.plans.governance import _BACK, _IMPACT, _pick, _sql
+from tracewell.plans.governance import _BACK, _EVERY, _IMPACT, _pick, _sql
 from tracewell.plans.rules import _ALL, _RULES, _requests, _rules
 from tracewell.session import table
 from tracewell.streaming.changes import dispatch
@@ -106,8 +106,8 @@ def j25_policies_hit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g8_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Mean files per entity type: direct, and with the closure."""
-    g = G(spark, d)
+    """Mean files per entity type: direct, and with the closure over every importer."""
+    g = G(spark, d, every_importer=True)
     col = F.concat_ws(".", "tbl", "name")
     entities = g.tables.select(F.lit("table").alias("entity_type"), F.col("name").alias("entity")).union(g.columns.select(F.lit("column"), col)).distinct()
     per = governance.impact(g, entities)
@@ -220,7 +220,7 @@ SQL = {
     "j20_filter_in_join": _sql("SELECT operation, count(*) AS rules, count(p.id) AS with_policy FROM rul LEFT JOIN g_pols p ON p.id = rul.id AND operation = 'write' GROUP BY operation", _RULES, _POLRULE),
     "j22_probe_grid": f"WITH {_ALL} SELECT role, operation, CASE WHEN {_BACK.format('path')} THEN 'backend' ELSE 'other' END AS path_group, count(*) AS n FROM req GROUP BY ALL",
     "j25_policies_hit": _sql("SELECT DISTINCT policy FROM g_enforces WHERE req IN (SELECT req FROM g_gt)"),
-    "g8_ablation": _sql("SELECT entity_type, count(*) AS n, sum(direct_files)::BIGINT AS direct, sum(affected_files)::BIGINT AS with_closure FROM impact WHERE entity_type <> 'file' GROUP BY entity_type", _IMPACT),
+    "g8_ablation": _sql("SELECT entity_type, count(*) AS n, sum(direct_files)::BIGINT AS direct, sum(affected_files)::BIGINT AS with_closure FROM impact WHERE entity_type <> 'file' GROUP BY entity_type", _IMPACT, base=_EVERY),
     "a1_collect": _sql("SELECT tbl, string_agg(DISTINCT req, ',' ORDER BY req) AS reqs FROM g_gt GROUP BY tbl"),
     "a5_functions_of_files": _sql("SELECT tbl, count(*) AS functions FROM g_functions JOIN g_uses USING (file) GROUP BY tbl"),
     "t2k_requirements": _sql(

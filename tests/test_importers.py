@@ -48,3 +48,9 @@ def got(spark, folder, name):
 def test_ablation_counts_every_importer(spark, shop):
     """One direct file; b, c, d, e and a itself, around the loop, with the closure."""
     assert {tuple(r) for r in got(spark, shop, "g8_ablation")} == {("table", 1, 1, 5), ("column", 1, 1, 5)}
+
+
+def test_lists_hold_every_importer(spark, shop):
+    rows = {(r.entity_type, r.entity, r.file, r.how, r.backend) for r in got(spark, shop, "q1_files")}
+    files = {(f"r/src/{f}", how) for f, how in [("db/a.ts", "direct"), *[(f"api/{x}.ts", "transitive") for x in "bcde"], ("db/a.ts", "transitive")]}
+    assert rows == {(kind, entity, f, how, True) for kind, entity in (("table", "ledger"), ("column", "ledger.entry")) for f, how in files}

@@ -198,8 +198,8 @@ def q1_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q1_files(spark: SparkSession, d: str) -> DataFrame:
-    """The lists of the impact of every table and column: its direct, transitive and calling files."""
-    g = G(spark, d)
+    """The lists of the impact of every table and column: its direct, transitive and calling files, over every importer."""
+    g = G(spark, d, every_importer=True)
     entities = g.tables.select(F.lit("table").alias("entity_type"), F.col("name").alias("entity")).union(g.columns.select(F.lit("column"), F.concat_ws(".", "tbl", "name"))).distinct()
     return governance.blast_radius(g, entities).withColumn("backend", is_backend(F.col("file")))
 
@@ -436,7 +436,7 @@ SELECT *, 2 * orders + customers + 4 * suppliers AS risk_score, CASE WHEN 2 * or
     "g5_in_degree": _sql("SELECT n, count(*) AS files FROM (SELECT file, count(DISTINCT src) AS n FROM (SELECT DISTINCT file FROM g_files) LEFT JOIN g_imports ON dst = file GROUP BY file) GROUP BY n"),
     "g7_blast_radius": _sql("SELECT entity, file, how FROM g_blast WHERE entity_type = 'table'"),
     "q1_impact": _sql(f"SELECT *, {_SEV.format('risk_score')} AS risk_severity FROM impact", _IMPACT),
-    "q1_files": _sql(f"SELECT entity_type, entity, file, how, {_BACK.format('file')} AS backend FROM g_blast WHERE entity_type <> 'file'"),
+    "q1_files": _sql(f"SELECT entity_type, entity, file, how, {_BACK.format('file')} AS backend FROM g_blast WHERE entity_type <> 'file'", base=_EVERY),
     "q2_traces": _sql(
         f"""SELECT 'table' AS entity_type, tbl AS entity, 'Table(' || tbl || ') -> File(' || u.file || ')' || coalesce(' -> Function(' || f.name || ')', '') AS trace FROM g_uses u LEFT JOIN g_functions f ON f.file = u.file WHERE {_BACK.format('u.file')}
 UNION SELECT 'table', tbl, 'Table(' || tbl || ') -> Requirement(' || req || ')' || coalesce(' -> Policy(' || policy || ')', '') FROM g_gt LEFT JOIN g_enforces USING (req)

@@ -54,3 +54,8 @@ def test_lists_hold_every_importer(spark, shop):
     rows = {(r.entity_type, r.entity, r.file, r.how, r.backend) for r in got(spark, shop, "q1_files")}
     files = {(f"r/src/{f}", how) for f, how in [("db/a.ts", "direct"), *[(f"api/{x}.ts", "transitive") for x in "bcde"], ("db/a.ts", "transitive")]}
     assert rows == {(kind, entity, f, how, True) for kind, entity in (("table", "ledger"), ("column", "ledger.entry")) for f, how in files}
+
+
+def test_preflight_weighs_every_importer(spark, shop):
+    """Two points for each of five backend files or files."""
+    assert {(r.id, r.entity_type, r.risk_score, r.recommendation) for r in got(spark, shop, "q7_preflight")} == {("t", "table", 10, "check"), ("f", "file", 10, "check"), ("u", "unknown", 0, "proceed")}

@@ -248,11 +248,15 @@ def q4_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q7_preflight(spark: SparkSession, d: str) -> DataFrame:
-    """Detected entity of each document with its impact and what to do about it; a file is one of the document's repo."""
-    g = G(spark, d)
+    """Detected entity of each document with its impact and what to do about it; a file is one of the document's repo.
+
+    The impact is over every importer.
+    """
+    g = G(spark, d, every_importer=True)
     found = detect.best_entity(_texts(spark, d), g.tables, g.columns, g.files.select(F.col("path").alias("file")).distinct())
     repo = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "repo")
     found = found.join(repo, "id").withColumn("entity", F.when(F.col("entity_type") == "file", F.concat(F.col("repo"), F.lit("/"), F.col("entity_name"))).otherwise(F.col("entity_name"))).drop("repo")
+    found = g._scratch.write(found, "detected")
     entities = found.where("entity_type <> 'unknown' and entity is not null").select("entity_type", "entity").distinct()
     scored = governance.impact(g, entities).select("entity_type", "entity", "risk_score", "requirements")
     out = found.join(scored, ["entity_type", "entity"], "left").drop("entity").na.fill(0)
@@ -454,7 +458,7 @@ UNION SELECT 'policy', policy, 'Policy(' || policy || ') -> Requirement(' || req
     "q4_detect": _sql("SELECT t.id, coalesce(e.t, 'unknown') AS entity_type, coalesce(e.e, '') AS entity_name FROM texts t LEFT JOIN best b ON b.id = t.id", _COUNTS, _BEST.format(_PATHS)),
     "q7_preflight": _sql(
         "SELECT id, entity_type, entity_name, risk_score, requirements, CASE WHEN requirements > 0 THEN 'resolve' WHEN risk_score >= 20 THEN 'review' WHEN risk_score >= 8 THEN 'check' ELSE 'proceed' END AS recommendation FROM (SELECT t.id, coalesce(e.t, 'unknown') AS entity_type, coalesce(e.e, '') AS entity_name, coalesce(risk_score, 0) AS risk_score, coalesce(requirements, 0) AS requirements FROM texts t LEFT JOIN best b ON b.id = t.id JOIN documents dc ON dc.doc_id = t.id LEFT JOIN impact i ON i.entity_type = e.t AND i.entity = CASE WHEN e.t = 'file' THEN dc.repo || '/' || e.e ELSE e.e END)",
-        _COUNTS, _BEST.format(_PATHS), _IMPACT,
+        _COUNTS, _BEST.format(_PATHS), _IMPACT, base=_EVERY,
     ),
     "q12_function_counts": _sql("SELECT file, count(DISTINCT name) AS function_count, count(DISTINCT CASE WHEN is_method THEN name END) AS method_count, greatest(count(DISTINCT name) - count(DISTINCT CASE WHEN is_method THEN name END), 0) AS non_method_count FROM g_functions GROUP BY file"),
     "q13_identifier_usage": _sql("SELECT name, string_agg(DISTINCT file, chr(10) ORDER BY file) AS files FROM g_idents JOIN g_tables USING (name) GROUP BY name"),

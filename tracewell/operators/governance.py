@@ -78,6 +78,11 @@ class Graph:
         pairs = links.join(ids, "node_id").withColumnRenamed("file", "dst").join(ids.select(F.col("node_id").alias("parent_id"), F.col("file").alias("src")), "parent_id")
         return self._scratch.write(pairs.select("src", "dst").distinct(), "imports")
 
+    @cached_property
+    def _numbers(self) -> DataFrame:
+        """file, id: a number for each file, as pairs of numbers take less room than pairs of paths."""
+        return self._scratch.write(self.files.select("file").distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
+
     @cached_property
     def _named(self) -> DataFrame:
         return self._table("scenario_predictions").select("entity_type", "entity_name").distinct()
@@ -219,13 +224,18 @@ def _spread(g: Graph, max_depth: int, call_seed: str, entities: DataFrame | None
 
     Of the files those of ``entities`` (entity_type, entity), or all.
     """
-    reach = closure(importers(g), max_depth).select(F.col("src").alias("file"), F.col("dst").alias("other"))
+    number = lambda df, c, to: df.join(g._numbers.select(F.col("file").alias(c), F.col("id").alias(to)), c).drop(c)
+    links = number(number(importers(g), "src", "id"), "dst", "other")
+    reach = closure(links.select(F.col("id").alias("src"), F.col("other").alias("dst")), max_depth).select(F.col("src").alias("id"), F.col("dst").alias("other"))
+    callers = number(number(g.calling_files, "file", "id"), "caller_file", "other")
 
     def grown(direct: DataFrame, c: str) -> DataFrame:
-        further = direct.join(reach, "file").select(c, F.col("other").alias("file")).distinct()
-        seeds = direct if call_seed == "direct" else direct.unionByName(further).distinct()
-        calling = seeds.join(g.calling_files, "file").select(c, F.col("caller_file").alias("file")).distinct()
-        return reduce(DataFrame.unionByName, [df.select(F.lit(how).alias("how"), c, "file") for how, df in (("direct", direct), ("transitive", further), ("calls", calling))])
+        start = number(direct, "file", "id")
+        further = start.join(reach, "id").select(c, F.col("other").alias("id")).distinct()
+        seeds = start if call_seed == "direct" else start.unionByName(further).distinct()
+        calling = seeds.join(callers, "id").select(c, F.col("other").alias("id")).distinct()
+        more = reduce(DataFrame.unionByName, [df.select(F.lit(how).alias("how"), c, "id") for how, df in (("transitive", further), ("calls", calling))])
+        return direct.select(F.lit("direct").alias("how"), c, "file").unionByName(more.join(g._numbers, "id").select("how", c, "file"))
 
     by_word = grown(g._mentions.select("word", "file"), "word")
     of = g.imports.select(F.col("dst").alias("entity"), F.col("src").alias("file"))

@@ -52,6 +52,7 @@ def closure(edges: DataFrame, max_depth: int) -> DataFrame:
         step = far.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.lit(k) + F.col("b.dist")).alias("dist"))
         k *= 2
         known = scratch.write(known.unionByName(step).groupBy("src", "dst").agg(F.min("dist").alias("dist")), f"pairs{k}")
+        scratch.drop(f"pairs{k // 2}")
     return known.where(F.col("dist") <= max_depth)
 
 

@@ -289,14 +289,21 @@ def impact(g: Graph, entities: DataFrame, max_depth: int = 25) -> DataFrame:
     """
     by_word, by_file = _spread(g, max_depth, "direct", entities)
     keys = ["entity_type", "entity"]
-    back = is_backend(F.col("file")).cast("int")
     hows = {"direct": "direct_files", "transitive": "transitive_files", "calls": "calling_files"}
-    each = [_entities_of(g, by_word.where(F.col("how") == how), entities).select(*keys, F.lit(how).alias("how"), F.lit(None).cast("int").alias("backend")) for how in hows]
-    each.append(_entities_of(g, by_word.select("word", "file").distinct(), entities).select(*keys, F.lit("any").alias("how"), back.alias("backend")))
+    tables, columns = (entities.where(F.col("entity_type") == kind) for kind in ("table", "column"))
+
+    def counted(df: DataFrame, *by: str) -> DataFrame:
+        back = F.sum(F.when(F.col("how") == "any", is_backend(F.col("file")).cast("int")))
+        return df.groupBy(*by, "how").agg(F.count("*").alias("n"), back.alias("backend"))
+
+    every = by_word.select("word", "file", F.lit("any").alias("how")).distinct()
+    of_words = counted(by_word.select("word", "file", "how").unionByName(every), "word")
+    each = [g._spelled.join(columns, keys, "left_semi").join(of_words, "word").select(*keys, "how", "n", "backend")]  # a column has one name, so its files are not formed
+    for how, df in {**{how: by_word.where(F.col("how") == how) for how in hows}, "any": every}.items():
+        each.append(counted(_entities_of(g, df.select("word", "file"), tables).withColumn("how", F.lit(how)), *keys))
     own = by_file.select(F.lit("file").alias("entity_type"), "entity", "file", "how")
-    each.append(own.select(*keys, "how", F.lit(None).cast("int").alias("backend")))
-    each.append(own.select(*keys, "file").distinct().select(*keys, F.lit("any").alias("how"), back.alias("backend")))
-    number = lambda how: F.count(F.when(F.col("how") == how, 1))
+    each.append(counted(own.unionByName(own.withColumn("how", F.lit("any")).distinct()), *keys))
+    number = lambda how: F.coalesce(F.sum(F.when(F.col("how") == how, F.col("n"))), F.lit(0))
     f = reduce(DataFrame.unionByName, each).groupBy(*keys).agg(*[number(how).alias(n) for how, n in hows.items()], number("any").alias("affected_files"), F.sum("backend").alias("backend_files"))
     r = governed(g).groupBy("entity_type", "entity").agg(F.count("*").alias("requirements"))
     more = explain(g).select("entity_type", "entity", "functions", "policies")
